@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import topk
-from ledgerloom.llm.common import table
+from ledgerloom.llm import chat, packing, pieces, topk
+from ledgerloom.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every whole text and what they decode to, as digests."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed to windows of at most 1024."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back."""
+    probe = "</s>[INST] ok [/INST]"
+    record = json.dumps({"id": -7, "messages": [{"role": r, "content": probe} for r in ("user", "assistant")]})
+    records = spark.range(1).select(F.lit(record).alias("payload"))
+    turns = chat.turns_from_table(table(spark, sf_dir, "conversations")).unionByName(chat.turns_from_records(records))
+    return chat.digest(chat.read_back(chat.format_turns(turns)))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best integer products of every hundredth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
@@ -20,12 +40,30 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_pieces": op2_pieces,
+        "op7_packing": op7_packing,
+        "op9_chat": op9_chat,
         "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_chat": """
+            WITH t AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+            ), w AS (
+                SELECT *, 3 + len(role) + 1 + len(text) + 4 + len(regexp_extract_all(text, '[<\\[]\\\\*/?(?:s>|INST\\])')) AS n FROM t
+            )
+            SELECT conv_id, count(*) AS n_turns,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                CAST(sum(n) AS BIGINT) AS formatted_chars
+            FROM w GROUP BY conv_id
+        """,
         "op10_topk": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
