@@ -8,17 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, packing, pieces, topk
+from ledgerloom.llm import chat, minhash, packing, pages, pieces, topk
 from ledgerloom.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every whole text and what they decode to, as digests."""
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents at a similarity of 0.85 over five-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids packed to windows of at most 1024."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
@@ -40,7 +50,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pages": op1_pages,
         "op2_pieces": op2_pieces,
+        "op4_minhash": op4_minhash,
         "op7_packing": op7_packing,
         "op9_chat": op9_chat,
         "op10_topk": op10_topk,
@@ -49,6 +61,33 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pages": r"""
+            WITH a AS (
+                SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1), '</?(?:p|h1)>') AS parts FROM pages
+            ), b AS (
+                SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a
+            ), t AS (
+                SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b
+            )
+            SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+        """,
+        "op4_minhash": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+            ), s AS (
+                SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+                FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)
+            ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+            ), i AS (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+            ), e AS (
+                SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+            ), r(x, y) AS (
+                SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+            ), c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+            SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+            FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+        """,
         "op9_chat": """
             WITH t AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
