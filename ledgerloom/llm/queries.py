@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, minhash, packing, pages, pieces, topk
+from ledgerloom.llm import chat, lattice, minhash, packing, pages, pieces, topk
 from ledgerloom.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at a cosine of 0.93."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents at a similarity of 0.85 over five-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
@@ -52,6 +57,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pages": op1_pages,
         "op2_pieces": op2_pieces,
+        "op3_lattice": op3_lattice,
         "op4_minhash": op4_minhash,
         "op7_packing": op7_packing,
         "op9_chat": op9_chat,
@@ -71,6 +77,18 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
         """,
+        "op3_lattice": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ), e AS (
+                SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93
+            ), r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+            ), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+            SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+            FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+        """,
         "op4_minhash": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
