@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import checkpoint_dir, cut
 from ledgerloom.llm.graph import components
 
 _rng = np.random.default_rng(20240607)
@@ -72,16 +72,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """A 64-bit hash for each word of each text."""
+def hashed_words(texts: list[bytes], firsts: tuple[int, ...] = (0,)) -> list[list[np.ndarray]]:
+    """For each of ``firsts``: a 64-bit hash for each word of each text (0), or for the first bytes of each longer word."""
+    if not texts:
+        return [[] for _ in firsts]
     joined = np.frombuffer(b" ".join([*texts, b""]).lower(), dtype="u1")
     gap = SPACE[joined]
-    start = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0] if len(gap) else np.zeros(0, int)
-    end = np.nonzero(~gap & np.concatenate([gap[1:], [True]]))[0] + 1 if len(gap) else start
+    start = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0]
+    end = np.nonzero(~gap & np.concatenate([gap[1:], [True]]))[0] + 1
     total = np.concatenate([np.zeros(1, "u8"), np.cumsum(BYTE[joined] * _power(BASE, len(joined)), dtype="u8")])
-    hashes = _mix((total[end] - total[start]) * _power(BASE_INVERSE, len(joined) + 1)[start] + (end - start).astype("u8"))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return np.split(hashes, np.searchsorted(start, bounds[:-1])) if texts else []
+    inverse = _power(BASE_INVERSE, len(joined) + 1)
+    bounds = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    out = []
+    for first in firsts:
+        a, b = (start, end) if not first else (start[end - start > first], start[end - start > first] + first)
+        hashes = _mix((total[b] - total[a]) * inverse[a] + (b - a).astype("u8"))
+        out.append(np.split(hashes, np.searchsorted(a, bounds)))
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash for each word of each text."""
+    return hashed_words(texts)[0]
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -132,56 +144,6 @@ def _features(docs: DataFrame, width: int, count: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<int>")
 
 
-def _close_members(torn: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components whose fine sketches are close enough.
-
-    A bucket is cut into blocks of about ``BLOCK`` members, and a task compares two blocks, so that no task
-    holds a whole bucket and only close pairs become rows.
-    """
-    sized = torn.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "fine")
-    share = percent / 100
-
-    def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j = rows["i"][0], rows["j"][0]
-        left, right = np.nonzero(rows["own"] == i)[0], np.nonzero(rows["own"] == j)[0]
-        comp, n, fine, rep = rows["comp"], rows["n"], rows["fine"], rows["rep"]
-        for at, x in enumerate(left):
-            against = left[at + 1 :] if i == j else right
-            against = against[(comp[against] != comp[x]) & (100 * np.minimum(n[against], n[x]) >= percent * np.maximum(n[against], n[x]))]
-            if len(against):
-                own = fine[x] != 0
-                same = ((fine[against] == fine[x]) & own).sum(axis=1)
-                used = ((fine[against] != 0) | own).sum(axis=1)
-                near = against[same >= share * used - SPREAD * np.sqrt(share * (1 - share) * used)]
-                if len(near):
-                    yield np.minimum(rep[near], rep[x]), np.maximum(rep[near], rep[x])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            found = list(compare({k: np.concatenate([h[k] for h in held]) for k in held[0]})) if held else []
-            held.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "own", "rep", "n", "comp")}
-            columns["fine"] = np.frombuffer(b"".join(batch.column("fine").to_pylist()), "u2").reshape(batch.num_rows, BINS)
-            change = np.nonzero((np.diff(columns["key"]) != 0) | (np.diff(columns["i"]) != 0) | (np.diff(columns["j"]) != 0))[0] + 1
-            edges = [0, *change.tolist(), batch.num_rows]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and any(held[-1][k][-1] != columns[k][a] for k in ("key", "i", "j")):
-                    yield from done()
-                held.append({k: v[a:b] for k, v in columns.items()})
-        yield from done()
-
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
     """The least hash of each of ``BINS`` equal ranges, 16 bits each; 0 where a range is empty."""
     at = np.searchsorted(shingles, EDGES)
@@ -190,16 +152,24 @@ def fine_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles, fine``: each text's sorted set as 64-bit numbers, and its fine sketch."""
+    """``doc_id, shingles``: each text's sorted set as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [shingle_set(w, width) for w in word_hashes([x.encode() for x in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([fine_sketch(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "shingles", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, shingles binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary, fine binary")
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    return int((two[np.minimum(at, len(two) - 1)] == one).sum())
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,8 +180,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 one, two = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-                at = np.searchsorted(two, one)
-                common = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+                common = _common(one, two)
                 linked.append(100 * common >= percent * (len(one) + len(two) - common))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -221,6 +190,77 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _across_components(torn: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between members of a bucket that are in different components, a forest of them for each block.
+
+    ``torn`` has a row for each bucket (``keys`` of (key, size)) and member. A bucket is cut into blocks of
+    about ``BLOCK`` members, and a task compares two blocks, so that no task holds a whole bucket. A pair is
+    compared in the first bucket that both are in: sizes first, then fine sketches, then the full sets; pairs
+    that links of the block have connected meanwhile are left out.
+    """
+    rows = torn.withColumn("shared", F.array_sort(F.col("keys.key"))).withColumn("k", F.explode("keys")).drop("keys")
+    sized = rows.withColumn("blocks", F.ceil(F.col("k.size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(F.col("k.key").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "shared", "shingles")
+    share = percent / 100
+    columns = ("key", "i", "j", "own", "rep", "n", "comp")
+
+    def compare(rows: dict[str, np.ndarray | list]) -> Iterator[tuple[int, int]]:
+        key, i, j = rows["key"][0], rows["i"][0], rows["j"][0]
+        own, rep, n, comp = rows["own"], rows["rep"], rows["n"], rows["comp"].copy()
+        sets = [np.frombuffer(x, "u8") for x in rows["shingles"]]
+        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        if len(np.unique(comp)) < 2:
+            return
+        fine = np.stack([fine_sketch(x) for x in sets])
+        filled = fine != 0
+        wide = max(map(len, rows["shared"]))
+        shared = np.stack([np.pad(x, (0, wide - len(x)), mode="edge") for x in rows["shared"]])
+        for at, x in enumerate(left):
+            near = left[at + 1 :] if i == j else right
+            near = near[(comp[near] != comp[x]) & (100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x]))]
+            if not len(near):
+                continue
+            same = ((fine[near] == fine[x]) & filled[x]).sum(axis=1)
+            used = (filled[near] | filled[x]).sum(axis=1)
+            near = near[same >= share * used - SPREAD * np.sqrt(share * (1 - share) * used)]
+            earlier = shared[x][shared[x] < key]
+            if len(earlier) and len(near):
+                near = near[~np.isin(shared[near], earlier).any(axis=1)]
+            for y in near:
+                if comp[x] != comp[y]:
+                    both = _common(sets[x], sets[y])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        yield int(rep[x]), int(rep[y])
+                        comp[comp == comp[y]] = comp[x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(compare({k: np.concatenate(v) if k in columns else [x for part in v for x in part] for k, v in held.items()})) if held else []
+            held.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got: dict[str, np.ndarray | list] = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in columns}
+            got["shingles"] = batch.column("shingles").to_pylist()
+            got["shared"] = [np.array(x, "i8") for x in batch.column("shared").to_pylist()]
+            change = np.nonzero((np.diff(got["key"]) != 0) | (np.diff(got["i"]) != 0) | (np.diff(got["j"]) != 0))[0] + 1
+            edges = [0, *change.tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and any(held[k][-1][-1] != got[k][a] for k in ("key", "i", "j")):
+                    yield from done()
+                for k, v in got.items():
+                    held.setdefault(k, []).append(v[a:b])
+        yield from done()
+
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 3, side: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row."""
     spark = docs.sparkSession
@@ -243,10 +283,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     members = cut(keys.join(chosen.select("key", "hub"), "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
 
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sets-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/sets-{uuid.uuid4().hex}"
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     own = _sets(source.join(wanted, "doc_id", "left_semi").where("text IS NOT NULL"), width)
-    own.groupBy("doc_id", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine")).drop("h").write.parquet(folder)
+    own.groupBy("doc_id", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).drop("h").write.parquet(folder)
     sets = spark.read.parquet(folder)
 
     sketches = classes.select("rep", "sketch")
@@ -264,9 +304,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     placed = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1").select("key", "size")
-    torn = placed.join(open_keys, "key").join(sets.select(F.col("doc_id").alias("rep"), "fine"), "rep")
-    rest = _close_members(torn, percent).join(tried, ["a", "b"], "left_anti")
-    more = cut(_confirm(rest, sets, percent))
+    torn = placed.join(open_keys, "key").groupBy("rep", "n", "comp").agg(F.collect_list(F.struct("key", "size")).alias("keys"))  # at most side ** 2 keys
+    more = cut(_across_components(torn.join(sets, torn["rep"] == sets["doc_id"]).drop("doc_id"), percent))
     if more.limit(1).count():
         found = components(links.unionAll(more))
 
