@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, lattice, minhash, packing, pages, pieces, topk
+from ledgerloom.llm import chat, lattice, minhash, packing, pages, pieces, pii, quality, topk
 from ledgerloom.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,16 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, probability of the top grade, and whether it is kept."""
+    return quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids packed to windows of at most 1024."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
@@ -59,6 +69,8 @@ def queries() -> dict[str, Query]:
         "op2_pieces": op2_pieces,
         "op3_lattice": op3_lattice,
         "op4_minhash": op4_minhash,
+        "op5_pii": op5_pii,
+        "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op9_chat": op9_chat,
         "op10_topk": op10_topk,
