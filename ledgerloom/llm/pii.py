@@ -44,6 +44,9 @@ EMPTY = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Buckets of shapes and of words before a candidate.
 SHAPES = WORDS_BEFORE = 16
 ROUNDS = 50
+#: Characters before a candidate that labelers see, and matches whose offsets are summed together.
+BEFORE = 32
+CHUNK = 64
 
 Labeler = tuple[str, int, str]
 #: Name, vote (1: personal, 0: not), and SQL over ``word`` (a candidate) and ``before`` (the text before it).
@@ -60,19 +63,43 @@ LABELERS: tuple[Labeler, ...] = (
 )
 
 
-def _found(text: Column, pattern: str, has: Column, rank: int, kind: str, valid) -> Column:
-    """The valid matches of ``pattern`` as (start, rank, end, kind), in one pass over matches and what lies between."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
+def _bound(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """All matches of ``pattern`` as (at, m, before), ``before`` being the last of what lies before the match.
+
+    Offsets are running sums, taken within chunks of ``CHUNK`` matches after the sums of whole chunks, as an
+    accumulator that holds an array is copied at each step.
+    """
+    kind = "array<struct<at:int,m:string,before:string>>"
+    # there is one more piece between than matches, and its match is null
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("gap"), (F.char_length(b) + F.char_length(m)).alias("all"), F.right(b, F.lit(BEFORE)).alias("before")))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc.at + x.gap
-        end = begin + F.char_length(x.m)
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(valid(x.m), F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
+        item = F.struct((acc.at + x.gap).alias("at"), x.m.alias("m"), x.before.alias("before"))
+        return F.struct((acc.at + x["all"]).alias("at"), F.concat(acc.out, F.array(item)).alias("out"))
+
+    def of_chunks(chunks: Column) -> Column:
+        size = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["all"])
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(chunks, none, lambda acc, c: F.struct((acc.at + size(c)).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        begin = lambda o: F.struct(o.alias("at"), F.array().cast(kind).alias("out"))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, o: F.aggregate(c, begin(o), step, lambda acc: acc.out)))
+
+    def of_matches(z: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda c: F.slice(z, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(z) > 0, _bound(chunks, of_chunks)).otherwise(F.array().cast(kind))
 
-    return F.when(has, F.aggregate(pairs, start, step, lambda acc: acc.out)).otherwise(F.array().cast(EMPTY))
+    return _bound(F.filter(pairs, lambda x: x.m.isNotNull()), of_matches)
+
+
+def _found(text: Column, pattern: str, has: Column, rank: int, kind: str, valid) -> Column:
+    """The valid matches of ``pattern`` as (start, rank, end, kind)."""
+    span = lambda x: F.struct(x.at.alias("start"), F.lit(rank).alias("rank"), (x.at + F.char_length(x.m)).alias("end"), F.lit(kind).alias("kind"))
+    return F.when(has, F.transform(F.filter(_placed(text, pattern), lambda x: valid(x.m)), span)).otherwise(F.array().cast(EMPTY))
 
 
 def _digits(m: Column) -> Column:
@@ -106,20 +133,16 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """Candidate words outside the base spans as (start, end, word, before)."""
     kind = "array<struct<start:int,end:int,word:string,before:string>>"
-    matches, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("gap"), F.right(b, F.lit(32)).alias("before")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc.at + x.gap
-        word = F.regexp_replace(F.regexp_replace(x.m, "^[\"'(\\[{<]+", ""), "[\"')\\]}>.,;:!?#%*&]+$", "")
-        lead = F.char_length(x.m) - F.char_length(F.regexp_replace(x.m, "^[\"'(\\[{<]+", ""))
-        item = F.struct((begin + lead).alias("start"), (begin + lead + F.char_length(word)).alias("end"), word.alias("word"), x.before.alias("before"))
-        return F.struct((begin + F.char_length(x.m)).alias("at"), F.concat(acc.out, F.array(item)).alias("out"))
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc.out)
-    free = F.filter(found, lambda c: (c.word != "") & ~F.exists(base, lambda b: (b.start < c.end) & (c.start < b.end)))
-    return F.when(F.regexp_like(text, F.lit("[0-9@]")), free).otherwise(F.array().cast(kind))
+    def trimmed(x: Column) -> Column:
+        tail = F.regexp_replace(x.m, "^[\"'(\\[{<]+", "")
+        word = F.regexp_replace(tail, "[\"')\\]}>.,;:!?#%*&]+$", "")
+        start = x.at + F.char_length(x.m) - F.char_length(tail)
+        return F.struct(start.alias("start"), (start + F.char_length(word)).alias("end"), word.alias("word"), x.before.alias("before"))
+
+    free = lambda c: (c.word != "") & ~F.exists(base, lambda b: (b.start < c.end) & (c.start < b.end))
+    found = F.filter(F.transform(_placed(text, WORD), trimmed), free)
+    return F.when(F.regexp_like(text, F.lit("[0-9@]")), found).otherwise(F.array().cast(kind))
 
 
 def _on(sql: str, item: str) -> str:

@@ -108,8 +108,9 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, top: int, epochs: int = 12, r
     thresholds = np.linspace(-1.0, 1.0, top) if top > 1 else np.zeros(1)
     squares, t_squares = np.full(BUCKETS, 1e-3), np.full(top, 1e-3)
     rng = np.random.default_rng(3)
+    epochs = max(epochs, -(-1500 * 64 // len(rows)))  # enough steps for a small sample too
     for epoch in range(epochs):
-        step = rate / (1 + 0.3 * epoch)
+        step = rate / (1 + 3.6 * epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
