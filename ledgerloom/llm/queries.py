@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, lattice, minhash, packing, pages, pieces, pii, quality, topk
+from ledgerloom.llm import chat, lattice, minhash, mixing, packing, pages, pieces, pii, quality, topk
 from ledgerloom.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's score by context mixing, with the base score."""
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     probe = "</s>[INST] ok [/INST]"
@@ -72,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op5_pii": op5_pii,
         "op6_quality": op6_quality,
         "op7_packing": op7_packing,
+        "op8_mixing": op8_mixing,
         "op9_chat": op9_chat,
         "op10_topk": op10_topk,
     }
