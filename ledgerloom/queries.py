@@ -1,0 +1,882 @@
+"""The engine's queries and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import scalar, similarity
+from ledgerloom.operators import matching
+from ledgerloom.plans import canonical as C
+from ledgerloom.plans import rules
+from ledgerloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ledgers: bool = False, cases: bool = False):
+    """Register a query under its function's name, with SQL over the ledgers or cases where asked for."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            parts = [C.SOURCE_SQL, C.TARGET_SQL] * ledgers + [C.CASES_SQL] * cases
+            body = sql.strip()
+            if parts and body.upper().startswith("WITH RECURSIVE "):
+                body = "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
+            elif parts and body.upper().startswith("WITH "):
+                body = "WITH " + ", ".join(parts) + ", " + body[5:]
+            elif parts:
+                body = "WITH " + ", ".join(parts) + " " + body
+            SQL[function.__name__] = body
+        return function
+
+    return add
+
+
+def ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    source = C.source_ledger(spark, sf_dir)
+    return source, C.target_ledger(source)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source with the target of its own number."""
+    s, t = ledgers(spark, sf_dir)
+    return s.alias("s").join(t.alias("t"), "ord").select("ord", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for c in s.columns if c != "ord" for x in "st"])
+
+
+PAIRS = "FROM src s JOIN tgt t ON s.ord = t.ord"
+
+# ---------------------------------------------------------------- matching
+BUCKET = "CAST(round({0} * 50) AS BIGINT)"
+EDGE_FROM = f"""FROM src s JOIN tgt t ON s.tenant_id = t.tenant_id AND s.currency = t.currency AND abs(date_diff('day', s.value_date, t.value_date)) <= 2
+    AND abs({BUCKET.format("s.base_amount")} - {BUCKET.format("t.base_amount")}) <= 2"""
+NUMERIC = "CASE WHEN abs({0} - {1}) <= 0.01 THEN 1.0 WHEN CAST(abs({0} - {1}) AS DOUBLE) >= 0.02 THEN 0.0 ELSE CAST(1.0 AS DOUBLE) - (CAST(abs({0} - {1}) AS DOUBLE) - CAST(0.01 AS DOUBLE)) / CAST(0.01 AS DOUBLE) END"
+LEVENSHTEIN = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) - CAST(levenshtein({0}, {1}) AS DOUBLE) / greatest(length({0}), length({1})) END"
+DATE = "greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - CAST(abs(date_diff('day', {0}, {1})) AS DOUBLE) / 7)"
+TOTAL = f"round(({LEVENSHTEIN.format('s.reference', 't.reference')}) * CAST(0.3 AS DOUBLE) + CAST(({NUMERIC.format('s.base_amount', 't.base_amount')}) AS DOUBLE) * CAST(0.4 AS DOUBLE) + ({DATE.format('s.value_date', 't.value_date')}) * CAST(0.3 AS DOUBLE), 9)"
+EDGES = f"""edges AS (SELECT * FROM (SELECT s.ord AS src_ord, s.id AS src_id, t.ord AS tgt_ord, t.id AS tgt_id, {TOTAL} AS score,
+    greatest(0, date_diff('day', s.value_date, t.value_date)) AS r2, greatest(0, {BUCKET.format("t.base_amount")} - {BUCKET.format("s.base_amount")}) AS r3 {EDGE_FROM}) WHERE score >= 0.6)"""
+
+
+def greedy_sql(name: str, edges: str, rounds: int = 6) -> str:
+    """Rounds of locally dominant pairs over ``edges``, unrolled; the pairs are in the CTE ``name``."""
+    parts, left = [], edges
+    for i in range(rounds):
+        parts.append(f"""{name}{i} AS MATERIALIZED (SELECT src_ord, src_id, tgt_ord, tgt_id, score FROM (SELECT *, row_number() OVER (PARTITION BY src_ord ORDER BY score DESC, r2, r3, tgt_ord) AS place, min(src_ord) OVER (PARTITION BY tgt_ord) AS first FROM {left}) WHERE place = 1 AND first = src_ord)""")
+        parts.append(f"""{name}_left{i} AS MATERIALIZED (SELECT e.* FROM {left} e WHERE e.src_ord NOT IN (SELECT src_ord FROM {name}{i}) AND e.tgt_ord NOT IN (SELECT tgt_ord FROM {name}{i}))""")
+        left = f"{name}_left{i}"
+    parts.append(f"{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(rounds)) + ")")
+    return ", ".join(parts)
+
+
+GREEDY = f"{EDGES}, {greedy_sql('m', 'edges')}"
+STATUS = "CASE WHEN score >= 0.95 THEN 'AUTO' ELSE 'SUGGESTED' END"
+CHAIN = f"""{GREEDY}, edges2 AS (SELECT s.ord AS src_ord, s.id AS src_id, t.ord AS tgt_ord, t.id AS tgt_id, CAST(1.0 AS DOUBLE) AS score, 0 AS r2, 0 AS r3 FROM src s JOIN tgt t ON s.reference = t.reference
+    WHERE s.ord NOT IN (SELECT src_ord FROM m) AND t.ord NOT IN (SELECT tgt_ord FROM m)), {greedy_sql('n', 'edges2', 2)},
+    matches AS (SELECT src_ord, tgt_ord, src_id, tgt_id, score, {STATUS} AS status, 'amount and date' AS rule FROM m UNION ALL SELECT src_ord, tgt_ord, src_id, tgt_id, score, 'AUTO', 'reference' FROM n)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.parse(rules.AMOUNT_DATE)
+    return matching.scored(matching.candidates(*ledgers(spark, sf_dir), rule.keys), rule)
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_chain(*ledgers(spark, sf_dir), [rules.parse(rules.REFERENCE_ONLY), rules.parse(rules.AMOUNT_DATE)])
+
+
+def _count_pairs(frame: DataFrame) -> DataFrame:
+    return frame.select(F.col("s.ord").alias("src_ord"), F.col("t.ord").alias("tgt_ord"))
+
+
+@query(f"SELECT s.ord AS src_ord, t.ord AS tgt_ord FROM src s JOIN tgt t ON s.reference = t.reference", ledgers=True)
+def block_exact(spark, sf_dir):
+    return _count_pairs(matching.candidates(*ledgers(spark, sf_dir), (rules.Key("reference"),)))
+
+
+@query("SELECT s.ord AS src_ord, t.ord AS tgt_ord FROM src s JOIN tgt t ON s.account_id = replace(t.account_id, 'GL', 'BANK') AND s.currency = t.currency AND abs(date_diff('day', s.value_date, t.value_date)) <= 2", ledgers=True)
+def block_date(spark, sf_dir):
+    s, t = ledgers(spark, sf_dir)
+    return _count_pairs(matching.candidates(s, t.withColumn("account_id", F.regexp_replace("account_id", "^GL", "BANK")), (rules.Key("account_id"), rules.Key("currency"), rules.Key("value_date", "date_window", days=1))))
+
+
+@query(f"SELECT s.ord AS src_ord, t.ord AS tgt_ord FROM src s JOIN tgt t ON abs({BUCKET.format('s.base_amount')} - {BUCKET.format('t.base_amount')}) <= 2", ledgers=True)
+def block_numeric(spark, sf_dir):
+    from decimal import Decimal
+
+    return _count_pairs(matching.candidates(*ledgers(spark, sf_dir), (rules.Key("base_amount", "numeric", amount=Decimal("0.01")),)))
+
+
+@query(f"SELECT s.ord AS src_ord, t.ord AS tgt_ord {EDGE_FROM}", ledgers=True)
+def block_composite(spark, sf_dir):
+    return _count_pairs(matching.candidates(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE).keys))
+
+
+@query("SELECT sign(base_amount) AS bucket, count(*) AS n FROM src GROUP BY 1", ledgers=True)
+def block_percent(spark, sf_dir):
+    """A percentage band uses each record's own amount, so its buckets tell signs apart only."""
+    return C.source_ledger(spark, sf_dir).groupBy(F.signum("base_amount").cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT s.ord, CASE WHEN s.reference = t.reference THEN 1.0 ELSE 0.0 END::DOUBLE AS score {PAIRS}", ledgers=True)
+def score_exact(spark, sf_dir):
+    return similarity.scored_pairs(pairs(spark, sf_dir), "reference_s", "reference_t", "exact").select("ord", "score")
+
+
+_PREFIX = "CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END"
+
+
+@query(f"WITH p AS (SELECT s.ord, s.reference AS a, reverse(t.reference) || 'REF' AS b, jaro_similarity(s.reference, reverse(t.reference) || 'REF') AS j {PAIRS}) SELECT ord, round(j + 0.1 * ({_PREFIX}) * (1 - j), 9) AS score FROM p", ledgers=True)
+def score_jaro_winkler(spark, sf_dir):
+    p = pairs(spark, sf_dir).select("ord", F.col("reference_s").alias("a"), F.concat(F.reverse("reference_t"), F.lit("REF")).alias("b"))
+    distinct = p.select("a", "b").distinct().withColumn("score", F.round(similarity.jaro_winkler_column(F.col("a"), F.col("b")), 9))
+    return p.join(distinct, ["a", "b"]).select("ord", "score")
+
+
+@query(f"SELECT s.ord, round({LEVENSHTEIN.format('s.reference', 't.reference')}, 9) AS score {PAIRS}", ledgers=True)
+def score_levenshtein(spark, sf_dir):
+    return similarity.scored_pairs(pairs(spark, sf_dir), "reference_s", "reference_t", "levenshtein_normalized").select("ord", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT s.ord, round(CAST({NUMERIC.format('s.base_amount', 't.base_amount')} AS DOUBLE), 9) AS score {PAIRS}", ledgers=True)
+def score_numeric(spark, sf_dir):
+    return similarity.scored_pairs(pairs(spark, sf_dir), "base_amount_s", "base_amount_t", "numeric_closeness").select("ord", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT s.ord, round({DATE.format('s.value_date', 't.value_date')}, 9) AS score {PAIRS}", ledgers=True)
+def score_date(spark, sf_dir):
+    return similarity.scored_pairs(pairs(spark, sf_dir), "value_date_s", "value_date_t", "date_proximity").select("ord", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {EDGES} SELECT src_ord, tgt_ord, score FROM edges", ledgers=True)
+def score_composite(spark, sf_dir):
+    return edges(spark, sf_dir).select("src_ord", "tgt_ord", "score")
+
+
+@query(f"WITH {EDGES} SELECT src_ord, tgt_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY src_ord ORDER BY score DESC, r2, r3, tgt_ord) AS place FROM edges) WHERE place = 1", ledgers=True)
+def best_candidate(spark, sf_dir):
+    return matching.best_candidate(edges(spark, sf_dir)).select("src_ord", "tgt_ord", "score")
+
+
+@query(f"WITH {EDGES} SELECT {STATUS} AS status, count(*) AS n FROM edges GROUP BY 1", ledgers=True)
+def classify(spark, sf_dir):
+    return edges(spark, sf_dir).groupBy(matching.classify(F.col("score"), rules.parse(rules.AMOUNT_DATE)).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GREEDY} SELECT src_ord, tgt_ord, src_id, tgt_id, score, {STATUS} AS status, 'amount and date' AS rule FROM m", ledgers=True)
+def match_greedy(spark, sf_dir):
+    return matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE))
+
+
+@query(f"WITH {CHAIN} SELECT * FROM matches", ledgers=True)
+def match_priority_chain(spark, sf_dir):
+    return chain(spark, sf_dir)
+
+
+@query(f"WITH {CHAIN} SELECT id, account_id, base_amount, side FROM (SELECT *, 'SOURCE' AS side FROM src WHERE ord NOT IN (SELECT src_ord FROM matches) UNION ALL SELECT *, 'TARGET' FROM tgt WHERE ord NOT IN (SELECT tgt_ord FROM matches))", ledgers=True)
+def match_unmatched(spark, sf_dir):
+    return matching.unmatched(*ledgers(spark, sf_dir), chain(spark, sf_dir)).select("id", "account_id", "base_amount", "side")
+
+
+@query(f"WITH {CHAIN} SELECT 'BREAK-' || id AS id, id AS transaction_id, 'UNMATCHED' AS break_type, 'OPEN' AS status, base_amount AS amount_at_risk FROM (SELECT * FROM src WHERE ord NOT IN (SELECT src_ord FROM matches) UNION ALL SELECT * FROM tgt WHERE ord NOT IN (SELECT tgt_ord FROM matches))", ledgers=True)
+def open_breaks(spark, sf_dir):
+    left = matching.unmatched(*ledgers(spark, sf_dir), chain(spark, sf_dir))
+    return left.select(F.concat(F.lit("BREAK-"), "id").alias("id"), F.col("id").alias("transaction_id"), F.lit("UNMATCHED").alias("break_type"), F.lit("OPEN").alias("status"), F.col("base_amount").alias("amount_at_risk"))
+
+
+@query(f"WITH {CHAIN} SELECT s.id, CASE WHEN m.status = 'AUTO' THEN 'MATCHED' ELSE 'UNMATCHED' END AS status FROM src s LEFT JOIN matches m ON s.ord = m.src_ord", ledgers=True)
+def apply_match_status(spark, sf_dir):
+    done = chain(spark, sf_dir).select(F.col("src_ord").alias("ord"), F.col("status").alias("found"))
+    return C.source_ledger(spark, sf_dir).join(done, "ord", "left").select("id", F.when(F.col("found") == "AUTO", "MATCHED").otherwise("UNMATCHED").alias("status"))
+
+
+@query(f"WITH {CHAIN} SELECT src_id || '>' || tgt_id AS result_id, src_id AS transaction_id, 'SOURCE' AS side, s.base_amount AS allocated_amount FROM matches JOIN src s ON s.ord = src_ord UNION ALL SELECT src_id || '>' || tgt_id, tgt_id, 'TARGET', t.base_amount FROM matches JOIN tgt t ON t.ord = tgt_ord", ledgers=True)
+def match_result_lines(spark, sf_dir):
+    s, t = ledgers(spark, sf_dir)
+    got = chain(spark, sf_dir).withColumn("result_id", F.concat("src_id", F.lit(">"), "tgt_id"))
+    line = lambda side, ledger, key: got.join(ledger.select(F.col("ord").alias(f"{key}_ord"), F.col("base_amount").alias("allocated_amount")), f"{key}_ord").select("result_id", F.col(f"{key}_id").alias("transaction_id"), F.lit(side).alias("side"), "allocated_amount")
+    return line("SOURCE", s, "src").unionByName(line("TARGET", t, "tgt"))
+
+
+@query(f"WITH {CHAIN} SELECT rule, status, count(*) AS n FROM matches GROUP BY ALL", ledgers=True)
+def outcome_counts(spark, sf_dir):
+    return chain(spark, sf_dir).groupBy("rule", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GREEDY}, r AS (SELECT src_id, tgt_id, score, s.base_amount FROM m JOIN src s ON s.ord = m.src_ord WHERE score < 0.95) SELECT src_id || '>' || tgt_id AS result_id, [src_id] AS source_ids, [tgt_id] AS target_ids, score FROM r", ledgers=True)
+def suggested_matches(spark, sf_dir):
+    got = matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE)).where("status = 'SUGGESTED'").withColumn("result_id", F.concat("src_id", F.lit(">"), "tgt_id"))
+    lines = got.select("result_id", "score", F.explode(F.array(F.struct(F.lit("S").alias("side"), F.col("src_id").alias("id")), F.struct(F.lit("T").alias("side"), F.col("tgt_id").alias("id")))).alias("x"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("x.side") == side, F.col("x.id"))))
+    return lines.groupBy("result_id", "score").agg(of("S").alias("source_ids"), of("T").alias("target_ids"))
+
+
+_REVIEW = "CASE WHEN src_ord % 3 = 0 THEN 'CONFIRMED' WHEN src_ord % 3 = 1 THEN 'REJECTED' ELSE 'SUGGESTED' END"
+
+
+@query(f"WITH {GREEDY} SELECT src_id, tgt_id, {_REVIEW} AS status, CASE WHEN src_ord % 3 = 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS transaction_status, src_ord % 3 = 1 AS opens_break FROM m WHERE score < 0.95", ledgers=True)
+def review_apply(spark, sf_dir):
+    """Suggested matches after decisions: confirmed, rejected (one break for all its transactions) or pending."""
+    got = matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE)).where("status = 'SUGGESTED'").drop("status")
+    return got.selectExpr("src_id", "tgt_id", f"{_REVIEW} AS status", "CASE WHEN src_ord % 3 = 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS transaction_status", "src_ord % 3 = 1 AS opens_break")
+
+
+_STREAM = "CASE WHEN src_ord % 10 = 0 THEN NULL WHEN src_ord % 10 = 1 THEN 'L-x' ELSE tgt_id END"
+
+
+@query(f"""WITH {GREEDY}, b AS (SELECT src_id, tgt_id, {_STREAM} AS stream_tgt FROM m WHERE score >= 0.95)
+    SELECT src_id, tgt_id, CASE WHEN stream_tgt IS NULL THEN 'BATCH_ONLY' WHEN stream_tgt = tgt_id THEN 'AUTO_MATCHED_CONFIRMED' ELSE 'RECONCILIATION_VARIANCE' END AS outcome FROM b""", ledgers=True)
+def reconcile(spark, sf_dir):
+    """Batch matches against streaming ones: equal sets confirm, others that overlap are variances."""
+    batch = matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE)).where("status = 'AUTO'")
+    stream = batch.selectExpr("src_id AS id", f"{_STREAM} AS other").where("other IS NOT NULL").select("id", F.array_sort(F.array("id", "other")).alias("ids"))
+    own = batch.withColumn("ids_b", F.array_sort(F.array("src_id", "tgt_id")))
+    joined = own.join(stream, own["src_id"] == stream["id"], "left")
+    return joined.select("src_id", "tgt_id", F.when(F.col("ids").isNull(), "BATCH_ONLY").when(F.col("ids") == F.col("ids_b"), "AUTO_MATCHED_CONFIRMED").otherwise("RECONCILIATION_VARIANCE").alias("outcome"))
+
+
+@query(f"WITH {GREEDY} SELECT src_id, len(list_intersect([src_id, tgt_id], [src_id, {_STREAM}])) AS shared FROM m WHERE score >= 0.95", ledgers=True)
+def reconcile_overlap(spark, sf_dir):
+    got = matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE)).where("status = 'AUTO'")
+    return got.select("src_id", F.size(F.array_intersect(F.array("src_id", "tgt_id"), F.array("src_id", F.expr(_STREAM)))).cast("long").alias("shared"))
+
+
+_LINE = "CAST(round(l_extendedprice * (1 - l_discount), 2) AS DECIMAL(20,2))"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, {_LINE} AS a FROM lineitem),
+    w AS (SELECT k, sum(a) FILTER (i <= 2) AS want FROM l GROUP BY k HAVING count(*) >= 2)
+    SELECT w.k AS order_key, min(x.i * 100 + y.i) AS first_group FROM w JOIN l x ON x.k = w.k JOIN l y ON y.k = w.k AND x.i < y.i WHERE abs(x.a + y.a - want) <= 0.01 GROUP BY w.k""")
+def find_group_2(spark, sf_dir):
+    """The first two lines of each order whose sum is that of its first two."""
+    return _groups(spark, sf_dir, 2)
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, {_LINE} AS a FROM lineitem),
+    w AS (SELECT k, sum(a) FILTER (i <= 3) AS want FROM l GROUP BY k HAVING count(*) >= 3)
+    SELECT w.k AS order_key, min(x.i * 10000 + y.i * 100 + z.i) AS first_group FROM w JOIN l x ON x.k = w.k JOIN l y ON y.k = w.k AND x.i < y.i JOIN l z ON z.k = w.k AND y.i < z.i WHERE abs(x.a + y.a + z.a - want) <= 0.01 GROUP BY w.k""")
+def find_group_3(spark, sf_dir):
+    return _groups(spark, sf_dir, 3)
+
+
+def _groups(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    order = Window.partitionBy("k").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k").select("k", F.row_number().over(order).cast("long").alias("i"), F.expr(_LINE).alias("a"))
+    want = lines.groupBy("k").agg(F.sum(F.when(F.col("i") <= size, F.col("a"))).alias("want"), F.count("*").alias("c")).where(F.col("c") >= size)
+    out, total, number = want, F.lit(0), F.lit(0)
+    for n in range(size):
+        out = out.join(lines.select("k", F.col("i").alias(f"i{n}"), F.col("a").alias(f"a{n}")), "k")
+        if n:
+            out = out.where(F.col(f"i{n - 1}") < F.col(f"i{n}"))
+        total, number = total + F.col(f"a{n}"), number * 100 + F.col(f"i{n}")
+    return out.where(F.abs(total - F.col("want")) <= F.lit("0.01").cast("decimal(20,2)")).groupBy(F.col("k").alias("order_key")).agg(F.min(number).alias("first_group"))
+
+
+# ---------------------------------------------------------------- partitions and rules
+@query("WITH u AS (SELECT DISTINCT tenant_id, value_date, account_id FROM (SELECT * FROM src UNION ALL SELECT * FROM tgt)) SELECT a.tenant_id, a.value_date, a.account_id AS source_account, b.account_id AS target_account FROM u a JOIN u b ON a.tenant_id = b.tenant_id AND a.value_date = b.value_date AND a.account_id < b.account_id", ledgers=True)
+def enumerate_partitions(spark, sf_dir):
+    return _partitions(*ledgers(spark, sf_dir))
+
+
+def _partitions(s: DataFrame, t: DataFrame) -> DataFrame:
+    u = s.unionByName(t).select("tenant_id", "value_date", "account_id").distinct()
+    return u.select("tenant_id", "value_date", F.col("account_id").alias("source_account")).join(u.select("tenant_id", "value_date", F.col("account_id").alias("target_account")), ["tenant_id", "value_date"]).where("source_account < target_account")
+
+
+@query("WITH u AS (SELECT DISTINCT tenant_id, value_date, account_id FROM (SELECT * FROM src UNION ALL SELECT * FROM tgt) WHERE value_date >= DATE '1999-01-01') SELECT a.tenant_id, a.value_date, a.account_id AS source_account, b.account_id AS target_account FROM u a JOIN u b ON a.tenant_id = b.tenant_id AND a.value_date = b.value_date AND a.account_id < b.account_id", ledgers=True)
+def enumerate_since(spark, sf_dir):
+    recent = [x.where("value_date >= DATE '1999-01-01'") for x in ledgers(spark, sf_dir)]
+    return _partitions(*recent)
+
+
+@query("SELECT account_id, value_date - 3 + CAST(i AS INTEGER) AS partition_day, count(*) AS n FROM src, range(8) r(i) GROUP BY ALL", ledgers=True)
+def partition_load(spark, sf_dir):
+    """The rows that each day's partition loads: from three days before to four days after."""
+    days = C.source_ledger(spark, sf_dir).select("account_id", F.explode(F.sequence(F.date_add("value_date", -3), F.date_add("value_date", 4))).alias("partition_day"))
+    return days.groupBy("account_id", "partition_day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT tenant_id, account_id, count(*) AS n, count(*) > 50000 AS too_large FROM src GROUP BY ALL", ledgers=True)
+def partition_sizes(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).groupBy("tenant_id", "account_id").agg(F.count("*").alias("n")).withColumn("too_large", F.col("n") > 50_000)
+
+
+_RULES = "SELECT 'R-' || n_nationkey AS id, 'BANK-' || n_nationkey AS source_account, 'GL-' || (n_nationkey + n_nationkey % 2) AS target_account, n_nationkey % 7 AS priority, 'rule ' || (n_nationkey % 4) AS name, n_nationkey AS version, CASE WHEN n_nationkey % 5 = 0 THEN 'DRAFT' ELSE 'ACTIVE' END AS status FROM nation"
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("R-"), k).alias("id"), F.concat(F.lit("BANK-"), k).alias("source_account"), F.concat(F.lit("GL-"), k + k % 2).alias("target_account"), (k % 7).alias("priority"), F.concat(F.lit("rule "), k % 4).alias("name"), k.alias("version"), F.when(k % 5 == 0, "DRAFT").otherwise("ACTIVE").alias("status"))
+
+
+@query(f"WITH r AS ({_RULES}) SELECT id, source_account AS a, target_account AS b, CAST(priority AS BIGINT) AS priority FROM r WHERE status = 'ACTIVE' UNION ALL SELECT id, target_account, source_account, priority FROM r WHERE status = 'ACTIVE'")
+def rules_for_pair(spark, sf_dir):
+    """Active rules by account pair in both directions."""
+    r = _rules(spark, sf_dir).where("status = 'ACTIVE'")
+    return r.select("id", F.col("source_account").alias("a"), F.col("target_account").alias("b"), "priority").unionAll(r.select("id", "target_account", "source_account", "priority"))
+
+
+@query(f"WITH r AS ({_RULES}) SELECT id, name, CASE WHEN version = max(version) OVER (PARTITION BY name) THEN 'ACTIVE' WHEN status = 'ACTIVE' THEN 'ARCHIVED' ELSE status END AS status FROM r")
+def rule_activate(spark, sf_dir):
+    """The newest rule of each name becomes active and archives its active namesakes."""
+    newest = F.max("version").over(Window.partitionBy("name"))
+    return _rules(spark, sf_dir).select("id", "name", F.when(F.col("version") == newest, "ACTIVE").when(F.col("status") == "ACTIVE", "ARCHIVED").otherwise(F.col("status")).alias("status"))
+
+
+# ---------------------------------------------------------------- scans and predicates
+@query("SELECT id, account_id, base_amount, value_date FROM src WHERE tenant_id = 'T-1' AND value_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND currency = 'EUR'", ledgers=True)
+def list_transactions(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).where("tenant_id = 'T-1' AND value_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND currency = 'EUR'").select("id", "account_id", "base_amount", "value_date")
+
+
+@query("SELECT id, base_amount FROM src WHERE tenant_id = 'T-2'", ledgers=True)
+def tenant_scope(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).where(F.col("tenant_id") == "T-2").select("id", "base_amount")
+
+
+@query("SELECT id, base_amount FROM src ORDER BY base_amount DESC, id LIMIT 100", ledgers=True)
+def topk_unmatched(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).orderBy(F.col("base_amount").desc(), "id").limit(100).select("id", "base_amount")
+
+
+@query("SELECT id, priority, amount_at_risk FROM cases WHERE status = 'OPEN' AND assignee = 'U-3' AND priority = 'HIGH'", cases=True)
+def list_breaks(spark, sf_dir):
+    return C.cases(spark, sf_dir).where("status = 'OPEN' AND assignee = 'U-3' AND priority = 'HIGH'").select("id", "priority", "amount_at_risk")
+
+
+@query("SELECT id FROM cases WHERE status NOT IN ('RESOLVED','WRITTEN_OFF') AND workflow_id IS NULL", cases=True)
+def backfill_candidates(spark, sf_dir):
+    return C.cases(spark, sf_dir).where("status NOT IN ('RESOLVED','WRITTEN_OFF') AND workflow_id IS NULL").select("id")
+
+
+# ---------------------------------------------------------------- ingestion functions
+_RAW_AMOUNT = "CASE WHEN o_orderkey % 5 = 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR), '.', ',') WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN '  ' || CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) || ' ' ELSE CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) END"
+_RAW_DATE = "CASE WHEN o_orderkey % 9 = 0 THEN '991340' ELSE strftime(o_orderdate, '%y%m%d') END"
+RAW = f"""raw AS (SELECT CAST(o_orderkey AS BIGINT) AS k, {_RAW_AMOUNT} AS amount, {_RAW_DATE} AS date, CASE o_orderkey % 6 WHEN 0 THEN 'D' WHEN 1 THEN 'C' WHEN 2 THEN ' d ' WHEN 3 THEN 'RC' WHEN 4 THEN 'DR' ELSE 'cr' END AS mark,
+    CASE o_orderkey % 4 WHEN 0 THEN ' usd' WHEN 1 THEN 'EUR' WHEN 2 THEN 'xxx' ELSE 'Jpy ' END AS currency, 'INV ' || o_orderkey || ' /REF' || o_custkey || '/' AS note FROM orders)"""
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text records rendered from orders, some of them bad."""
+    k = F.col("o_orderkey").cast("long")
+    plain = F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    amount = F.when(k % 5 == 0, F.replace(plain, F.lit("."), F.lit(","))).when(k % 7 == 0, "n/a").when(k % 11 == 0, F.concat(F.lit("  "), plain, F.lit(" "))).otherwise(plain)
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), amount.alias("amount"), F.when(k % 9 == 0, "991340").otherwise(F.date_format("o_orderdate", "yyMMdd")).alias("date"), pick(6, "D", "C", " d ", "RC", "DR", "cr").alias("mark"), pick(4, " usd", "EUR", "xxx", "Jpy ").alias("currency"), F.concat(F.lit("INV "), k, F.lit(" /REF"), "o_custkey", F.lit("/")).alias("note"))
+
+
+_DECIMAL = "TRY_CAST(replace(trim(amount), ',', '.') AS DECIMAL(20,2))"
+_CODE = "CASE WHEN upper(trim(currency)) IN ('USD','EUR','JPY') THEN upper(trim(currency)) END"
+_SIGNED = f"CASE WHEN upper(trim(mark)) LIKE 'D%' THEN -({_DECIMAL}) WHEN upper(trim(mark)) LIKE 'C%' THEN {_DECIMAL} END"
+_PARSED = "TRY_CAST(CASE WHEN CAST(date[1:2] AS INTEGER) >= 69 THEN '19' ELSE '20' END || date[1:2] || '-' || date[3:4] || '-' || date[5:6] AS DATE)"
+
+
+@query(f"WITH {RAW} SELECT k, CAST({_DECIMAL} AS DOUBLE) AS value FROM raw")
+def fn_parse_decimal(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.parse_decimal(F.col("amount")).cast("double").alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, CAST({_SIGNED} AS DOUBLE) AS value FROM raw")
+def fn_apply_sign(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.apply_sign(scalar.parse_decimal(F.col("amount")), F.col("mark")).cast("double").alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, upper(note) AS value FROM raw")
+def fn_upper(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", F.upper("note").alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, trim(mark) AS value FROM raw")
+def fn_trim(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.trim(F.concat(F.lit("\t"), "mark", F.lit(" \n"))).alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, {_CODE} AS value FROM raw")
+def fn_iso4217(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.iso4217(F.col("currency")).alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, {_PARSED} AS value FROM raw")
+def fn_parse_date(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.parse_date(F.col("date"), "YYMMDD").alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, nullif(regexp_extract(note, '/REF([0-9]+)/', 1), '') AS value FROM raw")
+def fn_extract_regex(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.extract_regex(F.col("note"), "/REF([0-9]+)/").alias("value"))
+
+
+@query(f"WITH {RAW} SELECT k, 'tok_' || sha256('key' || chr(0) || note)[1:32] AS value FROM raw")
+def fn_tokenize(spark, sf_dir):
+    return raw(spark, sf_dir).select("k", scalar.tokenize(F.col("note"), "key").alias("value"))
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records mapped to typed fields, with the first error as the reason."""
+    d = raw(spark, sf_dir).select("k", "note", scalar.apply_sign(scalar.parse_decimal(F.col("amount")), F.col("mark")).cast("decimal(20,4)").alias("amount"), scalar.iso4217(F.col("currency")).alias("currency"), scalar.parse_date(F.col("date"), "YYMMDD").alias("value_date"))
+    bad = lambda c: F.when(F.col(c).isNull(), f"field_mapping: target \"{c}\": cannot be mapped")
+    return d.withColumn("reason", F.coalesce(bad("amount"), bad("currency"), bad("value_date")))
+
+
+MAPPED = f"""{RAW}, parsed AS (SELECT k, note, CAST({_SIGNED} AS DECIMAL(20,4)) AS amount, {_CODE} AS currency, {_PARSED} AS value_date FROM raw),
+    mapped AS (SELECT *, CASE WHEN amount IS NULL THEN 'field_mapping: target "amount": cannot be mapped' WHEN currency IS NULL THEN 'field_mapping: target "currency": cannot be mapped' WHEN value_date IS NULL THEN 'field_mapping: target "value_date": cannot be mapped' END AS reason FROM parsed)"""
+LATEST_FX = f"{C.FX_SQL}, latest AS (SELECT currency, arg_max(rate, written) AS rate FROM fx GROUP BY currency)"
+NORMAL = f"""{MAPPED}, {LATEST_FX}, normal AS (SELECT k, amount, m.currency, value_date, value_date AS booking_date, CAST(amount * CASE WHEN m.currency = 'USD' THEN 1 ELSE rate END AS DECIMAL(20,4)) AS base_amount, CASE WHEN amount < 0 THEN 'DEBIT' ELSE 'CREDIT' END AS side, note FROM mapped m LEFT JOIN latest l ON l.currency = m.currency WHERE reason IS NULL)"""
+
+
+def latest_fx(spark: SparkSession) -> DataFrame:
+    return C.fx_rates(spark).groupBy("currency").agg(F.max_by("rate", "written").alias("rate"))
+
+
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped records in USD; the rates are a handful by definition, one for each currency of the list."""
+    good = mapped(spark, sf_dir).where("reason IS NULL").join(F.broadcast(latest_fx(spark)), "currency", "left")
+    rate = F.when(F.col("currency") == "USD", F.lit("1.0000000000").cast("decimal(20,10)")).otherwise(F.col("rate"))
+    return good.select("k", "amount", "currency", "value_date", F.col("value_date").alias("booking_date"), (F.col("amount") * rate).cast("decimal(20,4)").alias("base_amount"), F.when(F.col("amount") < 0, "DEBIT").otherwise("CREDIT").alias("side"), "note")
+
+
+@query(f"WITH {MAPPED} SELECT k, amount, currency, value_date, reason FROM mapped")
+def map_fields(spark, sf_dir):
+    return mapped(spark, sf_dir).select("k", "amount", "currency", "value_date", "reason")
+
+
+@query(f"WITH {MAPPED} SELECT reason, count(*) AS n FROM mapped GROUP BY reason")
+def quarantine_split(spark, sf_dir):
+    return mapped(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LATEST_FX} SELECT * FROM latest")
+def fx_latest(spark, sf_dir):
+    return latest_fx(spark)
+
+
+@query(f"WITH {NORMAL} SELECT k, amount, currency, value_date, booking_date, base_amount, side FROM normal")
+def normalize_fx(spark, sf_dir):
+    return normal(spark, sf_dir).drop("note")
+
+
+@query(f"WITH {NORMAL} SELECT currency, sum(base_amount)::DOUBLE AS total FROM normal GROUP BY currency")
+def fx_convert(spark, sf_dir):
+    return normal(spark, sf_dir).groupBy("currency").agg(F.sum("base_amount").cast("double").alias("total"))
+
+
+@query(f"WITH {NORMAL} SELECT k AS record, 'batch-1-' || note AS idempotency_key, 'UNMATCHED' AS status, base_amount, side FROM normal")
+def canonicalize(spark, sf_dir):
+    return normal(spark, sf_dir).select(F.col("k").alias("record"), F.concat(F.lit("batch-1-"), "note").alias("idempotency_key"), F.lit("UNMATCHED").alias("status"), "base_amount", "side")
+
+
+_CHECKS = {"currency": "currency is not a known code", "value_date": "value_date is missing", "amount": "amount is missing"}
+
+
+@query(f"WITH {MAPPED} SELECT k, list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{m}' END" for c, m in _CHECKS.items()) + "], lambda x: x IS NOT NULL) AS failures FROM mapped")
+def validate_schema(spark, sf_dir):
+    return mapped(spark, sf_dir).select("k", F.array_compact(F.array(*[F.when(F.col(c).isNull(), m) for c, m in _CHECKS.items()])).alias("failures"))
+
+
+@query(f"WITH {MAPPED} SELECT k, 'validation failed: ' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{m}' END" for c, m in _CHECKS.items()) + "], lambda x: x IS NOT NULL), '; ') AS reason FROM mapped WHERE reason IS NOT NULL")
+def validate_all(spark, sf_dir):
+    failures = F.concat_ws("; ", *[F.when(F.col(c).isNull(), m) for c, m in _CHECKS.items()])
+    return mapped(spark, sf_dir).where("reason IS NOT NULL").select("k", F.concat(F.lit("validation failed: "), failures).alias("reason"))
+
+
+@query(f"WITH {NORMAL} SELECT k, side = 'DEBIT' AND amount > 0 OR side = 'CREDIT' AND amount < 0 AS failed FROM normal")
+def rule_amount_sign(spark, sf_dir):
+    return normal(spark, sf_dir).selectExpr("k", "side = 'DEBIT' AND amount > 0 OR side = 'CREDIT' AND amount < 0 AS failed")
+
+
+@query("SELECT id, account_id IN ('BANK-1','BANK-5','BANK-9') AS allowed FROM src", ledgers=True)
+def rule_allowlist(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).select("id", F.col("account_id").isin("BANK-1", "BANK-5", "BANK-9").alias("allowed"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value, json_extract_string(props, '$.k') IS NULL AS missing FROM events")
+def field_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("value"), F.get_json_object("props", "$.k").isNull().alias("missing"))
+
+
+@query(f"WITH r AS ({_RULES}) SELECT name, max(version) AS version FROM r WHERE status = 'ACTIVE' GROUP BY name")
+def active_spec(spark, sf_dir):
+    """The newest active version of each name."""
+    order = Window.partitionBy("name").orderBy(F.col("version").desc())
+    return _rules(spark, sf_dir).where("status = 'ACTIVE'").withColumn("place", F.row_number().over(order)).where("place = 1").select("name", "version")
+
+
+@query("SELECT doc_id, trim(array_to_string(list_filter(list_transform(regexp_split_to_array(replace(coalesce(text[1:60], ''), ' ', '?20'), '\\?\\d{2}'), lambda x: trim(x)), lambda x: x <> ''), ' ')) AS note FROM documents".replace("text[1:60]", "source || ' ' || lang"))
+def mt940_structured(spark, sf_dir):
+    """Structured remittance text: the parts between two-digit codes."""
+    from ledgerloom.sources.mt940 import structured
+
+    note = F.replace(F.concat("source", F.lit(" "), "lang"), F.lit(" "), F.lit("?20"))
+    return table(spark, sf_dir, "documents").select("doc_id", structured(F.coalesce(note, F.lit(""))).alias("note"))
+
+
+# ---------------------------------------------------------------- hashes
+@query("SELECT id, sha256(tenant_id || chr(0) || account_id || chr(0) || reference || chr(0) || 'batch-1') AS key FROM src", ledgers=True)
+def idempotency_key(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).select("id", scalar.sha_parts(F.col("tenant_id"), F.col("account_id"), F.col("reference"), F.lit("batch-1")).alias("key"))
+
+
+_HASH = "sha256('amount' || chr(0) || regexp_replace(regexp_replace(CAST(base_amount AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || chr(0) || 'counterparty' || chr(0) || account_id || chr(0) || 'currency' || chr(0) || currency || chr(0) || 'description' || chr(0) || reference || chr(0) || 'value_date' || chr(0) || CAST(value_date AS VARCHAR) || chr(0))"
+
+
+def record_hash_column():
+    parts = [("amount", scalar.decimal_text(F.col("base_amount"))), ("counterparty", F.col("account_id")), ("currency", F.col("currency")), ("description", F.col("reference")), ("value_date", F.col("value_date").cast("string"))]
+    return F.sha2(F.concat(*[x for name, c in parts for x in (F.lit(f"{name}\x00"), c, F.lit("\x00"))]), 256)
+
+
+@query(f"SELECT id, {_HASH} AS hash FROM src", ledgers=True)
+def record_hash(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).select("id", record_hash_column().alias("hash"))
+
+
+@query(f"SELECT id, CASE WHEN ord % 4 = 0 THEN {_HASH} ELSE reference END AS key FROM src", ledgers=True)
+def natural_key(spark, sf_dir):
+    return C.source_ledger(spark, sf_dir).select("id", F.coalesce(F.when(F.col("ord") % 4 != 0, F.col("reference")), record_hash_column()).alias("key"))
+
+
+@query("SELECT event_id, sha256(CAST(event_id AS VARCHAR) || chr(0) || props) AS key FROM events")
+def delivery_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.sha_parts(F.col("event_id").cast("string"), F.col("props")).alias("key"))
+
+
+@query("SELECT reference, min(id) AS id FROM (SELECT reference, id FROM src UNION ALL SELECT replace(reference, 'X', ''), id FROM tgt) GROUP BY reference", ledgers=True)
+def dedup_batch(spark, sf_dir):
+    """One record for each natural key."""
+    s, t = ledgers(spark, sf_dir)
+    both = s.select("reference", "id").unionAll(t.select(F.replace("reference", F.lit("X"), F.lit("")), "id"))
+    return both.groupBy("reference").agg(F.min("id").alias("id"))
+
+
+@query("SELECT doc_id, EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND e.doc_id < d.doc_id AND sha256(coalesce(e.text, '')) = sha256(coalesce(d.text, ''))) AS rejected FROM documents d")
+def reupload_check(spark, sf_dir):
+    """Files whose account has had the same content before."""
+    files = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
+    first = files.groupBy("source", "checksum").agg(F.min("doc_id").alias("first"))
+    return files.join(first, ["source", "checksum"]).select("doc_id", (F.col("doc_id") > F.col("first")).alias("rejected"))
+
+
+@query()
+def aes_roundtrip(spark, sf_dir):
+    """Payloads encrypted and decrypted again."""
+    key = F.lit("0123456789abcdef")
+    return table(spark, sf_dir, "events").select("event_id", (F.aes_decrypt(F.aes_encrypt("props", key), key).cast("string") == F.col("props")).alias("same"))
+
+
+@query()
+def hmac_verify(spark, sf_dir):
+    """Signatures over payloads, checked by an Arrow UDF."""
+    from ledgerloom.operators.notify import sign, verify
+
+    events = table(spark, sf_dir, "events").select("event_id", "props", F.unix_timestamp("ts").alias("t"))
+    signed = events.withColumn("signature", sign(F.col("t"), F.col("props"), F.lit("secret")))
+    return signed.select("event_id", verify(F.col("signature"), F.col("props"), F.lit("secret")).alias("valid"))
+
+
+# ---------------------------------------------------------------- change data and reports
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.operators.analytics import decode
+
+    return decode(C.changes(spark, sf_dir))
+
+
+@query(f"WITH {C.CHANGES_SQL} SELECT * FROM decoded")
+def cdc_decode(spark, sf_dir):
+    return decoded(spark, sf_dir)
+
+
+@query(f"WITH {C.CHANGES_SQL} SELECT id, tenant_id, version, status, amount FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, id ORDER BY version DESC) AS place FROM decoded) WHERE place = 1 AND is_deleted = 0")
+def cdc_latest(spark, sf_dir):
+    from ledgerloom.operators.analytics import latest
+
+    return latest(decoded(spark, sf_dir)).select("id", "tenant_id", "version", "status", "amount")
+
+
+_DAY = "CAST(date_trunc('day', ts) AS DATE)"
+
+
+@query(f"SELECT user_id % 5 AS tenant, event_type AS rule, {_DAY} AS day, count(*) AS matches, avg(value) AS average FROM events GROUP BY ALL")
+def match_rate_by_rule(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy((F.col("user_id") % 5).alias("tenant"), F.col("event_type").alias("rule"), F.to_date("ts").alias("day")).agg(F.count("*").alias("matches"), F.avg("value").alias("average"))
+
+
+@query("SELECT user_id % 5 AS tenant, event_type AS rule, count(*) AS matches, avg(value) AS average FROM events GROUP BY ALL")
+def agg_state_merge(spark, sf_dir):
+    """Daily partial states (count, sum), merged."""
+    e = table(spark, sf_dir, "events")
+    states = e.groupBy((F.col("user_id") % 5).alias("tenant"), F.col("event_type").alias("rule"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return states.groupBy("tenant", "rule").agg(F.sum("n").alias("matches"), (F.sum("total") / F.sum("n")).alias("average"))
+
+
+_HOURS = "CASE priority WHEN 'HIGH' THEN 4 WHEN 'LOW' THEN 72 ELSE 24 END"
+
+
+@query(f"SELECT id, opened_at + to_hours({_HOURS}) AS due_at FROM cases", cases=True)
+def sla_due(spark, sf_dir):
+    return C.cases(spark, sf_dir).select("id", scalar.sla_due(F.col("opened_at"), F.col("priority")).cast("timestamp_ntz").alias("due_at"))
+
+
+@query(f"SELECT tenant_id, assignee, root_cause, CAST(resolved_at AS DATE) AS day, count(*) AS total, count(*) FILTER (resolved_at > opened_at + to_hours({_HOURS})) AS breached, avg(epoch(resolved_at) - epoch(opened_at)) AS seconds FROM cases WHERE resolved_at IS NOT NULL GROUP BY ALL", cases=True)
+def sla_compliance(spark, sf_dir):
+    c = C.cases(spark, sf_dir).where("resolved_at IS NOT NULL").withColumn("due_at", scalar.sla_due(F.col("opened_at"), F.col("priority")))
+    return c.groupBy("tenant_id", "assignee", "root_cause", F.to_date("resolved_at").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("resolved_at") > F.col("due_at")).alias("breached"), F.avg((F.unix_timestamp("resolved_at") - F.unix_timestamp("opened_at")).cast("double")).alias("seconds"))
+
+
+_AGE = "CASE WHEN days < 1 THEN '0-1d' WHEN days < 3 THEN '1-3d' WHEN days < 7 THEN '3-7d' WHEN days < 30 THEN '7-30d' ELSE '30+d' END"
+
+
+@query(f"SELECT tenant_id, {_AGE} AS bucket, count(*) AS n FROM (SELECT *, date_diff('day', CAST(opened_at AS DATE), DATE '2001-01-01') AS days FROM cases WHERE status NOT IN ('RESOLVED','WRITTEN_OFF')) GROUP BY ALL", cases=True)
+def breaks_aging(spark, sf_dir):
+    c = C.cases(spark, sf_dir).where("status NOT IN ('RESOLVED','WRITTEN_OFF')").withColumn("days", F.datediff(F.lit("2001-01-01").cast("date"), F.to_date("opened_at")))
+    return c.groupBy("tenant_id", F.expr(_AGE).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id FROM cases WHERE opened_at >= TIMESTAMP '2001-01-01' - INTERVAL 3 YEAR", cases=True)
+def ttl_filter(spark, sf_dir):
+    return C.cases(spark, sf_dir).where("opened_at >= TIMESTAMP '2001-01-01' - INTERVAL 3 YEAR").select("id")
+
+
+# ---------------------------------------------------------------- audit, cases, events
+_BODY = "'T-' || (user_id % 20) || '|' || event_id || '|' || event_type || '|' || user_id"
+
+
+@query(f"WITH e AS (SELECT event_id AS id, user_id % 20 AS t, {_BODY} AS body FROM events), h AS (SELECT *, CASE WHEN id % 97 = 0 THEN 'bad' ELSE coalesce(lag(sha256(body)) OVER w, '') END AS prev, coalesce(lag(sha256(body)) OVER w, '') AS want FROM e WINDOW w AS (PARTITION BY t ORDER BY id)) SELECT 'T-' || t AS tenant_id, min(id) FILTER (prev <> want) AS first_broken FROM h GROUP BY t")
+def audit_verify(spark, sf_dir):
+    """The first event of each tenant whose stored hash is not that of its predecessor."""
+    from ledgerloom.operators.audit import body, verify
+
+    log = C.audit_events(spark, sf_dir)
+    before = F.coalesce(F.lag(F.sha2(body(), 256)).over(Window.partitionBy("tenant_id").orderBy("id")), F.lit(""))
+    return verify(log.withColumn("prev_hash", F.when(F.col("id") % 97 == 0, "bad").otherwise(before)))
+
+
+@query()
+def audit_chain_build(spark, sf_dir):
+    """The hash chain of each tenant, written in order."""
+    from ledgerloom.operators.audit import build
+
+    return build(C.audit_events(spark, sf_dir))
+
+
+EDGES_SQL = "edges(a, b) AS (VALUES " + ", ".join(f"('{a}','{b}')" for a, bs in {"OPEN": ["ASSIGNED"], "ASSIGNED": ["IN_PROGRESS", "ESCALATED"], "IN_PROGRESS": ["PENDING_APPROVAL", "RESOLVED", "ESCALATED"], "PENDING_APPROVAL": ["RESOLVED", "ASSIGNED", "WRITTEN_OFF"], "ESCALATED": ["ASSIGNED"], "RESOLVED": ["REOPENED"], "WRITTEN_OFF": ["REOPENED"], "REOPENED": ["ASSIGNED"]}.items() for b in bs) + ")"
+_STATES = "['OPEN','ASSIGNED','IN_PROGRESS','PENDING_APPROVAL','ESCALATED','RESOLVED','WRITTEN_OFF','REOPENED']"
+
+
+@query(f"WITH {EDGES_SQL}, t AS (SELECT event_id, {_STATES}[event_id % 8 + 1] AS a, {_STATES}[event_id // 8 % 8 + 1] AS b FROM events) SELECT event_id, a, b, (a, b) IN (SELECT (a, b) FROM edges) AS valid FROM t")
+def case_transition_valid(spark, sf_dir):
+    from ledgerloom.operators.cases import STATES, valid
+
+    e = F.col("event_id")
+    at = lambda i: F.element_at(F.array(*map(F.lit, STATES)), (i % 8 + 1).cast("int"))
+    t = table(spark, sf_dir, "events").select("event_id", at(e).alias("a"), at(F.floor(e / 8)).alias("b"))
+    return t.withColumn("valid", valid(F.col("a"), F.col("b")))
+
+
+@query()
+def case_replay(spark, sf_dir):
+    """Each case's status after its events in order; events that the state does not allow are rejected."""
+    from ledgerloom.operators.cases import STATES, replay
+
+    e = F.col("event_id")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), e.alias("id"), F.element_at(F.array(*map(F.lit, STATES)), (F.pmod(F.xxhash64(e), F.lit(8)) + 1).cast("int")).alias("to"))
+    return replay(log)
+
+
+@query("SELECT user_id AS case_id, max(ts) FILTER (event_type = 'purchase') AS resolved_at FROM events GROUP BY user_id")
+def case_resolved_at(spark, sf_dir):
+    """The last time of resolution; reopening keeps it."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("resolved_at"))
+
+
+@query("SELECT user_id % 50 AS case_id, arg_max(user_id, event_id) AS requester FROM events WHERE event_type = 'signup' GROUP BY 1")
+def approval_requester(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy((F.col("user_id") % 50).alias("case_id")).agg(F.max_by("user_id", "event_id").alias("requester"))
+
+
+@query("WITH r AS (SELECT user_id % 50 AS case_id, arg_max(user_id, event_id) AS maker FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT event_id, user_id <> maker AS allowed FROM events e JOIN r ON r.case_id = e.user_id % 50 WHERE event_type = 'purchase'")
+def maker_checker(spark, sf_dir):
+    """Whether an approver is another than the one who asked."""
+    maker = approval_requester(spark, sf_dir).withColumnRenamed("requester", "maker")
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("case_id", F.col("user_id") % 50).join(maker, "case_id").select("event_id", (F.col("user_id") != F.col("maker")).alias("allowed"))
+
+
+@query("WITH v AS (SELECT user_id % 50 AS c, event_id, user_id, event_type = 'error' AND event_id % 40 = 0 AS no FROM events WHERE event_type IN ('error','purchase')), f AS (SELECT c, min(event_id) FILTER (no) AS stop FROM v GROUP BY c) SELECT v.c AS case_id, CASE WHEN count(DISTINCT user_id) FILTER (NOT no AND (stop IS NULL OR event_id < stop)) >= 2 THEN 'APPROVED' WHEN max(stop) IS NOT NULL THEN 'REJECTED' ELSE 'PENDING' END AS outcome FROM v JOIN f ON f.c = v.c GROUP BY v.c")
+def approval_outcome(spark, sf_dir):
+    """Approved by two before the first rejection, rejected, or pending."""
+    v = table(spark, sf_dir, "events").where("event_type IN ('error','purchase')").select((F.col("user_id") % 50).alias("case_id"), "event_id", "user_id", F.expr("event_type = 'error' AND event_id % 40 = 0").alias("no"))
+    stops = v.groupBy("case_id").agg(F.min(F.when(F.col("no"), F.col("event_id"))).alias("stop"))
+    early = F.col("stop").isNull() | (F.col("event_id") < F.col("stop"))
+    voted = v.join(stops, "case_id").groupBy("case_id").agg(F.count_distinct(F.when(~F.col("no") & early, F.col("user_id"))).alias("n"), F.max("stop").alias("stop"))
+    return voted.select("case_id", F.when(F.col("n") >= 2, "APPROVED").when(F.col("stop").isNotNull(), "REJECTED").otherwise("PENDING").alias("outcome"))
+
+
+@query(f"SELECT id, CASE WHEN TIMESTAMP '2000-06-01' >= opened_at + to_hours({_HOURS}) THEN 'break.sla_breached' WHEN TIMESTAMP '2000-06-01' >= opened_at + to_minutes({_HOURS} * 45) THEN 'break.sla_warning' END AS event FROM cases WHERE status NOT IN ('RESOLVED','WRITTEN_OFF')", cases=True)
+def sla_events(spark, sf_dir):
+    """Warnings at three quarters of the time, and breaches."""
+    c = C.cases(spark, sf_dir).where("status NOT IN ('RESOLVED','WRITTEN_OFF')")
+    opened, due, now = F.unix_timestamp("opened_at"), F.unix_timestamp(scalar.sla_due(F.col("opened_at"), F.col("priority"))), F.unix_timestamp(F.lit("2000-06-01 00:00:00").cast("timestamp"))
+    return c.select("id", F.when(now >= due, "break.sla_breached").when(now >= opened + (due - opened) * 3 / 4, "break.sla_warning").alias("event"))
+
+
+@query()
+def auto_assign(spark, sf_dir):
+    """Breaks dealt to a team by the FNV-1a hash of their ids."""
+    from ledgerloom.operators.cases import fnv1a
+
+    team = F.array(*[F.lit(f"U-{i}") for i in range(5)])
+    return C.cases(spark, sf_dir).select("id", F.element_at(team, (fnv1a(F.col("id")) % 5 + 1).cast("int")).alias("assignee"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT id, status, (status, 'ASSIGNED') IN (SELECT (a, b) FROM edges) AS succeeded FROM cases", cases=True)
+def bulk_transition(spark, sf_dir):
+    """A transition of many cases at once, with each one's success."""
+    from ledgerloom.operators.cases import valid
+
+    return C.cases(spark, sf_dir).select("id", "status", valid(F.col("status"), F.lit("ASSIGNED")).alias("succeeded"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'auditor' WHEN user_id % 4 = 1 THEN 'approver' WHEN user_id % 4 = 2 THEN 'tenant_admin' ELSE 'analyst' END AS role, CASE user_id % 4 WHEN 0 THEN false WHEN 3 THEN false ELSE user_id <> event_id % 150 END AS allowed FROM events")
+def authz_decision(spark, sf_dir):
+    """Who may approve: certain roles, and never the maker."""
+    from ledgerloom.operators.cases import allowed
+
+    u = F.col("user_id")
+    role = F.when(u % 4 == 0, "auditor").when(u % 4 == 1, "approver").when(u % 4 == 2, "tenant_admin").otherwise("analyst")
+    return table(spark, sf_dir, "events").select("event_id", role.alias("role"), allowed(F.lit("case.approve"), role, u, F.col("event_id") % 150, F.lit(None), F.lit(None)).alias("allowed"))
+
+
+@query("SELECT event_id, value >= 20 AS by_value, event_type <> 'click' AS by_type, false AS missing FROM events")
+def event_filter(spark, sf_dir):
+    """Filter expressions compiled over JSON payloads."""
+    from ledgerloom.operators.notify import compile_filter
+
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("value", "event_type")).alias("payload"))
+    return e.select("event_id", *[compile_filter(x, F.col("payload")).alias(n) for n, x in (("by_value", "value >= 20"), ("by_type", "event_type != 'click'"), ("missing", "other == 1"))])
+
+
+_SUBSCRIPTIONS = "subs(sub, active, types) AS (VALUES (1, true, ['click','error']), (2, true, ['purchase']), (3, false, ['click','view']))"
+
+
+def _subscriptions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, True, ["click", "error"]), (2, True, ["purchase"]), (3, False, ["click", "view"])], "sub int, active boolean, types array<string>")
+
+
+@query(f"WITH {_SUBSCRIPTIONS} SELECT sub, count(*) AS n FROM events JOIN subs ON active AND list_contains(types, event_type) GROUP BY sub")
+def subscription_match(spark, sf_dir):
+    by_type = _subscriptions(spark).where("active").select("sub", F.explode("types").alias("event_type"))
+    return table(spark, sf_dir, "events").join(by_type, "event_type").groupBy("sub").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SUBSCRIPTIONS} SELECT event_id, sub, 'PENDING' AS status FROM events JOIN subs ON active AND list_contains(types, event_type) WHERE value >= 20")
+def webhook_fanout(spark, sf_dir):
+    """A delivery for each event and active subscription that wants it."""
+    by_type = _subscriptions(spark).where("active").select("sub", F.explode("types").alias("event_type"))
+    return table(spark, sf_dir, "events").where("value >= 20").join(by_type, "event_type").select("event_id", "sub", F.lit("PENDING").alias("status"))
+
+
+@query("SELECT event_id, event_id % 10 + 1 AS attempt, [1, 5, 30, 120, 720][least(event_id % 10 + 1, 5)] AS minutes FROM events")
+def backoff_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 10 + 1).alias("attempt"), scalar.backoff_minutes((F.col("event_id") % 10 + 1).cast("int")).alias("minutes"))
+
+
+@query("WITH a AS (SELECT user_id AS delivery, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT delivery, min(n) FILTER (ok) AS hit, count(*) AS tries FROM a GROUP BY delivery) SELECT delivery, CASE WHEN hit <= 8 THEN 'DELIVERED' WHEN tries >= 8 THEN 'DEAD_LETTERED' ELSE 'FAILED' END AS status FROM f")
+def delivery_state(spark, sf_dir):
+    """Deliveries after their attempts: the first success counts, the eighth failure is the last."""
+    a = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    f = a.groupBy(F.col("user_id").alias("delivery")).agg(F.min(F.when(F.col("event_type") == "purchase", F.col("n"))).alias("hit"), F.count("*").alias("tries"))
+    return f.select("delivery", F.when(F.col("hit") <= 8, "DELIVERED").when(F.col("tries") >= 8, "DEAD_LETTERED").otherwise("FAILED").alias("status"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0 ORDER BY ts, event_id LIMIT 100")
+def outbox_unsent(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_id % 3 = 0").orderBy("ts", "event_id").limit(100).select("event_id")
+
+
+@query("SELECT event_id, 'events.' || event_type AS topic, json_object('id', event_id, 'user', user_id) AS payload FROM events")
+def outbox_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("events."), "event_type").alias("topic"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user"))).alias("payload"))
+
+
+@query("SELECT event_id, json_object('reason', 'no_confirming_match_found', 'result', event_id) AS payload FROM events WHERE event_type = 'error'")
+def variance_payload(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.to_json(F.struct(F.lit("no_confirming_match_found").alias("reason"), F.col("event_id").alias("result"))).alias("payload"))
+
+
+# ---------------------------------------------------------------- sources and streams
+@query()
+def scan_csv(spark, sf_dir):
+    """Nations written as CSV and scanned as text, bad rows apart."""
+    from ledgerloom.sources.files import scan_csv as scan
+    from ledgerloom.sources.files import shared
+
+    folder = shared(spark, "csv")
+    table(spark, sf_dir, "nation").write.option("header", True).csv(folder)
+    return scan(spark, folder, ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query()
+def mt940_parse(spark, sf_dir):
+    from ledgerloom.sources.mt940 import parse
+
+    return parse(_statements(spark, sf_dir))
+
+
+@query()
+def scan_mt940(spark, sf_dir):
+    """Statement files, one message each, scanned from a folder."""
+    from ledgerloom.sources.files import shared
+    from ledgerloom.sources.mt940 import parse
+
+    folder = shared(spark, "mt940")
+    _statements(spark, sf_dir).select("message").write.text(folder, lineSep="\u0003")
+    return parse(spark.read.text(folder, lineSep="\u0003").select(F.xxhash64("value").alias("statement_id"), F.col("value").alias("message")))
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement of each nation's customers, rendered as text."""
+    line = F.concat(F.lit(":61:"), F.date_format(F.lit("2024-01-15").cast("date"), "yyMMdd"), F.when(F.col("c_custkey") % 2 == 0, "C").otherwise("D"), F.replace(F.col("c_acctbal").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")), F.lit("NTRFREF"), "c_custkey", F.lit("\n:86:note "), "c_custkey")
+    lines = table(spark, sf_dir, "customer").where("c_acctbal >= 0").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("ls"))
+    return lines.select(F.col("c_nationkey").cast("long").alias("statement_id"), F.concat(F.lit(":20:ST"), "c_nationkey", F.lit("\n:25:ACC"), "c_nationkey", F.lit("\n:28C:1/1\n:60F:C240101EUR0,\n"), F.array_join("ls.line", "\n"), F.lit("\n:62F:C240131EUR0,\n-")).alias("message"))
+
+
+@query()
+def stream_dedup(spark, sf_dir):
+    """Deliveries without those that came again within ten minutes."""
+    from ledgerloom.streaming.jobs import dedup
+
+    return dedup(spark, sf_dir)
+
+
+@query()
+def stream_match_rate(spark, sf_dir):
+    """Counts and sums by day, kept up to date by a stream."""
+    from ledgerloom.streaming.jobs import match_rate
+
+    return match_rate(spark, sf_dir)
+
+
+@query()
+def stream_match(spark, sf_dir):
+    """Incoming records matched with a pool of the last seven days, by tenant."""
+    from ledgerloom.streaming.jobs import pool_match
+
+    s, t = ledgers(spark, sf_dir)
+    return pool_match(spark, s.unionByName(t))
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    """Requests that a bucket of ten tokens a user, refilled at one an hour, lets through."""
+    from ledgerloom.operators.cases import token_bucket
+
+    return token_bucket(table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("t")), 10, 1 / 3600)
