@@ -18,11 +18,21 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Results' decimal columns; they are returned as doubles, which both engines write alike.
+MONEY = {
+    "match_unmatched": ["base_amount"], "open_breaks": ["amount_at_risk"], "match_result_lines": ["allocated_amount"], "list_transactions": ["base_amount"], "tenant_scope": ["base_amount"],
+    "topk_unmatched": ["base_amount"], "list_breaks": ["amount_at_risk"], "map_fields": ["amount"], "normalize_fx": ["amount", "base_amount"], "canonicalize": ["base_amount"], "fx_latest": ["rate"],
+    "cdc_decode": ["amount"], "cdc_latest": ["amount"],
+}
+
+
 def query(sql: str | None = None, ledgers: bool = False, cases: bool = False):
     """Register a query under its function's name, with SQL over the ledgers or cases where asked for."""
 
     def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        name = function.__name__
+        money = MONEY.get(name, [])
+        QUERIES[name] = function if not money else lambda spark, sf_dir: function(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in money})
         if sql is not None:
             parts = [C.SOURCE_SQL, C.TARGET_SQL] * ledgers + [C.CASES_SQL] * cases
             body = sql.strip()
@@ -32,7 +42,9 @@ def query(sql: str | None = None, ledgers: bool = False, cases: bool = False):
                 body = "WITH " + ", ".join(parts) + ", " + body[5:]
             elif parts:
                 body = "WITH " + ", ".join(parts) + " " + body
-            SQL[function.__name__] = body
+            if money:
+                body = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in money)}) FROM ({body})"
+            SQL[name] = body
         return function
 
     return add
@@ -208,11 +220,11 @@ def outcome_counts(spark, sf_dir):
     return chain(spark, sf_dir).groupBy("rule", "status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {GREEDY}, r AS (SELECT src_id, tgt_id, score, s.base_amount FROM m JOIN src s ON s.ord = m.src_ord WHERE score < 0.95) SELECT src_id || '>' || tgt_id AS result_id, [src_id] AS source_ids, [tgt_id] AS target_ids, score FROM r", ledgers=True)
+@query(f"WITH {GREEDY}, r AS (SELECT src_id, tgt_id, score, s.base_amount FROM m JOIN src s ON s.ord = m.src_ord WHERE score < 0.95) SELECT src_id || '>' || tgt_id AS result_id, src_id AS source_ids, tgt_id AS target_ids, score FROM r", ledgers=True)
 def suggested_matches(spark, sf_dir):
     got = matching.match(*ledgers(spark, sf_dir), rules.parse(rules.AMOUNT_DATE)).where("status = 'SUGGESTED'").withColumn("result_id", F.concat("src_id", F.lit(">"), "tgt_id"))
     lines = got.select("result_id", "score", F.explode(F.array(F.struct(F.lit("S").alias("side"), F.col("src_id").alias("id")), F.struct(F.lit("T").alias("side"), F.col("tgt_id").alias("id")))).alias("x"))
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("x.side") == side, F.col("x.id"))))
+    of = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(F.col("x.side") == side, F.col("x.id")))), ",")
     return lines.groupBy("result_id", "score").agg(of("S").alias("source_ids"), of("T").alias("target_ids"))
 
 
@@ -294,7 +306,7 @@ def enumerate_since(spark, sf_dir):
     return _partitions(*recent)
 
 
-@query("SELECT account_id, value_date - 3 + CAST(i AS INTEGER) AS partition_day, count(*) AS n FROM src, range(8) r(i) GROUP BY ALL", ledgers=True)
+@query("SELECT account_id, CAST(day AS DATE) AS partition_day, count(*) AS n FROM (SELECT account_id, unnest(generate_series(value_date - 3, value_date + 4, INTERVAL 1 DAY)) AS day FROM src) GROUP BY ALL", ledgers=True)
 def partition_load(spark, sf_dir):
     """The rows that each day's partition loads: from three days before to four days after."""
     days = C.source_ledger(spark, sf_dir).select("account_id", F.explode(F.sequence(F.date_add("value_date", -3), F.date_add("value_date", 4))).alias("partition_day"))
@@ -473,9 +485,9 @@ def canonicalize(spark, sf_dir):
 _CHECKS = {"currency": "currency is not a known code", "value_date": "value_date is missing", "amount": "amount is missing"}
 
 
-@query(f"WITH {MAPPED} SELECT k, list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{m}' END" for c, m in _CHECKS.items()) + "], lambda x: x IS NOT NULL) AS failures FROM mapped")
+@query(f"WITH {MAPPED} SELECT k, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{m}' END" for c, m in _CHECKS.items()) + "], lambda x: x IS NOT NULL), '|') AS failures FROM mapped")
 def validate_schema(spark, sf_dir):
-    return mapped(spark, sf_dir).select("k", F.array_compact(F.array(*[F.when(F.col(c).isNull(), m) for c, m in _CHECKS.items()])).alias("failures"))
+    return mapped(spark, sf_dir).select("k", F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), m) for c, m in _CHECKS.items()])), "|").alias("failures"))
 
 
 @query(f"WITH {MAPPED} SELECT k, 'validation failed: ' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{m}' END" for c, m in _CHECKS.items()) + "], lambda x: x IS NOT NULL), '; ') AS reason FROM mapped WHERE reason IS NOT NULL")
@@ -511,7 +523,7 @@ def active_spec(spark, sf_dir):
     return _rules(spark, sf_dir).where("status = 'ACTIVE'").withColumn("place", F.row_number().over(order)).where("place = 1").select("name", "version")
 
 
-@query("SELECT doc_id, trim(array_to_string(list_filter(list_transform(regexp_split_to_array(replace(coalesce(text[1:60], ''), ' ', '?20'), '\\?\\d{2}'), lambda x: trim(x)), lambda x: x <> ''), ' ')) AS note FROM documents".replace("text[1:60]", "source || ' ' || lang"))
+@query("SELECT doc_id, trim(array_to_string(list_filter(list_transform(regexp_split_to_array(replace(coalesce(text[1:60], ''), ' ', '?20'), '[?][0-9]{2}'), lambda x: trim(x)), lambda x: x <> ''), ' ')) AS note FROM documents".replace("text[1:60]", "source || ' ' || lang"))
 def mt940_structured(spark, sf_dir):
     """Structured remittance text: the parts between two-digit codes."""
     from ledgerloom.sources.mt940 import structured

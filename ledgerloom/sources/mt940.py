@@ -11,7 +11,7 @@ LINE_61 = r"^([0-9]{6})([0-9]{4})?(RD|RC|D|C)([0-9]+,[0-9]*)([A-Z]{4})?([^/\n]*?
 
 def structured(note: Column) -> Column:
     """The parts between ``?nn`` codes, trimmed and joined by spaces."""
-    return F.array_join(F.filter(F.transform(F.split(note, r"\?[0-9]{2}"), F.trim), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(note, r"\?[0-9]{2}"), lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
 def parse(statements: DataFrame, dialect: str = "generic") -> DataFrame:

@@ -16,7 +16,8 @@ POOL_DAYS = 7
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    read = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    return read.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _finish(frame: DataFrame, mode: str) -> DataFrame:

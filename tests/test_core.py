@@ -1,0 +1,81 @@
+"""Queries against their SQL in DuckDB, and the parts that SQL does not cover."""
+
+import glob
+import os
+import random
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from ledgerloom.functions import similarity
+from ledgerloom.operators import cases, matching
+from ledgerloom.plans import rules
+from ledgerloom.queries import QUERIES, SQL
+from ledgerloom.sources.mt940 import parse
+from tools_verify import canonical
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for path in glob.glob(f"{SMALL}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, SMALL).toPandas(), duck.execute(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert canonical(got) == canonical(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, name):
+    assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_assignment_is_greedy_by_source(spark):
+    rng = random.Random(1)
+    for _ in range(6):
+        edges = {(s, t): rng.choice([0.7, 0.8, 0.9]) for s in range(9) for t in range(9) if rng.random() < 0.5}
+        frame = spark.createDataFrame([(s, f"s{s}", t, f"t{t}", w, [rng.randrange(0, 1)]) for (s, t), w in edges.items()], "src_ord long, src_id string, tgt_ord long, tgt_id string, score double, ranks array<long>")
+        free, want = set(range(9)), set()
+        for s in range(9):
+            best = sorted((-w, t) for (a, t), w in edges.items() if a == s and t in free)
+            if best:
+                want.add((s, best[0][1]))
+                free.remove(best[0][1])
+        assert {(r.src_ord, r.tgt_ord) for r in matching.assign(frame).collect()} == want
+
+
+def test_rules_are_checked():
+    rule = rules.parse(rules.AMOUNT_DATE)
+    assert [k.kind for k in rule.keys] == ["exact", "exact", "date_window", "numeric"]
+    for bad in ("blocking_keys: []", "blocking_keys: [{field: a}]", "blocking_keys: [{field: a}]\nscoring: [{field: a, method: odd}]", "blocking_keys: [{field: a}]\nscoring: [{field: base_amount, method: exact}]", "blocking_keys: [{field: a}]\nscoring: [{field: side, method: exact}]\ncardinality: 'M:N'"):
+        with pytest.raises(ValueError):
+            rules.parse(bad)
+
+
+def test_jaro_winkler_values():
+    assert similarity.jaro_winkler("", "") == 1.0 and similarity.jaro_winkler("a", "") == 0.0
+    assert round(similarity.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
+    assert round(similarity.jaro_winkler("DIXON", "DICKSONX"), 4) == 0.8133
+
+
+def test_fnv_and_statement_lines(spark):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(cases.fnv1a(F.lit("foobar"))).first()[0] == 0xBF9CF968
+    message = ":20:R\n:25:A\n:28C:1\n:60F:C240101EUR1,\n:61:240115C12,5NTRFX//B\n:86:one\ntwo\n:61:240116RD7,NTRFY\n:61:bad\n:62F:C240131EUR1,\n-"
+    got = parse(spark.createDataFrame([(1, message)], "statement_id long, message string")).orderBy("line").collect()
+    assert [(r.mark, r.note, r.currency) for r in got] == [("C", "one\ntwo", "EUR"), ("RD", "", "EUR"), (None, "", "EUR")]
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
