@@ -78,7 +78,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id").cast("long")
     row = F.to_json(F.struct(F.concat(F.lit("U-"), "user_id").alias("id"), F.concat(F.lit("T-"), F.col("user_id") % 5).alias("tenant_id"), F.col("event_type").alias("status"), F.col("value").cast("decimal(20,4)").cast("string").alias("amount"), (F.lit(19700) + e % 400).alias("value_date")))
     op = F.when(e % 10 == 0, "d").when(e % 10 < 4, "u").otherwise("c")
-    return table(spark, sf_dir, "events").select(e.alias("version"), op.alias("op"), F.when(op != "c", row).alias("before"), F.when(op != "d", row).alias("after"), F.unix_millis("ts").alias("ts_ms"))
+    return table(spark, sf_dir, "events").select(e.alias("version"), op.alias("op"), F.when(op != "c", row).alias("before"), F.when(op != "d", row).alias("after"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
 
 
 CHANGES_SQL = """decoded AS (

@@ -13,6 +13,8 @@ from ledgerloom.session import table
 from ledgerloom.sources.files import shared
 
 POOL_DAYS = 7
+#: Parts of a tenant's pool, by amount.
+POOL_PARTS = 16
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,27 +46,31 @@ def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_match(spark: SparkSession, records: DataFrame) -> DataFrame:
     """Each record meets its tenant's pool of the last days; equal amount, currency and near date match at once.
 
-    The pool is the state of a (tenant, currency, amount) group, so it stays small however large a tenant is.
+    The pool is the state of a (tenant, currency, part of the amounts) group, so a large tenant has many.
     """
     folder = shared(spark, "records")
     records.write.parquet(folder)
     stream = spark.readStream.schema(records.schema).parquet(folder)
 
     def match(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pool = [tuple(x) for x in state.get[0]] if state.exists else []
-        rows = sorted((r.value_date.toordinal(), r.id) for f in frames for r in f.itertuples())
-        out = []
-        for day, who in rows:
-            pool = [p for p in pool if p[0] >= day - POOL_DAYS]
-            other = next((p for p in pool if p[1][0] != who[0] and abs(p[0] - day) <= 2), None)
+        pool: dict[str, list[tuple[int, str]]] = {}
+        for day, who, amount in state.get[0] if state.exists else []:
+            pool.setdefault(amount, []).append((day, who))
+        newest, out = 0, []
+        for day, who, amount in sorted((r.value_date.toordinal(), r.id, r.amount) for f in frames for r in f.itertuples()):
+            newest = max(newest, day)
+            near = [p for p in pool.get(amount, []) if p[0] >= day - POOL_DAYS]
+            other = next((p for p in near if p[1][0] != who[0] and abs(p[0] - day) <= 2), None)
             if other:
-                pool.remove(other)
+                near.remove(other)
                 out.append((key[0], who, other[1], "AUTO_MATCHED_STREAMING"))
             else:
-                pool.append((day, who))
-        state.update(([list(p) for p in pool],))
+                near.append((day, who))
+            pool[amount] = near
+        state.update(([(d, w, a) for a, ps in pool.items() for d, w in ps if d >= newest - POOL_DAYS],))
         yield pd.DataFrame(out, columns=["tenant_id", "id", "other_id", "status"])
 
-    grouped = stream.select("tenant_id", "currency", F.col("base_amount").cast("string").alias("amount"), "id", "value_date").groupBy("tenant_id", "currency", "amount")
-    found = grouped.applyInPandasWithState(match, "tenant_id string, id string, other_id string, status string", "pool array<struct<day:long,id:string>>", "append", GroupStateTimeout.NoTimeout)
+    part = F.pmod(F.xxhash64("base_amount"), F.lit(POOL_PARTS)).alias("part")
+    grouped = stream.select("tenant_id", "currency", part, F.col("base_amount").cast("string").alias("amount"), "id", "value_date").groupBy("tenant_id", "currency", "part")
+    found = grouped.applyInPandasWithState(match, "tenant_id string, id string, other_id string, status string", "pool array<struct<day:long,id:string,amount:string>>", "append", GroupStateTimeout.NoTimeout)
     return _finish(found, "append")
