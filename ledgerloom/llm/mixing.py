@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import checkpoint_dir, cut
 
 #: Words with a code of their own.
-VOCABULARY = 1 << 17
+VOCABULARY = 100_000
 #: Slots of each of the three tables.
 SLOTS = 1 << 21
 CONTEXTS = 3
@@ -51,7 +51,9 @@ CAP = 65_535
 STRIDE = 16
 RATE = 2.0
 #: Texts handled at once, by characters.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
+#: Bits whose slots are gathered before they are counted into the tables.
+PENDING = 1 << 21
 CHUNK = 1 << 15
 LEVELS = 4
 GATES = 2 * LEVELS * LEVELS
@@ -70,16 +72,19 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         heapq.heappush(heap, (a + b, node))
         node += 1
     root = node - 1
-    starts, nodes, bits = [0], [], []
-    for i in range(n):
-        path = []
-        while i != root:
-            path.append((parent[i] - n, side[i]))
-            i = parent[i]
-        nodes.extend(p for p, _ in reversed(path))
-        bits.extend(s for _, s in reversed(path))
-        starts.append(len(nodes))
-    return np.array(starts, "i8"), np.array(nodes, "i4"), np.array(bits, "i1")
+    steps, at = [], np.arange(n)  # all symbols climb together
+    while (live := np.nonzero(at != root)[0]).size:
+        steps.append((live, (parent[at[live]] - n).astype("i4"), side[at[live]]))
+        at[live] = parent[at[live]]
+    size = np.zeros(n, "i8")
+    for live, _, _ in steps:
+        size[live] += 1
+    starts = np.concatenate([[0], np.cumsum(size)])
+    nodes, bits = np.zeros(starts[-1], "i4"), np.zeros(starts[-1], "i1")
+    for level, (live, up, bit) in enumerate(steps):
+        nodes[starts[live] + size[live] - 1 - level] = up
+        bits[starts[live] + size[live] - 1 - level] = bit
+    return starts, nodes, bits
 
 
 @dataclass
@@ -185,12 +190,13 @@ def start_weights() -> np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Parts of the batches of a bounded number of characters, with their words."""
     for batch in batches:
-        texts, at = batch.column("text").to_pylist(), 0
+        texts, at = batch.column("text"), 0
         while at < len(texts):
             words, chars, start = [], 0, at
             while at < len(texts) and chars < SLICE_CHARS:
-                words.append((texts[at] or "").encode().lower().split())
-                chars += len(texts[at] or "") + 1
+                text = texts[at].as_py() or ""
+                words.append(text.encode().lower().split())
+                chars += len(text) + 1
                 at += 1
             yield batch.slice(start, at - start), words
 
@@ -223,11 +229,22 @@ def fill_tables(training: DataFrame, code) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, any_text = np.zeros((CONTEXTS, 2 * SLOTS), "u4"), False
+        pending: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+
+        def count() -> None:
+            for t in range(CONTEXTS):
+                table[t] += np.bincount(np.concatenate(pending[t]), minlength=2 * SLOTS).astype("u4")
+                pending[t].clear()
+
         for _, texts in _slices(batches):
             any_text = True
             _, _, bit, slots = bit_stream(code.value, texts)
             for t in range(CONTEXTS):
-                table[t] += np.bincount(slots[t] * 2 + bit, minlength=2 * SLOTS).astype("u4")
+                pending[t].append(slots[t] * 2 + bit)
+            if sum(map(len, pending[0])) > PENDING:
+                count()
+        if pending[0]:
+            count()
         whole = table.reshape(-1)
         for at in range(0, size if any_text else 0, CHUNK):
             part = whole[at : at + CHUNK]
@@ -295,7 +312,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = spark.read.parquet(folder)
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = whole.n or 0, whole.v, whole.ends or 0
-    frequent = [(bytes(r.word), r.c) for r in counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(VOCABULARY).collect()]
+    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(VOCABULARY).toArrow()
+    frequent = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     code = make_code(frequent, ends, max(1, n - ends - sum(c for _, c in frequent)))
     sent_code = spark.sparkContext.broadcast(code)
     tables = spark.sparkContext.broadcast(fill_tables(training, sent_code))
