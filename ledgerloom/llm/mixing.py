@@ -1,23 +1,24 @@
 """Language-model scores by online logistic context mixing.
 
-A text is lower-cased (A-Z) and cut at white space; it is coded as its words and one end. Each of the ``VOCABULARY``
-most frequent training words, the end and an escape has a Huffman code; other words follow the escape byte by
+A text is lower-cased (A-Z) and cut at white space; it is coded as its words and one end. Each of the most
+frequent training words (``VOCABULARY``, or one for each ``WORDS_A_CODE`` training words), the end and an escape has a Huffman code; other words follow the escape byte by
 byte in a Huffman code of bytes, up to a space. So a text is a sequence of bits, and the probability of the
 text is the product of those of its bits.
 
-For each bit several predictors look up counts of zeros and ones in hashed tables: for words under the
-code node alone, the node and the word before, and the node and two words before; for bytes under the
-node and two, three and five bytes before. A gate, chosen by what is coded and by how much the longer contexts have
-seen, has weights that mix the predictors' log odds to one probability. The weights are learned online, bit by
-bit group, by gradient steps on the coding cost, with each bit's own occurrence taken out of its counts.
+For each bit several predictors look up counts of zeros and ones: for words under the code node alone, the node and
+the word before, and the node and two words before; for bytes under the node and two, three and five bytes before.
+The tables hold each symbol that followed a context, with its count, as sorted keys; they grow with the training text.
+A key has 40 bits of the context's hash and the symbol's exact leaf of the code. A gate, chosen by what is coded and by how
+much the longer contexts have seen, has weights that mix the predictors' log odds to one probability. The weights are
+learned online, bit by bit group, by gradient steps on the coding cost, with each bit's own occurrence taken out of its counts.
 
 1. Words of all training texts are counted; counts stay in a table. The most frequent ones make the code.
-2. All training texts fill the tables. A task has tables of fixed size; those of all tasks are summed.
+2. All training texts fill the tables: tasks send counts of keys, which are summed by ranges of keys.
 3. All training texts teach the weights, each by the words at every ``STRIDE``-th place of its slice; tasks' weights are averaged.
 4. All texts are scored. For the base score, counts of frequent words come with the code, those of others by a
    join of their hashes with the table of counts.
 
-Broadcast are the code and the tables, of fixed size at any input size.
+The code and the tables are files in the shared folder that workers map to memory. Both grow with the training words.
 
 Defined results: null and empty texts are one end; a null doc_id counts as an empty id for the split; rows that
 repeat are trained on and scored each; without training texts all words are spelt; an empty table gives an empty
@@ -27,34 +28,38 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
+import shutil
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpoint_dir, cut
 
-#: Words with a code of their own.
+#: Words with a code of their own at least; more as the training words grow.
 VOCABULARY = 100_000
-#: Slots of each of the three tables.
-SLOTS = 1 << 21
+#: Training words for each further word with a code.
+WORDS_A_CODE = 64
 CONTEXTS = 3
-#: Counts of a slot above this are halved together.
-CAP = 65_535
+#: Low bits of a key: the symbol's leaf. The bits above are the context's hash.
+LEAF_BITS = 24
 #: The weights learn from the words at one place in so many.
 STRIDE = 16
 RATE = 2.0
 #: Texts handled at once, by characters.
 SLICE_CHARS = 1 << 18
-#: Bits whose slots are gathered before they are counted into the tables.
-PENDING = 1 << 21
-CHUNK = 1 << 15
+#: Keys that a task gathers before it sends their counts on, and keys of a block.
+PENDING = 1 << 22
+BLOCK = 1 << 14
+#: Training words for each part of a table.
+WORDS_A_PART = 1 << 20
 LEVELS = 4
 GATES = 2 * LEVELS * LEVELS
 END = b" "
@@ -87,89 +92,179 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, nodes, bits
 
 
-@dataclass
-class Code:
-    words: dict[bytes, int]
-    counts: np.ndarray
-    path: tuple[np.ndarray, np.ndarray, np.ndarray]
-    spelling: tuple[np.ndarray, np.ndarray, np.ndarray]
-
-    @property
-    def end(self) -> int:
-        return len(self.words)
-
-    def prepared(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in the words' paths: the slot of its node alone, and the node's hash."""
-        if not hasattr(self, "_prepared"):
-            node = self.path[1].astype("u8") * np.uint64(0x100000001B3) + np.uint64(0x2127599BF4325C37)
-            self._prepared = _slot(node), node
-        return self._prepared
-
-
-def make_code(frequent: list[tuple[bytes, int]], ends: int, others: int) -> Code:
-    """The code of frequent words, the end and the escape; bytes are coded by their use in those words."""
-    words = {w: i for i, (w, _) in enumerate(frequent)}
+def _leaves(path: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf number of each symbol in code order, and for each place in the paths the first leaf of its one side."""
+    starts, nodes, bits = path
+    zeros = np.bincount(nodes[bits == 0], minlength=int(nodes.max(initial=0)) + 1)[nodes]
+    moved = np.concatenate([[0], np.cumsum(bits * zeros)])
+    low = moved[:-1] - np.repeat(moved[starts[:-1]], np.diff(starts))
+    return moved[starts[1:]] - moved[starts[:-1]], low + zeros
+
+
+def make_code(folder: str, frequent: list[tuple[bytes, int]], ends: int, others: int) -> np.ndarray:
+    """Write the code of frequent words, the end and the escape; bytes are coded by their use in those words. The counts are returned."""
     counts = np.array([c for _, c in frequent] + [ends, others], "i8")
-    letters = np.bincount(np.frombuffer(b" ".join([*words, b"", b""]) or b" ", "u1"), minlength=256) + 1
-    return Code(words, counts, huffman(np.maximum(counts, 1)), huffman(letters))
+    letters = np.bincount(np.frombuffer(b" ".join([*(w for w, _ in frequent), b"", b""]) or b" ", "u1"), minlength=256) + 1
+    hashes = hash_words([w for w, _ in frequent])
+    order = np.argsort(hashes)
+    parts = {"hashes": hashes[order], "ids": order, "counts": counts}
+    for name, path in (("word", huffman(np.maximum(counts, 1))), ("byte", huffman(letters))):
+        leaf, middle = _leaves(path)
+        parts |= {f"{name}_starts": path[0], f"{name}_bits": path[2], f"{name}_leaf": leaf, f"{name}_middle": middle.astype("i4")}
+    for name, x in parts.items():
+        np.save(f"{folder}/{name}.npy", x)
+    return counts
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return pd.util.hash_array(out, categorize=False) if words else np.zeros(0, "u8")
+
+
+class Book:
+    """The code and the tables in the shared folder, mapped to memory, so that the workers of a machine share them."""
+
+    def __init__(self, folder: str):
+        read = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
+        self.hashes, self.ids, self.counts = read("hashes"), read("ids"), read("counts")
+        self.paths = [tuple(read(f"{kind}_{x}") for x in ("starts", "bits", "leaf", "middle")) for kind in ("word", "byte")]
+        self.end, self.escape = len(self.counts) - 2, len(self.counts) - 1
+        self.tables = []
+        if os.path.exists(f"{folder}/0.keys"):
+            for t in range(CONTEXTS):
+                size = os.path.getsize(f"{folder}/{t}.keys") // 8
+                self.tables.append(tuple(np.memmap(f"{folder}/{t}.{x}", d, "r") if size else np.zeros(0, d) for x, d in (("keys", "u8"), ("below", _kind(t)))))
+
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each word, -1 for one without a code, and its hash."""
+        h = hash_words(words)
+        if not len(self.hashes):
+            return np.full(len(h), -1), h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ids[at], -1), h
+
 
+def _kind(t: int) -> str:
+    return "u8" if t == 0 else "u4"  # differences are right while no one context has more
 
-def _spread(path: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+_books: dict[str, Book] = {}
+
+
+def _book(folder: str, filled: bool = True) -> Book:
+    if folder not in _books or (filled and not _books[folder].tables):
+        _books.clear()
+        _books[folder] = Book(folder)
+    return _books[folder]
+
+
+def _spread(starts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of bits of each symbol, and for each bit its place in the paths."""
-    starts = path[0]
     size = starts[symbols + 1] - starts[symbols]
     return size, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - starts[symbols], size)
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype("i4")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(LEAF_BITS) << np.uint64(LEAF_BITS)
 
 
-def bit_stream(code: Code, texts: list[list[bytes]], stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """``(text, kind, bit, slots)`` of all bits; kind 0 is word codes, 1 is spelling. With a stride, of words at some places only."""
-    end, escape = code.end, code.end + 1
-    lookup, sizes = code.words.get, [len(t) + 1 for t in texts]
-    symbols = np.full(sum(sizes), end, "i8")
-    inner = np.ones(len(symbols), bool)
+@dataclass
+class Symbols:
+    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, place in its slice, symbol, and contexts' hashes."""
+
+    kind: int
+    text: np.ndarray
+    place: np.ndarray
+    symbol: np.ndarray
+    contexts: list[np.ndarray]
+
+
+def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols], np.ndarray]:
+    """All symbols of the texts, and the code of each word and end (-1 for words that are spelt)."""
+    u = np.uint64
+    sizes = np.array([len(t) + 1 for t in texts], "i8")
+    total = int(sizes.sum())
+    symbol, h = np.full(total, book.end, "i8"), np.full(total, 1, "u8")
+    inner = np.ones(total, bool)
     inner[np.cumsum(sizes) - 1] = False
     flat = [w for t in texts for w in t]
-    symbols[inner] = [lookup(w, -1) for w in flat]
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    rare = np.nonzero(symbols < 0)[0]
-    spelt = [flat[i] for i in (rare - owner[rare])]  # one end lies before for each text before
-    context = symbols.copy()
-    context[rare] = [escape + 1 + (zlib.crc32(w) & 0xFFFFF) for w in spelt]
-    symbols[rare] = escape
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    before = np.where(first, end, np.concatenate([[end], context[:-1]]))
-    earlier = np.where(first, end, np.concatenate([[end], before[:-1]]))
-    chosen = np.arange(len(symbols)) if stride == 1 else np.arange(len(symbols))[(owner * 7 + np.arange(len(symbols))) % stride == 0]
-    u = np.uint64
-    size, at = _spread(code.path, symbols[chosen])
-    first_word, second_word = (before[chosen] + 1).astype("u8") * u(0xC2B2AE3D27D4EB4F), (earlier[chosen] + 7).astype("u8") * u(0x165667B19E3779F9)
-    alone, mixed = code.prepared()
-    node, bit = mixed[at], code.path[2][at]
-    slots = [alone[at], _slot(node + np.repeat(first_word, size)), _slot(node + np.repeat(first_word + second_word, size))]
-    text, kind = np.repeat(owner[chosen], size), np.zeros(len(at), "i1")
-    if stride > 1:
-        live = np.isin(rare, chosen)
-        spelt, rare = [w for w, k in zip(spelt, live, strict=True) if k], rare[live]
-    if spelt:
+    symbol[inner], h[inner] = book.symbols(flat)
+    owner, known = np.repeat(np.arange(len(texts)), sizes), symbol.copy()
+    rare = np.nonzero(symbol < 0)[0]
+    symbol[rare] = book.escape
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if total else np.zeros(0, bool)
+    before = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), h[:-1]])[:total])
+    earlier = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), before[:-1]])[:total])
+    one = before * u(0xC2B2AE3D27D4EB4F) + u(1)
+    two = one + (earlier ^ (earlier >> u(32))) * u(0x165667B19E3779F9) + u(7)
+    out = [Symbols(0, owner, np.arange(total), symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
+    if rare.size:
+        spelt = [flat[i] for i in (rare - owner[rare])]  # one end lies before for each text before
         joined = np.frombuffer(b" ".join([*spelt, b""]), "u1").astype("i8")
         past = [np.concatenate([np.full(k, 32), joined[:-k]]) if len(joined) > k else np.full(len(joined), 32) for k in (1, 2, 3, 4, 5)]
         for k in (1, 2, 3, 4):  # nothing is seen across the start of a word
             past[k] = np.where(past[k - 1] == 32, 32, past[k])
-        c = [p.astype("u8") for p in past]
-        one = c[0] * u(0xD6E8FEB86659FD93) + (c[1] + u(1)) * u(0xA0761D6478BD642F)
-        two = one + (c[2] + u(1)) * u(0xE7037ED1A0B428DB)
-        three = two + (c[3] + u(1)) * u(0x8EBC6AF09C88C6E3) + (c[4] + u(1)) * u(0x589965CC75374CC3)
-        size, at = _spread(code.spelling, joined)
-        node = code.spelling[1][at].astype("u8") * u(0x2545F4914F6CDD1D) + u(0x51ED270B)
-        slots = [np.concatenate([s, _slot(node + np.repeat(x, size))]) for s, x in zip(slots, (one, two, three), strict=True)]
-        words = np.repeat(np.arange(len(spelt)), [len(w) + 1 for w in spelt])
-        text = np.concatenate([text, np.repeat(owner[rare][words], size)])
-        kind, bit = np.concatenate([kind, np.ones(len(at), "i1")]), np.concatenate([bit, code.spelling[2][at]])
-    return text, kind, bit, slots
+        c, sums = [p.astype("u8") for p in past], []
+        for low, k in ((3, 2), (5, 3), (9, 5)):
+            x = np.full(len(joined), low, "u8")
+            for p in c[:k]:
+                x = x * u(257) + p
+            sums.append(_mixed(x * u(0xD6E8FEB86659FD93) + u(0x51ED270B)))
+        word = rare[np.repeat(np.arange(len(spelt)), [len(w) + 1 for w in spelt])]
+        out.append(Symbols(1, owner[word], word, joined, sums))
+    return out, known
+
+
+def _looked_up(book: Book, s: Symbols, t: int) -> np.ndarray:
+    """``bits x 2`` counts of zeros and ones at the nodes of each symbol's path, in one table.
+
+    A node is a range of leaves, so its counts are those of a range of the context's sorted keys. Ranges narrow along
+    the path; where a context was never seen at a node there is nothing to narrow.
+    """
+    starts, bits, leaf, middle = book.paths[s.kind]
+    keys, below = book.tables[t]
+    pairs, back = np.unique(s.contexts[t] | leaf[s.symbol].astype("u8"), return_inverse=True)
+    sample = np.zeros(len(pairs), "i8")
+    sample[back] = s.symbol
+    size = starts[sample + 1] - starts[sample]
+    begin = np.cumsum(size) - size
+    out = np.zeros((int(size.sum()), 2), "i8")
+    if len(keys):
+        mask = np.uint64((1 << LEAF_BITS) - 1)
+        context = pairs & ~mask
+        low, high = np.searchsorted(keys, context), np.searchsorted(keys, context | mask)
+        live, depth = np.nonzero((low < high) & (size > 0))[0], 0
+        while live.size:
+            at = starts[sample[live]] + depth
+            cutting = context[live] | middle[at].astype("u8")
+            lo, hi = low[live], high[live]
+            single = hi - lo == 1
+            split = lo + (single & (keys[lo] < cutting))
+            many = np.nonzero(~single)[0]
+            split[many] = np.searchsorted(keys, cutting[many])
+            ends = below[split]
+            out[begin[live] + depth, 0] = ends - below[lo]
+            out[begin[live] + depth, 1] = below[hi] - ends
+            one = bits[at] == 1
+            low[live], high[live] = np.where(one, split, lo), np.where(one, hi, split)
+            depth += 1
+            live = live[(depth < size[live]) & (low[live] < high[live])]
+    each = size[back]
+    return out[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - begin[back], each)]
+
+
+def bit_stream(book: Book, parts: list[Symbols], stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, kind, bit, counts)`` of all bits; kind 0 is word codes, 1 is spelling. With a stride, of words at some places only."""
+    out = []
+    for s in parts:
+        if stride > 1:
+            live = np.nonzero((s.text * 7 + s.place) % stride == 0)[0]
+            s = Symbols(s.kind, s.text[live], s.place[live], s.symbol[live], [c[live] for c in s.contexts])
+        size, at = _spread(book.paths[s.kind][0], s.symbol)
+        out.append((np.repeat(s.text, size), np.full(len(at), s.kind, "i1"), book.paths[s.kind][1][at], np.stack([_looked_up(book, s, t) for t in range(CONTEXTS)])))
+    return tuple(np.concatenate(x, axis=1 if i == 3 else 0) for i, x in enumerate(zip(*out, strict=True)))
 
 
 def _odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,61 +318,84 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fill_tables(training: DataFrame, code) -> np.ndarray:
-    """``CONTEXTS x SLOTS x 2`` counts over all training texts."""
-    size = CONTEXTS * SLOTS * 2
+def fill_tables(training: DataFrame, folder: str, words: int) -> None:
+    """Write ``CONTEXTS`` tables of all training texts: sorted keys (context and leaf) and the counts below each in its part."""
+    shift = 64 - min(16, max(4, (words // WORDS_A_PART).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, any_text = np.zeros((CONTEXTS, 2 * SLOTS), "u4"), False
-        pending: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        book = _book(folder, filled=False)
+        pending: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
 
-        def count() -> None:
+        def out() -> Iterator[pa.RecordBatch]:
             for t in range(CONTEXTS):
-                table[t] += np.bincount(np.concatenate(pending[t]), minlength=2 * SLOTS).astype("u4")
+                if not pending[t]:
+                    continue
+                keys, counts = _summed(pending[t])
                 pending[t].clear()
+                part = (keys >> np.uint64(shift)).astype("i8")
+                edges = np.union1d(np.arange(0, len(keys), BLOCK), np.nonzero(np.diff(part))[0] + 1)
+                for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([part[lo]], pa.int32()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[lo:hi].tobytes()], pa.binary())], names=["t", "part", "keys", "counts"])
 
         for _, texts in _slices(batches):
-            any_text = True
-            _, _, bit, slots = bit_stream(code.value, texts)
-            for t in range(CONTEXTS):
-                pending[t].append(slots[t] * 2 + bit)
-            if sum(map(len, pending[0])) > PENDING:
-                count()
-        if pending[0]:
-            count()
-        whole = table.reshape(-1)
-        for at in range(0, size if any_text else 0, CHUNK):
-            part = whole[at : at + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
+            for s in symbol_stream(book, texts)[0]:
+                leaf = book.paths[s.kind][2][s.symbol].astype("u8")
+                for t in range(CONTEXTS):
+                    pending[t].append(tuple(np.unique(s.contexts[t] | leaf, return_counts=True)))
+            if sum(len(k) for p in pending for k, _ in p) > PENDING:
+                yield from out()
+        yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # a task has some of the table's chunks
+        at, blocks = None, []
+
+        def out() -> pa.RecordBatch:
+            keys, counts = _summed(blocks)
+            # a last key closes the part, so that a context's counts are differences within it
+            last = ((at[1] + 1) << shift) - 1
+            keys = np.append(keys, np.array([last], "u8"))
+            for name, x in (("keys", keys), ("below", np.concatenate([[0], np.cumsum(counts)]).astype(_kind(at[0])))):
+                with open(f"{folder}/{at[0]}.{name}.{at[1]}.part", "wb") as f:
+                    f.write(x.tobytes())
+            blocks.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32())], names=["t", "part"])
+
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(counts, "u4").astype("i8")
-                sums[chunk] = sums[chunk] + new if chunk in sums else new
-        for chunk, total in sums.items():
-            pairs = total.reshape(-1, 2)
-            over = np.maximum(1, -(-pairs.max(axis=1) // CAP))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([(pairs // over[:, None]).astype("u2").tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    parts = max(1, training.rdd.getNumPartitions() // 3)  # fewer, larger tasks send fewer tables
-    summed = training.select("text").coalesce(parts).mapInArrow(run, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros(size, "u2")
-    for row in summed.toLocalIterator():
-        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, "u2")
-    return out.reshape(CONTEXTS, SLOTS, 2)
-
-
-def teach(training: DataFrame, code, tables) -> np.ndarray:
+            for t, part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and at != (t, part):
+                    yield out()
+                at = (t, part)
+                blocks.append((np.frombuffer(keys, "u8"), np.frombuffer(counts, "i8")))
+        if blocks:
+            yield out()
+
+    blocks = training.select("text").mapInArrow(run, "t int, part int, keys binary, counts binary")
+    written = blocks.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(add, "t int, part int").collect()
+    for t in range(CONTEXTS):
+        for name in ("keys", "below"):
+            with open(f"{folder}/{t}.{name}", "wb") as whole:
+                for part in sorted(r.part for r in written if r.t == t):
+                    with open(f"{folder}/{t}.{name}.{part}.part", "rb") as f:
+                        shutil.copyfileobj(f, whole, 1 << 24)
+                    os.remove(f.name)
+
+
+def _summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def teach(training: DataFrame, folder: str) -> np.ndarray:
     """The gates' weights, averaged over tasks by the bits that each has learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, used = start_weights(), np.zeros(GATES)
+        book, weights, used = _book(folder), start_weights(), np.zeros(GATES)
         for _, texts in _slices(batches):
-            _, kind, bit, slots = bit_stream(code.value, texts, STRIDE)
-            counts = np.stack([tables.value[t][slots[t]] for t in range(CONTEXTS)]).astype("f4")
+            _, kind, bit, counts = bit_stream(book, symbol_stream(book, texts)[0], STRIDE)
             own = np.arange(counts.shape[1])
             counts[:, own, bit] = np.maximum(counts[:, own, bit] - 1, 0)
             odds, level = _odds(counts)
@@ -312,38 +430,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = spark.read.parquet(folder)
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = whole.n or 0, whole.v, whole.ends or 0
-    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(VOCABULARY).toArrow()
+    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(max(VOCABULARY, n // WORDS_A_CODE)).toArrow()
     frequent = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    code = make_code(frequent, ends, max(1, n - ends - sum(c for _, c in frequent)))
-    sent_code = spark.sparkContext.broadcast(code)
-    tables = spark.sparkContext.broadcast(fill_tables(training, sent_code))
-    weights = teach(training, sent_code, tables)
-    known = np.concatenate([code.counts[:-1], [0]])
-    logs = np.log10(known + 1.0)
+    book_folder = f"{checkpoint_dir(spark).removeprefix('file:')}/mixing-{uuid.uuid4().hex}"
+    os.makedirs(book_folder)
+    make_code(book_folder, frequent, ends, max(1, n - ends - sum(c for _, c in frequent)))
+    del top, frequent
+    fill_tables(training, book_folder, n)
+    weights = teach(training, book_folder)
     least = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        book = sent_code.value
-        pairs = [_odds(tables.value[t]) for t in range(CONTEXTS)]
+        book = _book(book_folder)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        lookup = book.words.get
         for batch, texts in _slices(batches):
-            text, kind, bit, slots = bit_stream(book, texts)
-            odds = [pairs[t][0][slots[t]] for t in range(CONTEXTS)]
-            gate = (kind * LEVELS + pairs[1][1][slots[1]]) * LEVELS + pairs[2][1][slots[2]]
-            mixed = sum(weights[:, t].astype("f4")[gate] * odds[t] for t in range(CONTEXTS))
+            parts, known = symbol_stream(book, texts)
+            text, kind, bit, seen = bit_stream(book, parts)
+            odds, level = _odds(seen)
+            gate = (kind * LEVELS + level[1]) * LEVELS + level[2]
+            mixed = (weights[gate].T.astype("f4") * odds).sum(axis=0)
             cost = np.logaddexp(0, np.where(bit == 1, -mixed, mixed).astype("f4"))
             total = np.bincount(text, weights=cost, minlength=len(texts))
-            base, sure, rare, times = [], [], [], []
+            c = np.where(known >= 0, book.counts[known], 0)
+            owner = parts[0].text
+            sure = np.bincount(owner, weights=c > 0, minlength=len(texts)).astype("i8")
+            base = np.bincount(owner, weights=np.where(known >= 0, np.log10(c + 1.0) - least, -least), minlength=len(texts))
+            rare, times, at = [], [], 0
             for words in texts:
-                ids = [lookup(w, -1) for w in words]
-                at = np.array([*ids, book.end], "i8")
-                hit = at[at >= 0]
-                sure.append(int((known[hit] > 0).sum()))
-                base.append(float(logs[hit].sum()) - least * len(at))
-                others = Counter(w for w, i in zip(words, ids, strict=True) if i < 0)
+                others = Counter(w for w, k in zip(words, known[at : at + len(words)].tolist(), strict=True) if k < 0)
+                at += len(words) + 1
                 rare.append(list(others.keys()))
                 times.append(list(others.values()))
             size = len(texts)

@@ -36,6 +36,31 @@ def test_mixing_learns_what_repeats(spark):
     assert len({round(got[i].score, 6) for i in range(80)}) == 1
 
 
+def test_mixing_tables_hold_every_context(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    monkeypatch.setattr(mixing, "PENDING", 500)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(40)], rng.integers(0, 50))) for _ in range(200)] + ["a b " * 70_000 + "a c"]
+    words = [t.encode().lower().split() for t in texts]
+    common = Counter(w for t in words for w in t).most_common(30)
+    mixing.make_code(str(tmp_path), common, len(texts), 100)
+    mixing.fill_tables(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), str(tmp_path), 4_000_000)
+    book = mixing.Book(str(tmp_path))
+    parts, _ = mixing.symbol_stream(book, words)
+    _, _, bit, got = mixing.bit_stream(book, parts)
+    at = 0
+    for s in parts:
+        starts, bits = book.paths[s.kind][:2]
+        path = [tuple(bits[starts[x] : starts[x + 1]].tolist()) for x in s.symbol.tolist()]
+        for t in range(mixing.CONTEXTS):
+            keys = [(c, p[:d], p[d]) for c, p in zip(s.contexts[t].tolist(), path, strict=True) for d in range(len(p))]
+            seen = Counter(keys)
+            want = np.array([[seen[c, p, 0], seen[c, p, 1]] for c, p, _ in keys])
+            assert (got[t, at : at + len(keys)] == want).all()
+        at += len(keys)
+    assert at == len(bit) and got.max() > 65_535 and got[1].max() > 65_535
+
+
 def test_code_is_complete():
     starts, nodes, bits = mixing.huffman(np.array([5, 1, 1, 9, 3]))
     assert sum(2.0 ** -(b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)) == 1.0
