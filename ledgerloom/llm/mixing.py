@@ -14,7 +14,7 @@ learned online, bit by bit group, by gradient steps on the coding cost, with eac
 
 1. Words of all training texts are counted; counts stay in a table. The most frequent ones make the code.
 2. All training texts fill the tables: tasks send counts of keys, which are summed by ranges of keys.
-3. All training texts teach the weights, each by the words at every ``STRIDE``-th place of its slice; tasks' weights are averaged.
+3. All training texts teach the weights, each by all bits of its slices; tasks' weights are averaged.
 4. All texts are scored. For the base score, counts of frequent words come with the code, those of others by a
    join of their hashes with the table of counts.
 
@@ -50,8 +50,6 @@ WORDS_A_CODE = 64
 CONTEXTS = 3
 #: Low bits of a key: the symbol's leaf. The bits above are the context's hash.
 LEAF_BITS = 24
-#: The weights learn from the words at one place in so many.
-STRIDE = 16
 RATE = 2.0
 #: Texts handled at once, by characters.
 SLICE_CHARS = 1 << 18
@@ -172,11 +170,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, place in its slice, symbol, and contexts' hashes."""
+    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, symbol, and contexts' hashes."""
 
     kind: int
     text: np.ndarray
-    place: np.ndarray
     symbol: np.ndarray
     contexts: list[np.ndarray]
 
@@ -199,7 +196,7 @@ def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols],
     earlier = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), before[:-1]])[:total])
     one = before * u(0xC2B2AE3D27D4EB4F) + u(1)
     two = one + (earlier ^ (earlier >> u(32))) * u(0x165667B19E3779F9) + u(7)
-    out = [Symbols(0, owner, np.arange(total), symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
+    out = [Symbols(0, owner, symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
     if rare.size:
         spelt = [flat[i] for i in (rare - owner[rare])]  # one end lies before for each text before
         joined = np.frombuffer(b" ".join([*spelt, b""]), "u1").astype("i8")
@@ -213,7 +210,7 @@ def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols],
                 x = x * u(257) + p
             sums.append(_mixed(x * u(0xD6E8FEB86659FD93) + u(0x51ED270B)))
         word = rare[np.repeat(np.arange(len(spelt)), [len(w) + 1 for w in spelt])]
-        out.append(Symbols(1, owner[word], word, joined, sums))
+        out.append(Symbols(1, owner[word], joined, sums))
     return out, known
 
 
@@ -255,13 +252,10 @@ def _looked_up(book: Book, s: Symbols, t: int) -> np.ndarray:
     return out[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - begin[back], each)]
 
 
-def bit_stream(book: Book, parts: list[Symbols], stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, kind, bit, counts)`` of all bits; kind 0 is word codes, 1 is spelling. With a stride, of words at some places only."""
+def bit_stream(book: Book, parts: list[Symbols]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, kind, bit, counts)`` of all bits; kind 0 is word codes, 1 is spelling."""
     out = []
     for s in parts:
-        if stride > 1:
-            live = np.nonzero((s.text * 7 + s.place) % stride == 0)[0]
-            s = Symbols(s.kind, s.text[live], s.place[live], s.symbol[live], [c[live] for c in s.contexts])
         size, at = _spread(book.paths[s.kind][0], s.symbol)
         out.append((np.repeat(s.text, size), np.full(len(at), s.kind, "i1"), book.paths[s.kind][1][at], np.stack([_looked_up(book, s, t) for t in range(CONTEXTS)])))
     return tuple(np.concatenate(x, axis=1 if i == 3 else 0) for i, x in enumerate(zip(*out, strict=True)))
@@ -389,13 +383,13 @@ def _summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def teach(training: DataFrame, folder: str) -> np.ndarray:
-    """The gates' weights, averaged over tasks by the bits that each has learned from."""
+def lessons(training: DataFrame, folder: str) -> DataFrame:
+    """``i, w, n``: each task's weights, times the bits that their gate has learned from, and those bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, weights, used = _book(folder), start_weights(), np.zeros(GATES)
         for _, texts in _slices(batches):
-            _, kind, bit, counts = bit_stream(book, symbol_stream(book, texts)[0], STRIDE)
+            _, kind, bit, counts = bit_stream(book, symbol_stream(book, texts)[0])
             own = np.arange(counts.shape[1])
             counts[:, own, bit] = np.maximum(counts[:, own, bit] - 1, 0)
             odds, level = _odds(counts)
@@ -411,7 +405,12 @@ def teach(training: DataFrame, folder: str) -> np.ndarray:
                 used += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * CONTEXTS, dtype="i4")), pa.array((weights * used[:, None]).ravel()), pa.array(np.repeat(used, CONTEXTS))], names=["i", "w", "n"])
 
-    sums = training.select("text").mapInArrow(run, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
+    return training.select("text").mapInArrow(run, "i int, w double, n double")
+
+
+def teach(training: DataFrame, folder: str) -> np.ndarray:
+    """The gates' weights, averaged over tasks by the bits that each has learned from."""
+    sums = lessons(training, folder).groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
     out = start_weights().ravel()
     for r in sums:
         if r.n:

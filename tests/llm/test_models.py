@@ -61,6 +61,17 @@ def test_mixing_tables_hold_every_context(spark, monkeypatch, tmp_path):
     assert at == len(bit) and got.max() > 65_535 and got[1].max() > 65_535
 
 
+def test_mixing_learns_from_every_bit(spark, tmp_path):
+    texts = ["a b c a b", "", "c c zz", "b a"] * 20
+    words = [t.encode().split() for t in texts]
+    mixing.make_code(str(tmp_path), [(b"a", 60), (b"b", 60), (b"c", 60)], len(texts), 20)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    mixing.fill_tables(frame, str(tmp_path), 300)
+    book = mixing.Book(str(tmp_path))
+    bits = sum(int(np.diff(book.paths[s.kind][0])[s.symbol].sum()) for s in mixing.symbol_stream(book, words)[0])
+    assert sum(r.n for r in mixing.lessons(frame, str(tmp_path)).collect()) == mixing.CONTEXTS * bits
+
+
 def test_code_is_complete():
     starts, nodes, bits = mixing.huffman(np.array([5, 1, 1, 9, 3]))
     assert sum(2.0 ** -(b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)) == 1.0
