@@ -11,10 +11,13 @@ The tables hold each symbol that followed a context, with its count, as sorted k
 A key has 40 bits of the context's hash and the symbol's exact leaf of the code. A gate, chosen by what is coded and by how
 much the longer contexts have seen, has weights that mix the predictors' log odds to one probability. The weights are
 learned online, bit by bit group, by gradient steps on the coding cost, with each bit's own occurrence taken out of its counts.
+They go on learning along each text that is scored, from the same start for all texts. The mixed probability is refined:
+a table from its hashed code node and quantised log odds to the share of ones, gathered over all training
+bits, gives a second probability, and the mean of both codes the bit.
 
 1. Words of all training texts are counted; counts stay in a table. The most frequent ones make the code.
 2. All training texts fill the tables: tasks send counts of keys, which are summed by ranges of keys.
-3. All training texts teach the weights, each by all bits of its slices; tasks' weights are averaged.
+3. All training texts teach the weights, each by all bits of its slices; tasks' weights are averaged. The same pass gathers the refinement.
 4. All texts are scored. For the base score, counts of frequent words come with the code, those of others by a
    join of their hashes with the table of counts.
 
@@ -60,6 +63,15 @@ BLOCK = 1 << 14
 WORDS_A_PART = 1 << 20
 LEVELS = 4
 GATES = 2 * LEVELS * LEVELS
+#: Bits of a text after which its own weights move, and what holds them back.
+OWN_BITS = 256
+OWN_RATE = 1.0
+OWN_HOLD = 50.0
+#: Contexts and log odds of the refinement, and the weight of what it starts from.
+REFINED = 1 << 10
+POINTS = 25
+REACH = 8.0
+START = 8.0
 END = b" "
 
 
@@ -170,10 +182,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, symbol, and contexts' hashes."""
+    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, place of the word in its slice, symbol, and contexts' hashes."""
 
     kind: int
     text: np.ndarray
+    place: np.ndarray
     symbol: np.ndarray
     contexts: list[np.ndarray]
 
@@ -196,7 +209,7 @@ def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols],
     earlier = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), before[:-1]])[:total])
     one = before * u(0xC2B2AE3D27D4EB4F) + u(1)
     two = one + (earlier ^ (earlier >> u(32))) * u(0x165667B19E3779F9) + u(7)
-    out = [Symbols(0, owner, symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
+    out = [Symbols(0, owner, np.arange(total), symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
     if rare.size:
         spelt = [flat[i] for i in (rare - owner[rare])]  # one end lies before for each text before
         joined = np.frombuffer(b" ".join([*spelt, b""]), "u1").astype("i8")
@@ -210,7 +223,7 @@ def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols],
                 x = x * u(257) + p
             sums.append(_mixed(x * u(0xD6E8FEB86659FD93) + u(0x51ED270B)))
         word = rare[np.repeat(np.arange(len(spelt)), [len(w) + 1 for w in spelt])]
-        out.append(Symbols(1, owner[word], joined, sums))
+        out.append(Symbols(1, owner[word], word, joined, sums))
     return out, known
 
 
@@ -261,6 +274,58 @@ def bit_stream(book: Book, parts: list[Symbols]) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x, axis=1 if i == 3 else 0) for i, x in enumerate(zip(*out, strict=True)))
 
 
+def bit_places(book: Book, parts: list[Symbols]) -> tuple[np.ndarray, np.ndarray]:
+    """For all bits the place of the word, and the refinement's context: its kind and code node, hashed."""
+    place, node = [], []
+    for s in parts:
+        size, at = _spread(book.paths[s.kind][0], s.symbol)
+        place.append(np.repeat(s.place, size))
+        node.append(_mixed(book.paths[s.kind][3][at].astype("u8") * np.uint64(2) + np.uint64(s.kind)) >> np.uint64(54))
+    return np.concatenate(place), np.concatenate(node).astype("i8")
+
+
+def refined(mixed: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The probability of a one: the mean of the mixed one and that of the refinement, between its two nearest points."""
+    x = (np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))
+    low = np.minimum(x.astype("i8"), POINTS - 2)
+    part = x - low
+    near = table[node, low] * (1 - part) + table[node, low + 1] * part
+    return (near + 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))) / 2
+
+
+def refinement(counts: np.ndarray) -> np.ndarray:
+    """``REFINED x POINTS`` probabilities from ``REFINED x POINTS x 2`` counts; without counts that of the point itself."""
+    own = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, POINTS)))
+    return (counts[..., 1] + START * own) / (counts.sum(axis=-1) + START)
+
+
+def along_texts(weights: np.ndarray, text: np.ndarray, gate: np.ndarray, odds: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The mixed log odds of bits in the order of their texts, where each text's weights learn along it from those given.
+
+    A text's weights move after each ``OWN_BITS`` bits of it; the same steps of all texts are taken together.
+    """
+    out, sizes = np.empty(len(bit)), np.bincount(text)
+    rank = np.empty(len(sizes), "i8")
+    rank[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))  # texts that still go on come first
+    begin = np.cumsum(sizes) - sizes
+    step = (np.arange(len(bit)) - begin[text]) // OWN_BITS
+    order = np.argsort(step, kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(step))])
+    own = np.tile(weights, (len(sizes), 1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        now = order[a:b]
+        at = rank[text[now]] * GATES + gate[now]
+        x = odds[:, now]
+        mixed = (own[at].T * x).sum(axis=0)
+        out[now] = mixed
+        miss = bit[now] - 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
+        top = int(at.max()) + 1
+        n = np.bincount(at, minlength=top)
+        for t in range(CONTEXTS):
+            own[:top, t] += OWN_RATE * np.bincount(at, weights=miss * x[t], minlength=top) / (np.bincount(at, weights=x[t] ** 2, minlength=top) + n + OWN_HOLD)
+    return out
+
+
 def _odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of a one, and the level of confidence, of pairs of counts."""
     n = counts.astype("f4")
@@ -384,12 +449,20 @@ def _summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def lessons(training: DataFrame, folder: str) -> DataFrame:
-    """``i, w, n``: each task's weights, times the bits that their gate has learned from, and those bits."""
+    """``i, w, n``: each task's weights, times the bits that their gate has learned from, and those bits.
+
+    Negative ``i`` are the refinement's counts, w of ones among n bits, of cell -1 - i.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, weights, used = _book(folder), start_weights(), np.zeros(GATES)
+        cells = np.zeros((REFINED * POINTS, 2), "i8")
         for _, texts in _slices(batches):
-            _, kind, bit, counts = bit_stream(book, symbol_stream(book, texts)[0])
+            parts = symbol_stream(book, texts)[0]
+            text, kind, bit, counts = bit_stream(book, parts)
+            place, node = bit_places(book, parts)
+            order = np.argsort(place, kind="stable")  # a word's bits, then its spelling
+            kind, bit, counts, node = kind[order], bit[order], counts[:, order], node[order]
             own = np.arange(counts.shape[1])
             counts[:, own, bit] = np.maximum(counts[:, own, bit] - 1, 0)
             odds, level = _odds(counts)
@@ -397,25 +470,33 @@ def lessons(training: DataFrame, folder: str) -> DataFrame:
             for at in range(0, len(bit), 8192):
                 s = slice(at, at + 8192)
                 x, g = odds[:, s].astype("f8"), gate[s].astype("i8")
-                p = 1 / (1 + np.exp(-np.clip((weights[g].T * x).sum(axis=0), -30, 30)))
+                mixed = (weights[g].T * x).sum(axis=0)
+                p = 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
+                point = np.rint((np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))).astype("i8")
+                np.add.at(cells, (node[s] * POINTS + point, bit[s]), 1)
                 n = np.bincount(g, minlength=GATES)
                 for t in range(CONTEXTS):
                     slope = np.bincount(g, weights=(bit[s] - p) * x[t], minlength=GATES)
                     weights[:, t] += RATE * slope / (np.bincount(g, weights=x[t] ** 2, minlength=GATES) + n + 10.0)
                 used += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * CONTEXTS, dtype="i4")), pa.array((weights * used[:, None]).ravel()), pa.array(np.repeat(used, CONTEXTS))], names=["i", "w", "n"])
+        some = np.nonzero(cells.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype("i4")), pa.array(cells[some, 1].astype("f8")), pa.array(cells[some].sum(axis=1).astype("f8"))], names=["i", "w", "n"])
 
     return training.select("text").mapInArrow(run, "i int, w double, n double")
 
 
-def teach(training: DataFrame, folder: str) -> np.ndarray:
-    """The gates' weights, averaged over tasks by the bits that each has learned from."""
+def teach(training: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The gates' weights, averaged over tasks by the bits that each has learned from, and the refinement."""
     sums = lessons(training, folder).groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
-    out = start_weights().ravel()
+    out, cells = start_weights().ravel(), np.zeros((REFINED * POINTS, 2))
     for r in sums:
-        if r.n:
+        if r.i < 0:
+            cells[-1 - r.i] = r.n - r.w, r.w
+        elif r.n:
             out[r.i] = r.w / r.n
-    return np.round(out, 6).reshape(GATES, CONTEXTS)  # sums of tasks in another order give the same weights
+    # sums of tasks in another order give the same weights
+    return np.round(out, 6).reshape(GATES, CONTEXTS), refinement(cells.reshape(REFINED, POINTS, 2))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,7 +517,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     make_code(book_folder, frequent, ends, max(1, n - ends - sum(c for _, c in frequent)))
     del top, frequent
     fill_tables(training, book_folder, n)
-    weights = teach(training, book_folder)
+    weights, table = teach(training, book_folder)
     least = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,9 +530,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             text, kind, bit, seen = bit_stream(book, parts)
             odds, level = _odds(seen)
             gate = (kind * LEVELS + level[1]) * LEVELS + level[2]
-            mixed = (weights[gate].T.astype("f4") * odds).sum(axis=0)
-            cost = np.logaddexp(0, np.where(bit == 1, -mixed, mixed).astype("f4"))
-            total = np.bincount(text, weights=cost, minlength=len(texts))
+            place, node = bit_places(book, parts)
+            order = np.argsort(place, kind="stable")
+            text, bit = text[order], bit[order]
+            p = refined(along_texts(weights, text, gate[order], odds[:, order], bit), node[order], table)
+            total = np.bincount(text, weights=-np.log(np.where(bit == 1, p, 1 - p)), minlength=len(texts))
             c = np.where(known >= 0, book.counts[known], 0)
             owner = parts[0].text
             sure = np.bincount(owner, weights=c > 0, minlength=len(texts)).astype("i8")

@@ -69,7 +69,29 @@ def test_mixing_learns_from_every_bit(spark, tmp_path):
     mixing.fill_tables(frame, str(tmp_path), 300)
     book = mixing.Book(str(tmp_path))
     bits = sum(int(np.diff(book.paths[s.kind][0])[s.symbol].sum()) for s in mixing.symbol_stream(book, words)[0])
-    assert sum(r.n for r in mixing.lessons(frame, str(tmp_path)).collect()) == mixing.CONTEXTS * bits
+    got = mixing.lessons(frame, str(tmp_path)).collect()
+    assert sum(r.n for r in got if r.i >= 0) == mixing.CONTEXTS * bits
+    assert sum(r.n for r in got if r.i < 0) == bits
+
+
+def test_mixing_weights_follow_a_text():
+    rng = np.random.default_rng(1)
+    bit, text = rng.integers(0, 2, 6000), np.repeat([0, 1, 2], [5000, 0, 1000])
+    odds = np.stack([np.zeros(6000), np.where(bit == 1, 2.0, -2.0), rng.normal(size=6000)])  # the second context is right
+    start = np.zeros((mixing.GATES, mixing.CONTEXTS))
+    got = mixing.along_texts(start, text, np.zeros(6000, "i8"), odds, bit)
+    assert (got[: mixing.OWN_BITS] == 0).all() and not start.any()
+    assert ((got[2500:5000] > 0) == (bit[2500:5000] == 1)).all()
+    assert np.allclose(got[5000:], mixing.along_texts(start, np.zeros(1000, "i8"), np.zeros(1000, "i8"), odds[:, 5000:], bit[5000:]))
+
+
+def test_mixing_refinement_corrects_what_is_too_sure():
+    counts = np.zeros((mixing.REFINED, mixing.POINTS, 2))
+    empty = mixing.refinement(counts)
+    x = np.linspace(-6, 6, 50)
+    assert np.allclose(mixing.refined(x, np.zeros(50, "i8"), empty), 1 / (1 + np.exp(-x)), atol=0.02)
+    counts[3, :] = 500, 500
+    assert abs(mixing.refined(np.array([4.0]), np.array([3]), mixing.refinement(counts))[0] - (0.5 + 0.982) / 2) < 0.01
 
 
 def test_code_is_complete():
