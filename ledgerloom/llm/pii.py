@@ -1,15 +1,15 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans (e-mail addresses, IP addresses, payment cards, phone numbers) come from patterns and checks and
-always stay. Further spans are found among candidates: words that hold a digit or an ``@`` and do not
-overlap a base span. Labelers vote on each candidate: patterns (assignments, key ids, hex strings, national
-numbers), a gazetteer (words of versions, licences and counts speak against), and the words before it. A
+always stay. Further spans are found among candidates: words that hold a digit or an ``@``, assignments, words after a
+naming context and hits of a gazetteer of names and places, which do not overlap a base span. Labelers vote on each candidate: patterns (assignments, key ids, hex strings, national
+numbers), gazetteers (names and places speak for, words of versions, licences and counts against), and the words before it. A
 labeler votes one way or abstains. Expectation-maximisation over the counts of vote patterns estimates each
 labeler's reliability and the share of personal data; its posteriors are soft labels that train the final
 span classifier (log odds of the votes, the candidate's shape and the word before it, each in a bounded number of
 buckets). A candidate with odds above one becomes a span of kind ``secret``.
 
-What reaches the driver are counts by (votes, shape, word before): at most 2**9 * 16 * 16 rows at any input
+What reaches the driver are counts by (votes, shape, word before): at most 2**11 * 64 * 64 rows at any input
 size. They are gathered over all documents. Texts are read twice, nothing else is shuffled, and no Python
 runs on the executors.
 
@@ -37,12 +37,20 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words with a digit or an @.
-WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Gazetteer of given names and places.
+GIVEN = "Ahmed|Alice|Ana|Andrea|Anna|Anne|Carlos|Charles|David|Elena|Elizabeth|Emma|Fatima|Francesca|Giovanni|Hans|Ivan|James|Jean|Jennifer|John|Jose|Joseph|Juan|Julia|Karen|Klaus|Laura|Linda|Luis|Marie|Maria|Mary|Michael|Mohammed|Patricia|Paul|Peter|Pierre|Richard|Robert|Sarah|Sofia|Susan|Thomas|William"
+PLACES = "Amsterdam|Barcelona|Berlin|Boston|Brussels|Chicago|Dublin|Hamburg|Lisbon|London|Lyon|Madrid|Marseille|Milan|Munich|Paris|Rome|Seattle|Sydney|Tokyo|Toronto|Vienna|Zurich"
+ASSIGNED = "pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth"
+NAMED = "password|passwd|pwd|secret|token|api[ _-]?key|ssn|iban|passport|licen[cs]e no|account"
+#: Words with a digit or an @, assignments, and gazetteer hits (a name with the capitalised word after it).
+WORD = rf"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|[\"'(\[{{<]*+(?:(?i:{ASSIGNED})[=:]\S{{6,}}+|(?=\p{{Lu}})(?:(?:{GIVEN})(?![\p{{L}}0-9])(?:\x20\p{{Lu}}\p{{L}}++)?|(?:{PLACES})(?![\p{{L}}0-9]))))"
+#: The same and words after a naming context; for texts that have one, as looking back takes time.
+WORD_OR_NAMED = rf"(?:{WORD}|(?<!\S)(?<=(?i:\b(?:{NAMED})(?:\W{{0,3}}[=:]\W{{0,3}}|\W{{1,3}}(?:is|no|number)\W{{1,3}})))\S{{4,}}+)"
+HAS_NAMED = rf"(?i:\b(?:{NAMED})(?:\W{{0,3}}[=:]|\W{{1,3}}(?:is|no|number)\W))"
 
 EMPTY = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Buckets of shapes and of words before a candidate.
-SHAPES = WORDS_BEFORE = 16
+SHAPES = WORDS_BEFORE = 64
 ROUNDS = 50
 #: Characters before a candidate that labelers see, and matches whose offsets are summed together.
 BEFORE = 32
@@ -58,6 +66,8 @@ LABELERS: tuple[Labeler, ...] = (
     ("address_like", 1, r"word RLIKE '^[^@]+@[^@]+$'"),
     ("mixed", 1, r"char_length(word) >= 12 AND char_length(regexp_replace(word, '[^0-9]', '')) >= 4 AND char_length(regexp_replace(word, '[^A-Za-z]', '')) >= 4"),
     ("named_before", 1, r"before RLIKE '(?i)\\b(?:password|passwd|pwd|secret|token|api[ _-]?key|ssn|iban|passport|licen[cs]e no|account)\\W{0,4}(?:is|no|number)?\\W{0,4}$'"),
+    ("gazetteer_hit", 1, rf"word RLIKE '^(?:(?:{GIVEN})(?: [A-Z]|$)|(?:{PLACES})$)'"),
+    ("plain_word", 0, r"word RLIKE '^[a-z]{1,7}$'"),
     ("short_number", 0, r"word RLIKE '^[0-9]{1,4}(?:[.,:/-][0-9]{1,4}){0,2}$'"),
     ("gazetteer", 0, r"lower(regexp_extract(before, '([A-Za-z]+)\\W*$', 1)) IN ('version','v','vol','volume','no','nr','page','pages','chapter','section','figure','table','nc','by','sa','cc','apache','gpl','mit','bsd','license','copyright','year','in','since') OR lower(regexp_replace(word, '[^A-Za-z]', '')) IN ('v','st','nd','rd','th','pp','km','kg','cm','mm','px','am','pm')"),
 )
@@ -141,8 +151,8 @@ def candidates(text: Column, base: Column) -> Column:
         return F.struct(start.alias("start"), (start + F.char_length(word)).alias("end"), word.alias("word"), x.before.alias("before"))
 
     free = lambda c: (c.word != "") & ~F.exists(base, lambda b: (b.start < c.end) & (c.start < b.end))
-    found = F.filter(F.transform(_placed(text, WORD), trimmed), free)
-    return F.when(F.regexp_like(text, F.lit("[0-9@]")), found).otherwise(F.array().cast(kind))
+    found = lambda pattern: F.filter(F.transform(_placed(text, pattern), trimmed), free)
+    return F.when(F.regexp_like(text, F.lit(HAS_NAMED)), found(WORD_OR_NAMED)).when(F.regexp_like(text, F.lit(WORD)), found(WORD)).otherwise(F.array().cast(kind))
 
 
 def _on(sql: str, item: str) -> str:
@@ -162,7 +172,7 @@ def votes_sql(item: str) -> str:
 
 
 def shape_sql(item: str) -> str:
-    shape = f"regexp_replace(regexp_replace(regexp_replace(left({item}.word, 24), '[A-Z]+', 'A'), '[a-z]+', 'a'), '[0-9]+', '9')"
+    shape = f"regexp_replace(regexp_replace(regexp_replace({item}.word, '[A-Z]+', 'A'), '[a-z]+', 'a'), '[0-9]+', '9')"
     return f"pmod(xxhash64({shape}), {SHAPES})"
 
 
@@ -196,7 +206,8 @@ def learn(counts: list[tuple[int, int, int, int]]) -> Model:
     posterior: dict[int, float] = {}
     for _ in range(ROUNDS):
         for v in patterns:
-            yes, no = math.log(prior), math.log(1 - prior)
+            # trust is the share of right votes, so the prior is for what has no vote
+            yes, no = (0.0, 0.0) if v else (math.log(prior), math.log(1 - prior))
             for i, (_, side, _) in enumerate(LABELERS):
                 if v >> i & 1:
                     yes += math.log(trust[i] if side else 1 - trust[i])

@@ -67,6 +67,16 @@ def test_added_spans_keep_base_and_find_secrets(spark):
     assert all("[SECRET]" in t and "[EMAIL]" in t and "@" not in t for t in clean)
 
 
+def test_secrets_and_names_without_digits_are_found(spark):
+    hidden = ["password=correcthorsebattery", "api_key=AbCdEfGhIjKl", "hunterhunter", "Maria Kowalska", "London"]
+    rows = [(i, f"some plain text {hidden[0]} and {hidden[1]} or the password is {hidden[2]} as {hidden[3]} of {hidden[4]} said in version {i}.2 on page {i}") for i in range(40)]
+    frame = spark.createDataFrame([*rows, (98, "Londonderry and Mariana keep no secret here")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(frame).collect()}
+    for i, text in rows:
+        assert [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in got[i].split(","))] == hidden
+    assert got[98] == ""
+
+
 def test_quality_grades(spark):
     rng = random.Random(2)
     good = [f"w{i}" for i in range(50)]
