@@ -1,27 +1,37 @@
 """Language-model scores by online logistic context mixing.
 
-A text is lower-cased (A-Z) and cut at white space; it is coded as its words and one end. Each of the most
-frequent training words (``VOCABULARY``, or one for each ``WORDS_A_CODE`` training words), the end and an escape has a Huffman code; other words follow the escape byte by
-byte in a Huffman code of bytes, up to a space. So a text is a sequence of bits, and the probability of the
-text is the product of those of its bits.
-
-For each bit several predictors look up counts of zeros and ones: for words under the code node alone, the node and
-the word before, and the node and two words before; for bytes under the node and two, three and five bytes before.
-The tables hold each symbol that followed a context, with its count, as sorted keys; they grow with the training text.
-A key has 40 bits of the context's hash and the symbol's exact leaf of the code. A gate, chosen by what is coded and by how
-much the longer contexts have seen, has weights that mix the predictors' log odds to one probability. The weights are
-learned online, bit by bit group, by gradient steps on the coding cost, with each bit's own occurrence taken out of its counts.
-They go on learning along each text that is scored, from the same start for all texts. The mixed probability is refined:
-a table from its hashed code node and quantised log odds to the share of ones, gathered over all training
-bits, gives a second probability, and the mean of both codes the bit.
+A text is lower-cased (A-Z) and cut at white space; it is coded as its words and one end. The most frequent training
+words (``VOCABULARY``, or ``WORDS_A_ROOT`` times the square root of the training words), the end and an escape have
+Huffman codes; other words follow the escape byte by byte in a Huffman code of bytes, up to a space. So a text is a
+sequence of bits, and the probability of the text is the product of those of its bits.
+
+For each bit hashed-context predictors give log odds from counts of the training texts:
+
+* words: the code node alone; the node after the last *marker* (one of the ``MARKERS`` most frequent words); the most
+  frequent follower of the two words before, as long as its code agrees; and the word that followed these two words
+  when the same text had them last, so that a text teaches about itself;
+* bytes of spelt words: the node alone, and after two, three and five bytes.
+
+A gate, chosen by what is coded and by how sure the predictors are, has weights that mix the log odds to one
+probability. The weights are learned online over all bits of all training texts, group of bits by group, by gradient
+steps on the coding cost; they go on learning along each text that is scored, from the same start for all texts. The
+mixed probability is refined: a table from the hashed code node and the quantised log odds to the share of
+ones, gathered over all training bits, gives a second probability, and the mean of both codes the bit.
+
+A training text is taught and scored without what it has put into the tables itself: its own followers are taken out of
+the counts of its pairs of words, and each bit's own occurrence out of the other counts. So a text that the corpus holds once
+is as new to the model as a held-out one, and copies stand out.
 
 1. Words of all training texts are counted; counts stay in a table. The most frequent ones make the code.
-2. All training texts fill the tables: tasks send counts of keys, which are summed by ranges of keys.
-3. All training texts teach the weights, each by all bits of its slices; tasks' weights are averaged. The same pass gathers the refinement.
+2. All training texts fill the tables: tasks send counts of (context, symbol), which are summed by ranges of contexts.
+3. All training texts teach the weights; tasks' weights are averaged. The same pass gathers the refinement.
 4. All texts are scored. For the base score, counts of frequent words come with the code, those of others by a
    join of their hashes with the table of counts.
 
-The code and the tables are files in the shared folder that workers map to memory. Both grow with the training words.
+Words are compared by 64-bit hashes of all their bytes. The code and the tables are files in the shared folder that workers map
+to memory, so the workers of a machine share them. All grow with the training words: an entry for each pair of words
+that is followed by something, and four slots for each (context, byte). Slots and entries carry check bits. A task holds
+slices of about ``SLICE_CHARS`` characters, or one text (about 200 bytes a character of the longest text).
 
 Defined results: null and empty texts are one end; a null doc_id counts as an empty id for the split; rows that
 repeat are trained on and scored each; without training texts all words are spelt; an empty table gives an empty
@@ -34,7 +44,6 @@ import heapq
 import os
 import shutil
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,26 +53,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint_dir, cut
-
-#: Words with a code of their own at least; more as the training words grow.
-VOCABULARY = 100_000
-#: Training words for each further word with a code.
-WORDS_A_CODE = 64
-CONTEXTS = 3
-#: Low bits of a key: the symbol's leaf. The bits above are the context's hash.
-LEAF_BITS = 24
-RATE = 2.0
-#: Texts handled at once, by characters.
+from ledgerloom.llm.common import checkpoint_dir, cut, delete_folder
+from ledgerloom.llm.minhash import BASE, BASE_INVERSE, BYTE, SPACE, _mix, _power
+
+u = np.uint64
+#: Words with a code of their own at least, and for each root of the training words.
+VOCABULARY = 1 << 17
+WORDS_A_ROOT = 24
+MARKERS = 63
+#: Bytes before a byte that its hashed contexts see, and the tables: markers, pairs of words, those contexts.
+SPANS = (2, 3, 5)
+TABLES = 2 + len(SPANS)
+INPUTS = 4
+#: Texts handled at once, by characters; a task's pending keys; keys of a block; training words of a part.
 SLICE_CHARS = 1 << 18
-#: Keys that a task gathers before it sends their counts on, and keys of a block.
 PENDING = 1 << 22
 BLOCK = 1 << 14
-#: Training words for each part of a table.
 WORDS_A_PART = 1 << 20
-LEVELS = 4
-GATES = 2 * LEVELS * LEVELS
-#: Bits of a text after which its own weights move, and what holds them back.
+#: Gates: (follower's class, own text predicts, depth, marker's confidence) of words; (confidences) of bytes.
+CLASSES = 6
+WORD_GATES = CLASSES * 2 * 3 * 2
+GATES = WORD_GATES + 4 * 4
+RATE = 2.0
+#: Bits of a text after which its own weights move first (each next stretch is twice as long), and what holds them back.
 OWN_BITS = 256
 OWN_RATE = 1.0
 OWN_HOLD = 50.0
@@ -72,9 +84,59 @@ REFINED = 1 << 10
 POINTS = 25
 REACH = 8.0
 START = 8.0
-END = b" "
+#: The hash of the end in the table of counts, and of what is before a text.
+END, BEFORE = u(0x9E3779B97F4A7C15), u(0xD6E8FEB86659FD93)
+
+
+# ---------------------------------------------------------------- states: two counts in a byte
+EXACT = 14
+STEP = 0.125
+
+
+def _pair_states() -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.array([(a, n - a) for n in range(EXACT + 1) for a in range(n, -1, -1)])  # zeros, ones
+    return pairs, np.arange(len(pairs))
+
+
+PAIRS, _ = _pair_states()
+RATIOS = 256 - len(PAIRS)
+
 
+def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """A byte for each pair of counts: exact up to ``EXACT`` together, beyond that the log odds in steps."""
+    n = zeros + ones
+    small = n * (n + 1) // 2 + ones
+    ratio = np.rint(np.log((ones + 0.2) / (zeros + 0.2)) / STEP) + RATIOS // 2
+    return np.where(n <= EXACT, np.minimum(small, len(PAIRS) - 1), len(PAIRS) + np.clip(ratio, 0, RATIOS - 1)).astype("u1")
 
+
+def _state_odds(taken: int | None) -> np.ndarray:
+    """Log odds of a one of each state, without one occurrence of the bit ``taken``."""
+    counts = PAIRS.astype("f8")
+    if taken is not None:
+        counts[:, taken] = np.maximum(counts[:, taken] - 1, 0)
+    small = np.log((counts[:, 1] + 0.2) / (counts[:, 0] + 0.2))
+    return np.concatenate([small, (np.arange(RATIOS) - RATIOS // 2) * STEP]).astype("f4")
+
+
+#: By 256 * (0: as it is, 1: without a zero, 2: without a one) + state.
+STATE_ODDS = np.concatenate([_state_odds(None), _state_odds(0), _state_odds(1)])
+STATE_LEVEL = np.concatenate([np.digitize(np.append(np.maximum(PAIRS.sum(axis=1) - less, 0), np.full(RATIOS, 99)), (0.5, 2.5, 12.5)) for less in (0, 1, 1)]).astype("i1")
+
+
+def _run_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and log odds of a follower by 16 * its count + the others' count, each up to 15."""
+    c, o = np.divmod(np.arange(256), 16)
+    kind = np.where(c == 0, 0, np.where(o == 0, np.where(c == 1, 1, np.where(c < 4, 2, 3)), np.where(c >= 2 * o, 4, 5)))
+    return kind.astype("i1"), np.where(c > 0, np.log((c + 0.5) / (o + 0.5)).clip(0.1), 0).astype("f4")
+
+
+RUN_CLASS, RUN_ODDS = _run_tables()
+OWN_ODDS = np.float32(1.5)
+SIGN = np.array([0, -1, 1], "f4")
+
+
+# ---------------------------------------------------------------- the code
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol its path from the root: starts, nodes and bits."""
     n = len(weights)
@@ -102,350 +164,548 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, nodes, bits
 
 
-def _leaves(path: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The leaf number of each symbol in code order, and for each place in the paths the first leaf of its one side."""
+def node_counts(path: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The zeros and ones at each node when symbols occur ``counts`` times."""
     starts, nodes, bits = path
-    zeros = np.bincount(nodes[bits == 0], minlength=int(nodes.max(initial=0)) + 1)[nodes]
-    moved = np.concatenate([[0], np.cumsum(bits * zeros)])
-    low = moved[:-1] - np.repeat(moved[starts[:-1]], np.diff(starts))
-    return moved[starts[1:]] - moved[starts[:-1]], low + zeros
+    each, n = np.repeat(counts, np.diff(starts)).astype("f8"), max(1, len(starts) - 2)
+    ones = np.bincount(nodes, weights=each * bits, minlength=n)
+    return np.bincount(nodes, weights=each, minlength=n) - ones, ones
 
 
-def make_code(folder: str, frequent: list[tuple[bytes, int]], ends: int, others: int) -> np.ndarray:
-    """Write the code of frequent words, the end and the escape; bytes are coded by their use in those words. The counts are returned."""
-    counts = np.array([c for _, c in frequent] + [ends, others], "i8")
-    letters = np.bincount(np.frombuffer(b" ".join([*(w for w, _ in frequent), b"", b""]) or b" ", "u1"), minlength=256) + 1
-    hashes = hash_words([w for w, _ in frequent])
+def make_code(folder: str, hashes: np.ndarray, counts: np.ndarray, ends: int, others: int, letters: np.ndarray) -> None:
+    """Write the code of frequent words (hashes and counts), the end and the escape, and that of bytes by their counts."""
+    counts = np.append(counts, [ends, others]).astype("i8")
     order = np.argsort(hashes)
-    parts = {"hashes": hashes[order], "ids": order, "counts": counts}
-    for name, path in (("word", huffman(np.maximum(counts, 1))), ("byte", huffman(letters))):
-        leaf, middle = _leaves(path)
-        parts |= {f"{name}_starts": path[0], f"{name}_bits": path[2], f"{name}_leaf": leaf, f"{name}_middle": middle.astype("i4")}
+    bits = max(1, int(np.ceil(np.log2(max(2, len(hashes))))) - 1)
+    parts = {"hashes": hashes[order], "ids": order.astype("i4"), "counts": counts, "starts": np.searchsorted(hashes[order] >> u(64 - bits), np.arange((1 << bits) + 1, dtype="u8")).astype("i4")}
+    for name, weights in (("word", np.maximum(counts, 1)), ("byte", letters + 1)):
+        path = starts, nodes, bit = huffman(weights)
+        zeros, ones = node_counts(path, weights)
+        at = lambda less: np.log((np.maximum(ones[nodes] - less * bit, 0) + 0.2) / (np.maximum(zeros[nodes] - less * (1 - bit), 0) + 0.2)).astype("f4")  # noqa: B023, E731
+        depth = np.arange(len(nodes)) - np.repeat(starts[:-1], np.diff(starts))
+        code = np.bitwise_or.reduceat(bit.astype("u8") << (u(63) - depth.astype("u8")), starts[:-1]) if len(nodes) else np.zeros(len(weights), "u8")
+        parts |= {f"{name}_starts": starts, f"{name}_nodes": nodes, f"{name}_bits": bit, f"{name}_odds": np.stack([at(0), at(1)]), f"{name}_code": code}
     for name, x in parts.items():
         np.save(f"{folder}/{name}.npy", x)
-    return counts
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    out = np.empty(len(words), object)
-    out[:] = words
-    return pd.util.hash_array(out, categorize=False) if words else np.zeros(0, "u8")
+def found(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key between its begin and end, or -1."""
+    out = np.full(len(wanted), -1, "i8")
+    live = np.nonzero(begin < end)[0]
+    at, end, wanted = begin[live], end[live], wanted[live]
+    while live.size:
+        hit = keys[at] == wanted
+        out[live[hit]] = at[hit]
+        at = at + 1
+        go = ~hit & (at < end)
+        live, at, end, wanted = live[go], at[go], end[go], wanted[go]
+    return out
 
 
 class Book:
-    """The code and the tables in the shared folder, mapped to memory, so that the workers of a machine share them."""
+    """The code and the tables in the shared folder, mapped to memory."""
 
     def __init__(self, folder: str):
         read = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
-        self.hashes, self.ids, self.counts = read("hashes"), read("ids"), read("counts")
-        self.paths = [tuple(read(f"{kind}_{x}") for x in ("starts", "bits", "leaf", "middle")) for kind in ("word", "byte")]
+        self.hashes, self.ids, self.counts, self.starts = (np.asarray(read(x)) for x in ("hashes", "ids", "counts", "starts"))
+        self.paths = [tuple(np.asarray(read(f"{kind}_{x}")) for x in ("starts", "nodes", "bits", "odds", "code")) for kind in ("word", "byte")]
         self.end, self.escape = len(self.counts) - 2, len(self.counts) - 1
-        self.tables = []
-        if os.path.exists(f"{folder}/0.keys"):
-            for t in range(CONTEXTS):
-                size = os.path.getsize(f"{folder}/{t}.keys") // 8
-                self.tables.append(tuple(np.memmap(f"{folder}/{t}.{x}", d, "r") if size else np.zeros(0, d) for x, d in (("keys", "u8"), ("below", _kind(t)))))
-
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol of each word, -1 for one without a code, and its hash."""
-        h = hash_words(words)
+        self.leaf = max(8, (len(self.counts)).bit_length())
+        self.nodes = len(self.counts) - 1
+        self.filled = os.path.exists(f"{folder}/layout.npz")
+        if self.filled:
+            layout = np.load(f"{folder}/layout.npz")
+            self.part_bits, self.bucket_bits = int(layout["part_bits"]), int(layout["bucket_bits"])
+            self.base = [layout[f"base{t}"] for t in range(TABLES)]
+            mapped = lambda name, d: np.memmap(f"{folder}/{name}", d, "r") if os.path.getsize(f"{folder}/{name}") else np.zeros(0, d)
+            self.marked = mapped("0.states", "u1")
+            self.run = tuple(mapped(f"1.{x}", d) for x, d in (("ends", "u4"), ("check", "u2"), ("symbol", "u4"), ("seen", "u1")))
+            self.slots = [mapped(f"{t}.slots", "u2") for t in range(2, TABLES)]
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        """The symbol of each word's hash, -1 for one without a code."""
         if not len(self.hashes):
-            return np.full(len(h), -1), h
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], -1), h
-
-
-def _kind(t: int) -> str:
-    return "u8" if t == 0 else "u4"  # differences are right while no one context has more
+            return np.full(len(h), -1)
+        b = (h >> u(65 - len(self.starts).bit_length())).astype("i8")
+        at = found(self.hashes, self.starts[b], self.starts[b + 1], h)
+        return np.where(at >= 0, self.ids[at], -1)
+
+    def followers(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each context the most frequent follower's symbol, its count and the others' count (each up to 15, 0 if none)."""
+        ends, check, symbol, seen = self.run
+        if not len(check):
+            return np.zeros(len(context), "i8"), np.zeros(len(context), "i8"), np.zeros(len(context), "i8")
+        bucket = (context >> u(64 - self.bucket_bits)).astype("i8")
+        base = self.base[1][bucket >> (self.bucket_bits - self.part_bits)]
+        first = bucket & ((1 << (self.bucket_bits - self.part_bits)) - 1) == 0
+        begin = np.where(first, 0, ends[bucket - 1]).astype("i8") + base
+        at = found(check, begin, ends[bucket] + base, (context >> u(48 - self.bucket_bits)).astype("u2"))
+        s = seen[at]
+        none = at < 0
+        return np.where(none, 0, symbol[at]).astype("i8"), np.where(none, 0, s >> 4).astype("i8"), np.where(none, 0, s & 15).astype("i8")
+
+    def slot_states(self, t: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The states of (context, node) in a table of slots; 0 where it was never seen."""
+        slots, base = self.slots[t - 2], self.base[t]
+        part = (context >> u(64 - self.part_bits)).astype("i8")
+        h = _slot_hash(context, node)
+        begin = base[part]
+        size = base[part + 1] - begin
+        at = begin + ((h >> u(40)).astype("i8") * size >> 24)
+        got = slots[np.minimum(at, max(0, len(slots) - 1))] if len(slots) else np.zeros(len(at), "u2")
+        return np.where((size > 0) & (got >> 8 == (h & u(255))), got & 255, 0).astype("i8")
+
+
+def _slot_hash(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    x = (context ^ (node.astype("u8") * u(0xC2B2AE3D27D4EB4F))) * u(0x9E3779B97F4A7C15)
+    return (x ^ (x >> u(29))) * u(0xBF58476D1CE4E5B9)
 
 
 _books: dict[str, Book] = {}
 
 
 def _book(folder: str, filled: bool = True) -> Book:
-    if folder not in _books or (filled and not _books[folder].tables):
+    if folder not in _books or (filled and not _books[folder].filled):
         _books.clear()
         _books[folder] = Book(folder)
     return _books[folder]
 
 
-def _spread(starts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of bits of each symbol, and for each bit its place in the paths."""
-    size = starts[symbols + 1] - starts[symbols]
-    return size, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - starts[symbols], size)
+# ---------------------------------------------------------------- texts as symbols
+@dataclass
+class Tokens:
+    """Words and ends of texts in order: owning text, hash, symbol (-1: spelt); spelt words' places and bytes."""
+
+    sizes: np.ndarray
+    owner: np.ndarray
+    hash: np.ndarray
+    symbol: np.ndarray
+    rare: np.ndarray
+    letters: np.ndarray
+    lengths: np.ndarray
+
+
+def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined lower-case bytes, each word's start and end there, its hash, and each text's number of words."""
+    joined = np.frombuffer(b" ".join([*texts, b""]).lower() or b" ", "u1")
+    gap = SPACE[joined]
+    edge = np.nonzero(gap[1:] != gap[:-1])[0] + 1
+    if not gap[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, "u8"), np.cumsum(BYTE[joined] * _power(BASE, len(joined)), dtype="u8")])
+    h = _mix((total[end] - total[start]) * _power(BASE_INVERSE, len(joined) + 1)[start] + (end - start).astype("u8"))
+    bounds = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    return joined, start, end, h, np.diff(np.concatenate([[0], bounds]))
+
+
+def tokens_of(book: Book, texts: list[bytes]) -> Tokens:
+    joined, start, end, h, n = words_in(texts)
+    sizes = n + 1
+    total, owner = int(sizes.sum()), np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)
+    hashes, symbol = np.full(total, END), np.full(total, book.end, "i8")
+    hashes[place] = h
+    symbol[place] = own = book.symbols(h)
+    spelt = np.nonzero(own < 0)[0]
+    lengths = end[spelt] - start[spelt] + 1  # with the space behind
+    begin = np.cumsum(lengths) - lengths
+    letters = joined[np.arange(int(lengths.sum())) + np.repeat(start[spelt] - begin, lengths)].copy()
+    letters[begin + lengths - 1] = 32
+    return Tokens(sizes, owner, hashes, symbol, place[spelt], letters, lengths)
+
+
+def pair_contexts(t: Tokens) -> np.ndarray:
+    """The hash of the two words before each token."""
+    first = np.concatenate([[True], t.owner[1:] != t.owner[:-1]])
+    before = np.where(first, BEFORE, np.concatenate([[BEFORE], t.hash[:-1]]))
+    earlier = np.where(first, BEFORE, np.concatenate([[BEFORE], before[:-1]]))
+    return _mix(before * u(0xC2B2AE3D27D4EB4F) + (earlier ^ (earlier >> u(32))) * u(0x165667B19E3779F9) + u(7))
+
+
+def markers_of(book: Book, t: Tokens) -> np.ndarray:
+    """One more than the symbol of the last marker before each token of the same text, or 0."""
+    if not len(t.symbol):
+        return np.zeros(0, "i8")
+    at = np.arange(len(t.symbol))
+    last = np.maximum.accumulate(np.where((t.symbol >= 0) & (t.symbol < min(MARKERS, book.end)), at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    start = (np.cumsum(t.sizes) - t.sizes)[t.owner]
+    return np.where(last >= start, t.symbol[last] + 1, 0)
+
+
+def byte_contexts(t: Tokens) -> list[np.ndarray]:
+    """The hashed contexts of the spelt words' bytes; nothing is seen across the start of a word."""
+    size = len(t.letters)
+    behind = np.arange(size) - np.repeat(np.cumsum(t.lengths) - t.lengths, t.lengths)
+    x, out = t.letters.astype("u8"), []
+    for k in SPANS:
+        h = np.full(size, k, "u8")
+        for i in range(1, k + 1):
+            past = np.concatenate([np.zeros(min(i, size), "u8"), x[:-i]]) if i < size else np.zeros(size, "u8")
+            h = h * u(257) + np.where(behind >= i, past, u(32))
+        out.append(_mix(h * u(0xD6E8FEB86659FD93) + u(0x51ED270B)))
+    return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(LEAF_BITS) << np.uint64(LEAF_BITS)
+def _masked(context: np.ndarray, leaf: int) -> np.ndarray:
+    return context >> u(leaf) << u(leaf)
 
 
+# ---------------------------------------------------------------- bits
 @dataclass
-class Symbols:
-    """Symbols of one kind (0 is words, 1 is bytes of spelt words): text, place of the word in its slice, symbol, and contexts' hashes."""
+class Bits:
+    """All bits of texts, each text's in order: text, bit, gate, the predictors' log odds, and the refinement's context."""
 
-    kind: int
     text: np.ndarray
-    place: np.ndarray
-    symbol: np.ndarray
-    contexts: list[np.ndarray]
-
-
-def symbol_stream(book: Book, texts: list[list[bytes]]) -> tuple[list[Symbols], np.ndarray]:
-    """All symbols of the texts, and the code of each word and end (-1 for words that are spelt)."""
-    u = np.uint64
-    sizes = np.array([len(t) + 1 for t in texts], "i8")
-    total = int(sizes.sum())
-    symbol, h = np.full(total, book.end, "i8"), np.full(total, 1, "u8")
-    inner = np.ones(total, bool)
-    inner[np.cumsum(sizes) - 1] = False
-    flat = [w for t in texts for w in t]
-    symbol[inner], h[inner] = book.symbols(flat)
-    owner, known = np.repeat(np.arange(len(texts)), sizes), symbol.copy()
-    rare = np.nonzero(symbol < 0)[0]
-    symbol[rare] = book.escape
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if total else np.zeros(0, bool)
-    before = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), h[:-1]])[:total])
-    earlier = np.where(first, u(1), np.concatenate([np.ones(1, "u8"), before[:-1]])[:total])
-    one = before * u(0xC2B2AE3D27D4EB4F) + u(1)
-    two = one + (earlier ^ (earlier >> u(32))) * u(0x165667B19E3779F9) + u(7)
-    out = [Symbols(0, owner, np.arange(total), symbol, [np.zeros(total, "u8"), _mixed(one), _mixed(two)])]
-    if rare.size:
-        spelt = [flat[i] for i in (rare - owner[rare])]  # one end lies before for each text before
-        joined = np.frombuffer(b" ".join([*spelt, b""]), "u1").astype("i8")
-        past = [np.concatenate([np.full(k, 32), joined[:-k]]) if len(joined) > k else np.full(len(joined), 32) for k in (1, 2, 3, 4, 5)]
-        for k in (1, 2, 3, 4):  # nothing is seen across the start of a word
-            past[k] = np.where(past[k - 1] == 32, 32, past[k])
-        c, sums = [p.astype("u8") for p in past], []
-        for low, k in ((3, 2), (5, 3), (9, 5)):
-            x = np.full(len(joined), low, "u8")
-            for p in c[:k]:
-                x = x * u(257) + p
-            sums.append(_mixed(x * u(0xD6E8FEB86659FD93) + u(0x51ED270B)))
-        word = rare[np.repeat(np.arange(len(spelt)), [len(w) + 1 for w in spelt])]
-        out.append(Symbols(1, owner[word], word, joined, sums))
-    return out, known
-
-
-def _looked_up(book: Book, s: Symbols, t: int) -> np.ndarray:
-    """``bits x 2`` counts of zeros and ones at the nodes of each symbol's path, in one table.
-
-    A node is a range of leaves, so its counts are those of a range of the context's sorted keys. Ranges narrow along
-    the path; where a context was never seen at a node there is nothing to narrow.
+    bit: np.ndarray
+    gate: np.ndarray
+    odds: np.ndarray
+    node: np.ndarray
+
+
+def _agreement(code: np.ndarray, symbol: np.ndarray, guess: np.ndarray) -> np.ndarray:
+    """The bits that two symbols' codes share from the root on; 99 for the same symbol."""
+    apart = code[symbol] ^ code[guess]
+    return np.where(symbol == guess, 99, 53 - np.frexp((apart >> u(11)).astype("f8"))[1]).astype("i4")
+
+
+def word_predictions(book: Book, t: Tokens, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token: the symbol coded, agreement and seen counts of the pair's follower, agreement of the own text's (-1: none).
+
+    ``own`` says which texts are training texts, whose own followers are taken out of the counts.
     """
-    starts, bits, leaf, middle = book.paths[s.kind]
-    keys, below = book.tables[t]
-    pairs, back = np.unique(s.contexts[t] | leaf[s.symbol].astype("u8"), return_inverse=True)
-    sample = np.zeros(len(pairs), "i8")
-    sample[back] = s.symbol
-    size = starts[sample + 1] - starts[sample]
-    begin = np.cumsum(size) - size
-    out = np.zeros((int(size.sum()), 2), "i8")
-    if len(keys):
-        mask = np.uint64((1 << LEAF_BITS) - 1)
-        context = pairs & ~mask
-        low, high = np.searchsorted(keys, context), np.searchsorted(keys, context | mask)
-        live, depth = np.nonzero((low < high) & (size > 0))[0], 0
-        while live.size:
-            at = starts[sample[live]] + depth
-            cutting = context[live] | middle[at].astype("u8")
-            lo, hi = low[live], high[live]
-            single = hi - lo == 1
-            split = lo + (single & (keys[lo] < cutting))
-            many = np.nonzero(~single)[0]
-            split[many] = np.searchsorted(keys, cutting[many])
-            ends = below[split]
-            out[begin[live] + depth, 0] = ends - below[lo]
-            out[begin[live] + depth, 1] = below[hi] - ends
-            one = bits[at] == 1
-            low[live], high[live] = np.where(one, split, lo), np.where(one, hi, split)
-            depth += 1
-            live = live[(depth < size[live]) & (low[live] < high[live])]
-    each = size[back]
-    return out[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - begin[back], each)]
-
-
-def bit_stream(book: Book, parts: list[Symbols]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, kind, bit, counts)`` of all bits; kind 0 is word codes, 1 is spelling."""
-    out = []
-    for s in parts:
-        size, at = _spread(book.paths[s.kind][0], s.symbol)
-        out.append((np.repeat(s.text, size), np.full(len(at), s.kind, "i1"), book.paths[s.kind][1][at], np.stack([_looked_up(book, s, t) for t in range(CONTEXTS)])))
-    return tuple(np.concatenate(x, axis=1 if i == 3 else 0) for i, x in enumerate(zip(*out, strict=True)))
-
-
-def bit_places(book: Book, parts: list[Symbols]) -> tuple[np.ndarray, np.ndarray]:
-    """For all bits the place of the word, and the refinement's context: its kind and code node, hashed."""
-    place, node = [], []
-    for s in parts:
-        size, at = _spread(book.paths[s.kind][0], s.symbol)
-        place.append(np.repeat(s.place, size))
-        node.append(_mixed(book.paths[s.kind][3][at].astype("u8") * np.uint64(2) + np.uint64(s.kind)) >> np.uint64(54))
-    return np.concatenate(place), np.concatenate(node).astype("i8")
+    symbol = np.where(t.symbol < 0, book.escape, t.symbol)
+    n, code = len(symbol), book.paths[0][4]
+    context = _masked(pair_contexts(t), book.leaf)
+    guess, c, o = book.followers(context)
+    # the same context in the same text: places sorted by it, which also shows where it was last
+    low = max(1, n.bit_length())
+    key = np.sort(_mix(context + t.owner.astype("u8") * u(0x2545F4914F6CDD1D)) >> u(low) << u(low) | np.arange(n, dtype="u8"))
+    place, group = (key & u((1 << low) - 1)).astype("i8"), key >> u(low)
+    new = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    times = np.bincount(number, minlength=1)[number]
+    right = np.bincount(number, weights=symbol[place] == guess[place], minlength=1)[number]
+    mine = own[t.owner[place]]
+    full = (c[place] >= 15) | (o[place] >= 15)  # counts that are cut at 15 stay
+    less = np.where(mine & ~full, right, 0).astype("i8")
+    c[place] = np.maximum(c[place] - less, 0)
+    o[place] = np.maximum(o[place] - np.where(mine & ~full, times - right, 0).astype("i8"), 0)
+    last = np.full(n, -1, "i8")
+    last[place[1:]] = np.where(new[1:], -1, place[:-1])
+    ahead = _agreement(code, symbol, guess)
+    repeat = np.where(last >= 0, _agreement(code, symbol, symbol[np.maximum(last, 0)]), -1)
+    return symbol, np.where(c > 0, ahead, -1), c * 16 + o, repeat
+
+
+def _side(ahead: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """1 where a guess still agrees and is right, -1 where it is wrong, 0 where it is out."""
+    gap = ahead - depth
+    return SIGN[np.where(gap > 0, 2, gap == 0).astype("i1")]
+
+
+def bits_of(book: Book, t: Tokens, own: np.ndarray) -> Bits:
+    symbol, ahead, seen, repeat = word_predictions(book, t, own)
+    starts, nodes, bits, odds, _ = book.paths[0]
+    size = starts[symbol + 1] - starts[symbol]
+    spelling = np.zeros(len(symbol), "i8")
+    b_starts, b_nodes, b_bits, b_odds, _ = book.paths[1]
+    b_size = (b_starts[1:] - b_starts[:-1])[t.letters]
+    edges = np.cumsum(t.lengths)
+    b_sum = np.concatenate([[0], np.cumsum(b_size)])
+    spelling[t.rare] = b_sum[edges] - b_sum[edges - t.lengths]
+    begin = np.cumsum(size + spelling) - size - spelling
+    total = int((size + spelling).sum())
+    text, bit, gate = np.repeat(t.owner, size + spelling), np.empty(total, "i1"), np.empty(total, "i2")
+    x, refined_at = np.empty((INPUTS, total), "f4"), np.empty(total, "i4")
+
+    # words
+    word = np.repeat(np.arange(len(symbol), dtype="i4"), size)
+    depth = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype("i4")
+    at = starts[symbol][word] + depth
+    out = begin[word] + depth
+    b, node, mine = bits[at], nodes[at], own[t.owner]
+    sign = (2 * b - 1).astype("f4")
+    less = mine[word]
+    state = book.marked[(markers_of(book, t) * book.nodes)[word] + node] if len(book.marked) else np.zeros(len(at), "u1")
+    state = state + 256 * np.where(less, 1 + b.astype("i2"), 0)
+    follower, again = _side(ahead[word], depth), _side(repeat[word], depth)
+    kind = np.where(follower != 0, RUN_CLASS[seen][word], 0)
+    x[0, out] = odds[less.astype("i1"), at]
+    x[1, out] = STATE_ODDS[state]
+    x[2, out] = follower * RUN_ODDS[seen][word] * sign
+    x[3, out] = again * OWN_ODDS * sign
+    gate[out] = ((kind * 2 + (again != 0)) * 3 + np.minimum((depth + 1) // 2, 2)) * 2 + (STATE_LEVEL[state] >= 2)
+    bit[out] = b
+    refined_at[out] = _node_context(node, 0)
+
+    # bytes
+    if len(t.letters):
+        letter = np.repeat(np.arange(len(t.letters), dtype="i4"), b_size)
+        depth = np.arange(len(letter)) - np.repeat(b_sum[:-1], b_size)
+        at = b_starts[t.letters][letter] + depth
+        owner = np.repeat(np.arange(len(t.rare)), t.lengths)
+        out = (begin[t.rare] + size[t.rare] - b_sum[edges - t.lengths])[owner][letter] + np.arange(len(letter))
+        b, node = b_bits[at], b_nodes[at]
+        less = mine[t.rare][owner][letter]
+        taken = 256 * np.where(less, 1 + b.astype("i2"), 0)
+        x[0, out] = b_odds[less.astype("i1"), at]
+        levels = []
+        for i, context in enumerate(byte_contexts(t)):
+            state = book.slot_states(2 + i, _masked(context, book.leaf)[letter], node) + taken
+            x[1 + i, out] = STATE_ODDS[state]
+            levels.append(STATE_LEVEL[state])
+        gate[out] = WORD_GATES + levels[1] * 4 + levels[2]
+        bit[out] = b
+        refined_at[out] = _node_context(node, 1)
+    return Bits(text, bit, gate, x, refined_at)
+
+
+def _node_context(node: np.ndarray, kind: int) -> np.ndarray:
+    return ((node.astype("u4") * np.uint32(2) + np.uint32(kind)) * np.uint32(0x9E3779B1) >> np.uint32(22)).astype("i4")
+
+
+# ---------------------------------------------------------------- mixing
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def mix(weights: np.ndarray, at: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The mixed log odds; ``weights`` has a row for each input."""
+    total = weights[0][at] * odds[0]
+    for t in range(1, len(odds)):
+        total += weights[t][at] * odds[t]
+    return total
 
 
 def refined(mixed: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The probability of a one: the mean of the mixed one and that of the refinement, between its two nearest points."""
     x = (np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))
-    low = np.minimum(x.astype("i8"), POINTS - 2)
+    low = np.minimum(x.astype("i4"), POINTS - 2)
     part = x - low
-    near = table[node, low] * (1 - part) + table[node, low + 1] * part
-    return (near + 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))) / 2
+    flat, at = table.ravel(), node * POINTS + low
+    near = flat[at]
+    near += (flat[at + 1] - near) * part
+    return (near + squash(mixed)) / 2
 
 
 def refinement(counts: np.ndarray) -> np.ndarray:
     """``REFINED x POINTS`` probabilities from ``REFINED x POINTS x 2`` counts; without counts that of the point itself."""
-    own = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, POINTS)))
-    return (counts[..., 1] + START * own) / (counts.sum(axis=-1) + START)
+    own = squash(np.linspace(-REACH, REACH, POINTS))
+    return ((counts[..., 1] + START * own) / (counts.sum(axis=-1) + START)).astype("f4")
 
 
 def along_texts(weights: np.ndarray, text: np.ndarray, gate: np.ndarray, odds: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """The mixed log odds of bits in the order of their texts, where each text's weights learn along it from those given.
 
-    A text's weights move after each ``OWN_BITS`` bits of it; the same steps of all texts are taken together.
+    A text's weights move after its first ``OWN_BITS`` bits, and after stretches that double from there; the same
+    steps of all texts are taken together.
     """
-    out, sizes = np.empty(len(bit)), np.bincount(text)
+    out, sizes = np.empty(len(bit), "f4"), np.bincount(text)
     rank = np.empty(len(sizes), "i8")
     rank[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))  # texts that still go on come first
     begin = np.cumsum(sizes) - sizes
-    step = (np.arange(len(bit)) - begin[text]) // OWN_BITS
-    order = np.argsort(step, kind="stable")
-    edges = np.concatenate([[0], np.cumsum(np.bincount(step))])
-    own = np.tile(weights, (len(sizes), 1))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        now = order[a:b]
+    longest = int(sizes.max(initial=0))
+    own = np.tile(weights.T.astype("f4"), (1, len(sizes)))
+    low, width = 0, OWN_BITS
+    while low < longest:
+        live = np.nonzero(sizes > low)[0]
+        count = np.minimum(sizes[live] - low, width)
+        now = np.arange(int(count.sum())) + np.repeat(begin[live] + low - (np.cumsum(count) - count), count)
         at = rank[text[now]] * GATES + gate[now]
         x = odds[:, now]
-        mixed = (own[at].T * x).sum(axis=0)
-        out[now] = mixed
-        miss = bit[now] - 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
-        top = int(at.max()) + 1
-        n = np.bincount(at, minlength=top)
-        for t in range(CONTEXTS):
-            own[:top, t] += OWN_RATE * np.bincount(at, weights=miss * x[t], minlength=top) / (np.bincount(at, weights=x[t] ** 2, minlength=top) + n + OWN_HOLD)
+        out[now] = mixed = mix(own, at, x)
+        if low + width < longest:
+            miss, top = bit[now] - squash(mixed), int(at.max()) + 1
+            n = np.bincount(at, minlength=top)
+            for t in range(INPUTS):
+                own[t, :top] += OWN_RATE * np.bincount(at, weights=miss * x[t], minlength=top) / (np.bincount(at, weights=x[t] ** 2, minlength=top) + n + OWN_HOLD)
+        low, width = low + width, width * 2 if low else width
     return out
 
 
-def _odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of a one, and the level of confidence, of pairs of counts."""
-    n = counts.astype("f4")
-    total = n.sum(axis=-1)
-    return np.log((n[..., 1] + np.float32(0.2)) / (n[..., 0] + np.float32(0.2))), np.digitize(total, (0.5, 2.5, 12.5)).astype("i1")
-
-
 def start_weights() -> np.ndarray:
-    weights = np.zeros((GATES, CONTEXTS))
-    for g in range(GATES):
-        low, high = g // LEVELS % LEVELS, g % LEVELS
-        weights[g] = 0.9, 0.1 * low, 0.1 * high
+    weights = np.full((GATES, INPUTS), 0.3)
+    weights[:WORD_GATES] = 0.3, 0.7, 1.5, 1.0
     return weights
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Parts of the batches of a bounded number of characters, with their words."""
+# ---------------------------------------------------------------- the passes
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches of a bounded number of characters, with their texts."""
     for batch in batches:
         texts, at = batch.column("text"), 0
         while at < len(texts):
-            words, chars, start = [], 0, at
+            raw, chars, start = [], 0, at
             while at < len(texts) and chars < SLICE_CHARS:
-                text = texts[at].as_py() or ""
-                words.append(text.encode().lower().split())
-                chars += len(text) + 1
+                text = texts[at].as_buffer() if texts[at].is_valid else b""
+                raw.append(bytes(text))
+                chars += len(raw[-1]) + 1
                 at += 1
-            yield batch.slice(start, at - start), words
+            yield batch.slice(start, at - start), raw
 
 
 def count_words(training: DataFrame) -> DataFrame:
-    """``word, c`` of the training texts; the word is a space for the end."""
+    """``h, c`` of the training texts' words and ends; ``h`` below 256 and negative ones less one count bytes of words and spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        letters, pending, ends = np.zeros(256, "i8"), 0, 0
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return batch
+            h, c = _summed(held) if held else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(c), pa.array(np.full(len(h), -1, "i4"))], names=["h", "c", "letter"])
 
         for _, texts in _slices(batches):
-            for words in texts:
-                counts.update(words)
-            counts[END] += len(texts)
-            if len(counts) > 300_000:
+            joined, _, _, h, n = words_in(texts)
+            letters += np.bincount(joined, minlength=256)
+            codes, distinct = pd.factorize(h)
+            held.append((np.append(distinct, END), np.append(np.bincount(codes, minlength=len(distinct)), len(texts)).astype("i8")))
+            pending += len(distinct)
+            if pending > PENDING // 4:
                 yield out()
+                pending = 0
         yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(256, "i8")), pa.array(letters), pa.array(np.arange(256, dtype="i4"))], names=["h", "c", "letter"])
+
+    return training.select("text").mapInArrow(run, "h long, c long, letter int").groupBy("h", "letter").agg(F.sum("c").alias("c"))
+
+
+def _summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, "i8")
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, "i8")
+
 
-    return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts."""
+    keys = np.sort(keys)
+    edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, "i8")
+    return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
 def fill_tables(training: DataFrame, folder: str, words: int) -> None:
-    """Write ``CONTEXTS`` tables of all training texts: sorted keys (context and leaf) and the counts below each in its part."""
-    shift = 64 - min(16, max(4, (words // WORDS_A_PART).bit_length()))
+    """Write the tables of all training texts: counts of (context, symbol) summed by ranges of contexts."""
+    part_bits = min(16, max(4, (words // WORDS_A_PART).bit_length()))
+    bucket_bits = min(30, max(part_bits + 1, (words // 4).bit_length()))
+    kinds = {0: (("states", "u1"),), 1: (("ends", "u4"), ("check", "u2"), ("symbol", "u4"), ("seen", "u1"))} | {t: (("slots", "u2"),) for t in range(2, TABLES)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(folder, filled=False)
-        pending: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
+        leaf = u(book.leaf)
+        pending: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(TABLES)]
 
         def out() -> Iterator[pa.RecordBatch]:
-            for t in range(CONTEXTS):
+            for t in range(TABLES):
                 if not pending[t]:
                     continue
                 keys, counts = _summed(pending[t])
                 pending[t].clear()
-                part = (keys >> np.uint64(shift)).astype("i8")
+                part = (keys >> (leaf if t == 0 else u(64 - part_bits))).astype("i8")
                 edges = np.union1d(np.arange(0, len(keys), BLOCK), np.nonzero(np.diff(part))[0] + 1)
-                for lo, hi in zip(edges, [*edges[1:], len(keys)], strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([part[lo]], pa.int32()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[lo:hi].tobytes()], pa.binary())], names=["t", "part", "keys", "counts"])
+                for lo, hi in zip(edges[:-1] if len(edges) and edges[-1] == len(keys) else edges, [*edges[1:], len(keys)], strict=False):
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([part[lo]], pa.int32()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[lo:hi].astype("u4").tobytes()], pa.binary())], names=["t", "part", "keys", "counts"])
 
         for _, texts in _slices(batches):
-            for s in symbol_stream(book, texts)[0]:
-                leaf = book.paths[s.kind][2][s.symbol].astype("u8")
-                for t in range(CONTEXTS):
-                    pending[t].append(tuple(np.unique(s.contexts[t] | leaf, return_counts=True)))
+            t = tokens_of(book, texts)
+            symbol = np.where(t.symbol < 0, book.escape, t.symbol).astype("u8")
+            pending[0].append(_counted(markers_of(book, t).astype("u8") << leaf | symbol))
+            pending[1].append(_counted(_masked(pair_contexts(t), book.leaf) | symbol))
+            if len(t.letters):
+                for i, context in enumerate(byte_contexts(t)):
+                    pending[2 + i].append(_counted(_masked(context, book.leaf) | t.letters.astype("u8")))
             if sum(len(k) for p in pending for k, _ in p) > PENDING:
                 yield from out()
         yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = _book(folder, filled=False)
         at, blocks = None, []
 
         def out() -> pa.RecordBatch:
             keys, counts = _summed(blocks)
-            # a last key closes the part, so that a context's counts are differences within it
-            last = ((at[1] + 1) << shift) - 1
-            keys = np.append(keys, np.array([last], "u8"))
-            for name, x in (("keys", keys), ("below", np.concatenate([[0], np.cumsum(counts)]).astype(_kind(at[0])))):
-                with open(f"{folder}/{at[0]}.{name}.{at[1]}.part", "wb") as f:
-                    f.write(x.tobytes())
             blocks.clear()
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32())], names=["t", "part"])
+            t, part = at
+            context, symbol = _masked(keys, book.leaf), (keys & u((1 << book.leaf) - 1)).astype("i8")
+            if t == 0:
+                whole = np.zeros(len(book.counts), "i8")
+                whole[symbol] = counts
+                made, size = (states(*(x.astype("i8") for x in node_counts(book.paths[0][:3], whole))),), book.nodes
+            elif t == 1:
+                made = _run_part(context, symbol, counts, part_bits, bucket_bits)
+                size = len(made[1])
+            else:
+                size = 4 * len(keys) + 16
+                made = (_slot_part(book, context, symbol, counts, size),)
+            for (name, d), x in zip(kinds[t], made, strict=True):
+                with open(f"{folder}/{t}.{name}.{part}.part", "wb") as f:
+                    f.write(x.astype(d).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64())], names=["t", "part", "size"])
 
         for batch in batches:
             for t, part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at is not None and at != (t, part):
                     yield out()
                 at = (t, part)
-                blocks.append((np.frombuffer(keys, "u8"), np.frombuffer(counts, "i8")))
+                blocks.append((np.frombuffer(keys, "u8"), np.frombuffer(counts, "u4").astype("i8")))
         if blocks:
             yield out()
 
     blocks = training.select("text").mapInArrow(run, "t int, part int, keys binary, counts binary")
-    written = blocks.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(add, "t int, part int").collect()
-    for t in range(CONTEXTS):
-        for name in ("keys", "below"):
+    written = {(r.t, r.part): r.size for r in blocks.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(add, "t int, part int, size long").collect()}
+    nodes = _book(folder, filled=False).nodes
+    layout = {"part_bits": part_bits, "bucket_bits": bucket_bits}
+    for t in range(TABLES):
+        parts = MARKERS + 1 if t == 0 else 1 << part_bits
+        layout[f"base{t}"] = np.concatenate([[0], np.cumsum([written.get((t, p), 0) for p in range(parts)])]).astype("i8")
+        for name, d in kinds[t]:
             with open(f"{folder}/{t}.{name}", "wb") as whole:
-                for part in sorted(r.part for r in written if r.t == t):
-                    with open(f"{folder}/{t}.{name}.{part}.part", "rb") as f:
-                        shutil.copyfileobj(f, whole, 1 << 24)
-                    os.remove(f.name)
-
-
-def _summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    keys, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    return keys[first], np.add.reduceat(counts[order], first)
+                for p in range(parts):
+                    if (t, p) in written:
+                        with open(f"{folder}/{t}.{name}.{p}.part", "rb") as f:
+                            shutil.copyfileobj(f, whole, 1 << 24)
+                        os.remove(f.name)
+                    elif name in ("states", "ends"):  # these have entries for what is not there too
+                        whole.write(bytes(nodes if t == 0 else 4 << (bucket_bits - part_bits)))
+    np.savez(f"{folder}/layout.npz", **layout)
+
+
+def _run_part(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, part_bits: int, bucket_bits: int) -> tuple[np.ndarray, ...]:
+    """The most frequent follower of each context (ties: the first symbol), with counts up to 15."""
+    first = np.nonzero(np.concatenate([[True], context[1:] != context[:-1]]))[0]
+    own = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
+    most = np.maximum.reduceat(counts, first)
+    tops = np.nonzero(counts == most[own])[0]
+    top = tops[np.searchsorted(own[tops], np.arange(len(first)))]
+    others = np.add.reduceat(counts, first) - most
+    bucket = (context[first] >> u(64 - bucket_bits)).astype("i8") & ((1 << (bucket_bits - part_bits)) - 1)
+    ends = np.cumsum(np.bincount(bucket, minlength=1 << (bucket_bits - part_bits)))
+    return ends, context[first] >> u(48 - bucket_bits) & u(0xFFFF), symbol[top], np.minimum(most, 15) * 16 + np.minimum(others, 15)
+
+
+def _slot_part(book: Book, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Slots of check and state for the nodes of each context's symbols; where two meet, the one seen more stays."""
+    starts, nodes, bits = book.paths[1][:3]
+    n = starts[symbol + 1] - starts[symbol]
+    who = np.repeat(np.arange(len(symbol)), n)
+    at = np.arange(len(who)) + np.repeat(starts[symbol] - (np.cumsum(n) - n), n)
+    h, code = _slot_hash(context[who], nodes[at]), bits[at]
+    order = np.argsort(h)
+    h, code, c = h[order], code[order], counts[who][order]
+    first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+    ones = np.add.reduceat(c * code, first)
+    total = np.add.reduceat(c, first)
+    h = h[first]
+    slot = (h >> u(40)).astype("i8") * size >> 24
+    out, turn = np.zeros(size, "u2"), np.argsort(total, kind="stable")  # the last one written stays
+    out[slot[turn]] = ((h & u(255)).astype("u2") << 8 | states(total - ones, ones).astype("u2"))[turn]
+    return out
 
 
 def lessons(training: DataFrame, folder: str) -> DataFrame:
@@ -455,33 +715,26 @@ def lessons(training: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, weights, used = _book(folder), start_weights(), np.zeros(GATES)
-        cells = np.zeros((REFINED * POINTS, 2), "i8")
+        book, weights, used = _book(folder), np.ascontiguousarray(start_weights().T.astype("f4")), np.zeros(GATES)
+        cells = np.zeros((2, REFINED * POINTS))
         for _, texts in _slices(batches):
-            parts = symbol_stream(book, texts)[0]
-            text, kind, bit, counts = bit_stream(book, parts)
-            place, node = bit_places(book, parts)
-            order = np.argsort(place, kind="stable")  # a word's bits, then its spelling
-            kind, bit, counts, node = kind[order], bit[order], counts[:, order], node[order]
-            own = np.arange(counts.shape[1])
-            counts[:, own, bit] = np.maximum(counts[:, own, bit] - 1, 0)
-            odds, level = _odds(counts)
-            gate = (kind * LEVELS + level[1]) * LEVELS + level[2]
-            for at in range(0, len(bit), 8192):
-                s = slice(at, at + 8192)
-                x, g = odds[:, s].astype("f8"), gate[s].astype("i8")
-                mixed = (weights[g].T * x).sum(axis=0)
-                p = 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
-                point = np.rint((np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))).astype("i8")
-                np.add.at(cells, (node[s] * POINTS + point, bit[s]), 1)
-                n = np.bincount(g, minlength=GATES)
-                for t in range(CONTEXTS):
-                    slope = np.bincount(g, weights=(bit[s] - p) * x[t], minlength=GATES)
-                    weights[:, t] += RATE * slope / (np.bincount(g, weights=x[t] ** 2, minlength=GATES) + n + 10.0)
+            b = bits_of(book, tokens_of(book, texts), np.ones(len(texts), bool))
+            for lo in range(0, len(b.bit), 8192):
+                s = slice(lo, lo + 8192)
+                x, g, bit = b.odds[:, s], b.gate[s], b.bit[s]
+                mixed = mix(weights, g, x)
+                point = np.rint((np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))).astype("i4")
+                cell = b.node[s] * POINTS + point
+                cells[0] += np.bincount(cell, minlength=REFINED * POINTS)
+                cells[1] += np.bincount(cell, weights=bit, minlength=REFINED * POINTS)
+                miss, n = bit - squash(mixed), np.bincount(g, minlength=GATES)
+                for t in range(INPUTS):
+                    slope = np.bincount(g, weights=miss * x[t], minlength=GATES)
+                    weights[t] += RATE * slope / (np.bincount(g, weights=x[t] ** 2, minlength=GATES) + n + 10.0)
                 used += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * CONTEXTS, dtype="i4")), pa.array((weights * used[:, None]).ravel()), pa.array(np.repeat(used, CONTEXTS))], names=["i", "w", "n"])
-        some = np.nonzero(cells.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype("i4")), pa.array(cells[some, 1].astype("f8")), pa.array(cells[some].sum(axis=1).astype("f8"))], names=["i", "w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * INPUTS, dtype="i4")), pa.array((weights.T * used[:, None]).astype("f8").ravel()), pa.array(np.repeat(used, INPUTS))], names=["i", "w", "n"])
+        some = np.nonzero(cells[0])[0]
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype("i4")), pa.array(cells[1, some]), pa.array(cells[0, some])], names=["i", "w", "n"])
 
     return training.select("text").mapInArrow(run, "i int, w double, n double")
 
@@ -496,7 +749,14 @@ def teach(training: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
         elif r.n:
             out[r.i] = r.w / r.n
     # sums of tasks in another order give the same weights
-    return np.round(out, 6).reshape(GATES, CONTEXTS), refinement(cells.reshape(REFINED, POINTS, 2))
+    return np.round(out, 5).reshape(GATES, INPUTS), refinement(cells.reshape(REFINED, POINTS, 2))
+
+
+def costs(book: Book, t: Tokens, own: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The cost of each text in nats."""
+    b = bits_of(book, t, own)
+    p = refined(along_texts(weights, b.text, b.gate, b.odds, b.bit), b.node, table)
+    return np.bincount(b.text, weights=-np.log(np.where(b.bit == 1, p, 1 - p)), minlength=len(own))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -507,15 +767,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training = own.where(~F.col("held_out"))
     folder = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
     count_words(training).write.parquet(folder)
-    counts = spark.read.parquet(folder)
-    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
-    n, v, ends = whole.n or 0, whole.v, whole.ends or 0
-    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(max(VOCABULARY, n // WORDS_A_CODE)).toArrow()
-    frequent = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    read = spark.read.parquet(folder)
+    letters = np.zeros(256, "i8")
+    for r in read.where("letter >= 0").collect():
+        letters[r.letter] = r.c
+    counts = read.where("letter < 0").select("h", "c")
+    end = int(END.astype("i8"))
+    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == end, F.col("c"))).alias("ends")).first()
+    n, v, ends = whole.n or 0, whole.v if whole.n else 0, whole.ends or 0
+    top = counts.where(F.col("h") != end).orderBy(F.col("c").desc(), "h").limit(max(VOCABULARY, int(WORDS_A_ROOT * n**0.5))).toArrow()
+    hashes, frequent = top.column("h").to_numpy().astype("i8").view("u8"), top.column("c").to_numpy().astype("i8")
     book_folder = f"{checkpoint_dir(spark).removeprefix('file:')}/mixing-{uuid.uuid4().hex}"
     os.makedirs(book_folder)
-    make_code(book_folder, frequent, ends, max(1, n - ends - sum(c for _, c in frequent)))
-    del top, frequent
+    make_code(book_folder, hashes, frequent, ends, max(1, n - ends - int(frequent.sum())), letters)
     fill_tables(training, book_folder, n)
     weights, table = teach(training, book_folder)
     least = float(np.log10(n + v + 1))
@@ -526,39 +790,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         book = _book(book_folder)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch, texts in _slices(batches):
-            parts, known = symbol_stream(book, texts)
-            text, kind, bit, seen = bit_stream(book, parts)
-            odds, level = _odds(seen)
-            gate = (kind * LEVELS + level[1]) * LEVELS + level[2]
-            place, node = bit_places(book, parts)
-            order = np.argsort(place, kind="stable")
-            text, bit = text[order], bit[order]
-            p = refined(along_texts(weights, text, gate[order], odds[:, order], bit), node[order], table)
-            total = np.bincount(text, weights=-np.log(np.where(bit == 1, p, 1 - p)), minlength=len(texts))
-            c = np.where(known >= 0, book.counts[known], 0)
-            owner = parts[0].text
-            sure = np.bincount(owner, weights=c > 0, minlength=len(texts)).astype("i8")
-            base = np.bincount(owner, weights=np.where(known >= 0, np.log10(c + 1.0) - least, -least), minlength=len(texts))
-            rare, times, at = [], [], 0
-            for words in texts:
-                others = Counter(w for w, k in zip(words, known[at : at + len(words)].tolist(), strict=True) if k < 0)
-                at += len(words) + 1
-                rare.append(list(others.keys()))
-                times.append(list(others.values()))
-            size = len(texts)
+            t, size = tokens_of(book, texts), len(texts)
+            total = costs(book, t, ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), weights, table)
+            c = np.where(t.symbol >= 0, book.counts[t.symbol], 0)
+            sure = np.bincount(t.owner, weights=c > 0, minlength=size).astype("i8")
+            base = np.bincount(t.owner, weights=np.where(t.symbol >= 0, np.log10(c + 1.0) - least, -least), minlength=size)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(t.rare, np.append(np.cumsum(t.sizes) - t.sizes, len(t.owner))).astype("i4")), pa.array(t.hash[t.rare].view("i8")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + size)), batch.column("id"), batch.column("held_out"), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(-total / np.log(10)),
-                 pa.array([max(1, sum(map(len, t)) + len(t)) for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                names=["row", "id", "held_out", "n_tokens", "sure", "base", "score", "size", "rare", "times"],
+                [pa.array(np.arange(row, row + size)), batch.column("id"), batch.column("held_out"), pa.array(t.sizes), pa.array(sure), pa.array(base), pa.array(-total / np.log(10)), pa.array([max(1, len(x)) for x in texts], pa.int64()), lists],
+                names=["row", "id", "held_out", "n_tokens", "sure", "base", "score", "size", "rare"],
             )
             row += size
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, size long, rare array<binary>, times array<long>"
-    scored = cut(own.mapInArrow(run, schema))
-    rows = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.xxhash64("x.rare").alias("h"), F.col("x.times").alias("k"))
-    found = rows.join(counts.select(F.xxhash64("word").alias("h"), "c"), "h").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
-    out = scored.drop("rare", "times").join(found, "row", "left")
+    scored = cut(own.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, size long, rare array<long>"))
+    delete_folder(spark, book_folder)
+    rows = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
+    known = rows.join(counts, "h").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
+    out = scored.drop("rare").join(known, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("size")).alias("bits_per_byte"),
