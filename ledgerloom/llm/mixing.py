@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
 A text is lower-cased (A-Z) and cut at white space; it is coded as its words and one end. The most frequent training
-words (``VOCABULARY``, or ``WORDS_A_ROOT`` times the square root of the training words), the end and an escape have
+words (``VOCABULARY``, or ``WORDS_A_POWER`` times the ``GROWTH`` power of the training words), the end and an escape have
 Huffman codes; other words follow the escape byte by byte in a Huffman code of bytes, up to a space. So a text is a
 sequence of bits, and the probability of the text is the product of those of its bits.
 
@@ -30,7 +30,7 @@ is as new to the model as a held-out one, and copies stand out.
 
 Words are compared by 64-bit hashes of all their bytes. The code and the tables are files in the shared folder that workers map
 to memory, so the workers of a machine share them. All grow with the training words: an entry for each pair of words
-that is followed by something, and four slots for each (context, byte). Slots and entries carry check bits. A task holds
+that is followed by something, and ``SLOTS`` slots for each (context, byte). Slots and entries carry check bits. A task holds
 slices of about ``SLICE_CHARS`` characters, or one text (about 200 bytes a character of the longest text).
 
 Defined results: null and empty texts are one end; a null doc_id counts as an empty id for the split; rows that
@@ -57,28 +57,32 @@ from ledgerloom.llm.common import checkpoint_dir, cut, delete_folder
 from ledgerloom.llm.minhash import BASE, BASE_INVERSE, BYTE, SPACE, _mix, _power
 
 u = np.uint64
-#: Words with a code of their own at least, and for each root of the training words.
+#: Words with a code of their own at least, and times ``GROWTH`` powers of the training words.
 VOCABULARY = 1 << 17
-WORDS_A_ROOT = 24
+WORDS_A_POWER, GROWTH = 400, 0.4
 MARKERS = 63
 #: Bytes before a byte that its hashed contexts see, and the tables: markers, pairs of words, those contexts.
 SPANS = (2, 3, 5)
 TABLES = 2 + len(SPANS)
 INPUTS = 4
-#: Texts handled at once, by characters; a task's pending keys; keys of a block; training words of a part.
+#: Texts handled at once, by characters; a task's pending keys; keys of a block; slots for each key; training words of a part.
 SLICE_CHARS = 1 << 18
 PENDING = 1 << 22
 BLOCK = 1 << 14
+SLOTS = 16
 WORDS_A_PART = 1 << 20
-#: Gates: (follower's class, own text predicts, depth, marker's confidence) of words; (confidences) of bytes.
-CLASSES = 6
-WORD_GATES = CLASSES * 2 * 3 * 2
-GATES = WORD_GATES + 4 * 4
+#: Gates: (follower's class, what the text itself says) of guesses and two of second guesses; (depth, marker's confidence) of words; (two
+#: confidences) of bytes.
+FLAG_GATES = 6 * 3 + 2
+WORD_GATES = 4 * 4
+GATES = FLAG_GATES + WORD_GATES + 4 * 4
 RATE = 2.0
-#: Bits of a text after which its own weights move first (each next stretch is twice as long), and what holds them back.
-OWN_BITS = 256
-OWN_RATE = 1.0
-OWN_HOLD = 50.0
+#: Bits of a group, between which the weights move in learning; words of a text between which its own corrections move
+#: first (each next stretch is twice as long), and what holds these back.
+GROUP = 1 << 14
+STEP_WORDS = 32
+OWN_RATE = np.float32(4)
+OWN_HOLD = np.float32(20)
 #: Contexts and log odds of the refinement, and the weight of what it starts from.
 REFINED = 1 << 10
 POINTS = 25
@@ -133,7 +137,6 @@ def _run_tables() -> tuple[np.ndarray, np.ndarray]:
 
 RUN_CLASS, RUN_ODDS = _run_tables()
 OWN_ODDS = np.float32(1.5)
-SIGN = np.array([0, -1, 1], "f4")
 
 
 # ---------------------------------------------------------------- the code
@@ -176,15 +179,13 @@ def make_code(folder: str, hashes: np.ndarray, counts: np.ndarray, ends: int, ot
     """Write the code of frequent words (hashes and counts), the end and the escape, and that of bytes by their counts."""
     counts = np.append(counts, [ends, others]).astype("i8")
     order = np.argsort(hashes)
-    bits = max(1, int(np.ceil(np.log2(max(2, len(hashes))))) - 1)
+    bits = max(1, int(np.ceil(np.log2(max(2, len(hashes))))) + 1)
     parts = {"hashes": hashes[order], "ids": order.astype("i4"), "counts": counts, "starts": np.searchsorted(hashes[order] >> u(64 - bits), np.arange((1 << bits) + 1, dtype="u8")).astype("i4")}
     for name, weights in (("word", np.maximum(counts, 1)), ("byte", letters + 1)):
         path = starts, nodes, bit = huffman(weights)
         zeros, ones = node_counts(path, weights)
         at = lambda less: np.log((np.maximum(ones[nodes] - less * bit, 0) + 0.2) / (np.maximum(zeros[nodes] - less * (1 - bit), 0) + 0.2)).astype("f4")  # noqa: B023, E731
-        depth = np.arange(len(nodes)) - np.repeat(starts[:-1], np.diff(starts))
-        code = np.bitwise_or.reduceat(bit.astype("u8") << (u(63) - depth.astype("u8")), starts[:-1]) if len(nodes) else np.zeros(len(weights), "u8")
-        parts |= {f"{name}_starts": starts, f"{name}_nodes": nodes, f"{name}_bits": bit, f"{name}_odds": np.stack([at(0), at(1)]), f"{name}_code": code}
+        parts |= {f"{name}_starts": starts, f"{name}_nodes": nodes, f"{name}_bits": bit, f"{name}_odds": np.stack([at(0), at(1)])}
     for name, x in parts.items():
         np.save(f"{folder}/{name}.npy", x)
 
@@ -209,8 +210,10 @@ class Book:
     def __init__(self, folder: str):
         read = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
         self.hashes, self.ids, self.counts, self.starts = (np.asarray(read(x)) for x in ("hashes", "ids", "counts", "starts"))
-        self.paths = [tuple(np.asarray(read(f"{kind}_{x}")) for x in ("starts", "nodes", "bits", "odds", "code")) for kind in ("word", "byte")]
+        self.paths = [tuple(np.asarray(read(f"{kind}_{x}")) for x in ("starts", "nodes", "bits", "odds")) for kind in ("word", "byte")]
         self.end, self.escape = len(self.counts) - 2, len(self.counts) - 1
+        p = self.counts / max(1, int(self.counts.sum()))
+        self.share = np.log(np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12)).astype("f4")  # log odds of each symbol
         self.leaf = max(8, (len(self.counts)).bit_length())
         self.nodes = len(self.counts) - 1
         self.filled = os.path.exists(f"{folder}/layout.npz")
@@ -220,7 +223,7 @@ class Book:
             self.base = [layout[f"base{t}"] for t in range(TABLES)]
             mapped = lambda name, d: np.memmap(f"{folder}/{name}", d, "r") if os.path.getsize(f"{folder}/{name}") else np.zeros(0, d)
             self.marked = mapped("0.states", "u1")
-            self.run = tuple(mapped(f"1.{x}", d) for x, d in (("ends", "u4"), ("check", "u2"), ("symbol", "u4"), ("seen", "u1")))
+            self.run = mapped("1.ends", "u4"), mapped("1.entries", "u8")
             self.slots = [mapped(f"{t}.slots", "u2") for t in range(2, TABLES)]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
@@ -233,33 +236,40 @@ class Book:
 
     def followers(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each context the most frequent follower's symbol, its count and the others' count (each up to 15, 0 if none)."""
-        ends, check, symbol, seen = self.run
-        if not len(check):
+        ends, entries = self.run
+        if not len(entries):
             return np.zeros(len(context), "i8"), np.zeros(len(context), "i8"), np.zeros(len(context), "i8")
         bucket = (context >> u(64 - self.bucket_bits)).astype("i8")
         base = self.base[1][bucket >> (self.bucket_bits - self.part_bits)]
         first = bucket & ((1 << (self.bucket_bits - self.part_bits)) - 1) == 0
-        begin = np.where(first, 0, ends[bucket - 1]).astype("i8") + base
-        at = found(check, begin, ends[bucket] + base, (context >> u(48 - self.bucket_bits)).astype("u2"))
-        s = seen[at]
-        none = at < 0
-        return np.where(none, 0, symbol[at]).astype("i8"), np.where(none, 0, s >> 4).astype("i8"), np.where(none, 0, s & 15).astype("i8")
-
-    def slot_states(self, t: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The states of (context, node) in a table of slots; 0 where it was never seen."""
+        begin, end = np.where(first, 0, ends[bucket - 1]) + base, ends[bucket] + base
+        out, check = np.zeros(len(context), "u8"), context >> u(48 - self.bucket_bits) & u(0xFFFF)
+        live = np.nonzero(begin < end)[0]
+        at, end, check = begin[live], end[live], check[live]
+        while live.size:
+            got = entries[at]
+            hit = got >> u(48) == check
+            out[live[hit]] = got[hit]
+            at = at + 1
+            go = ~hit & (at < end)
+            live, at, end, check = live[go], at[go], end[go], check[go]
+        return (out >> u(8) & u(0xFFFFFFFFFF)).astype("i8"), (out >> u(4) & u(15)).astype("i8"), (out & u(15)).astype("i8")
+
+    def slot_states(self, t: int, context: np.ndarray, item: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The states of (context, node), each bit's context being that of its item, in a table of slots; 0 where it was never seen."""
         slots, base = self.slots[t - 2], self.base[t]
+        if not len(slots):
+            return np.zeros(len(node), "i2")
         part = (context >> u(64 - self.part_bits)).astype("i8")
-        h = _slot_hash(context, node)
+        h = _slot_hash(context[item], node)
         begin = base[part]
-        size = base[part + 1] - begin
-        at = begin + ((h >> u(40)).astype("i8") * size >> 24)
-        got = slots[np.minimum(at, max(0, len(slots) - 1))] if len(slots) else np.zeros(len(at), "u2")
-        return np.where((size > 0) & (got >> 8 == (h & u(255))), got & 255, 0).astype("i8")
+        at = (h >> u(40)) * (base[part + 1] - begin).astype("u8")[item] >> u(24)
+        got = slots.take(np.minimum(at.astype("i8") + begin[item], len(slots) - 1))
+        return np.where(got >> np.uint16(8) == (h >> u(32)).astype("u1"), got & np.uint16(255), np.uint16(0)).astype("i2")
 
 
 def _slot_hash(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    x = (context ^ (node.astype("u8") * u(0xC2B2AE3D27D4EB4F))) * u(0x9E3779B97F4A7C15)
-    return (x ^ (x >> u(29))) * u(0xBF58476D1CE4E5B9)
+    return (context + node.astype("u8") * u(0xC2B2AE3D27D4EB4F)) * u(0x9E3779B97F4A7C15)
 
 
 _books: dict[str, Book] = {}
@@ -356,28 +366,25 @@ def _masked(context: np.ndarray, leaf: int) -> np.ndarray:
 # ---------------------------------------------------------------- bits
 @dataclass
 class Bits:
-    """All bits of texts, each text's in order: text, bit, gate, the predictors' log odds, and the refinement's context."""
+    """Bits of one kind, by step and then by text: bit, gate, the predictors' log odds, and the refinement's context.
 
-    text: np.ndarray
+    ``runs`` has (step, text, bits) of each run of one text's bits; a text's own weights move between its steps.
+    """
+
+    runs: np.ndarray
     bit: np.ndarray
     gate: np.ndarray
     odds: np.ndarray
     node: np.ndarray
 
 
-def _agreement(code: np.ndarray, symbol: np.ndarray, guess: np.ndarray) -> np.ndarray:
-    """The bits that two symbols' codes share from the root on; 99 for the same symbol."""
-    apart = code[symbol] ^ code[guess]
-    return np.where(symbol == guess, 99, 53 - np.frexp((apart >> u(11)).astype("f8"))[1]).astype("i4")
-
-
 def word_predictions(book: Book, t: Tokens, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token: the symbol coded, agreement and seen counts of the pair's follower, agreement of the own text's (-1: none).
+    """For each token: the symbol coded, the pair's follower (-1: none) with its counts, and the own text's follower (-1: none).
 
     ``own`` says which texts are training texts, whose own followers are taken out of the counts.
     """
     symbol = np.where(t.symbol < 0, book.escape, t.symbol)
-    n, code = len(symbol), book.paths[0][4]
+    n = len(symbol)
     context = _masked(pair_contexts(t), book.leaf)
     guess, c, o = book.followers(context)
     # the same context in the same text: places sorted by it, which also shows where it was last
@@ -385,110 +392,137 @@ def word_predictions(book: Book, t: Tokens, own: np.ndarray) -> tuple[np.ndarray
     key = np.sort(_mix(context + t.owner.astype("u8") * u(0x2545F4914F6CDD1D)) >> u(low) << u(low) | np.arange(n, dtype="u8"))
     place, group = (key & u((1 << low) - 1)).astype("i8"), key >> u(low)
     new = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
-    number = np.cumsum(new) - 1
-    times = np.bincount(number, minlength=1)[number]
-    right = np.bincount(number, weights=symbol[place] == guess[place], minlength=1)[number]
-    mine = own[t.owner[place]]
-    full = (c[place] >= 15) | (o[place] >= 15)  # counts that are cut at 15 stay
-    less = np.where(mine & ~full, right, 0).astype("i8")
-    c[place] = np.maximum(c[place] - less, 0)
-    o[place] = np.maximum(o[place] - np.where(mine & ~full, times - right, 0).astype("i8"), 0)
     last = np.full(n, -1, "i8")
     last[place[1:]] = np.where(new[1:], -1, place[:-1])
-    ahead = _agreement(code, symbol, guess)
-    repeat = np.where(last >= 0, _agreement(code, symbol, symbol[np.maximum(last, 0)]), -1)
-    return symbol, np.where(c > 0, ahead, -1), c * 16 + o, repeat
-
-
-def _side(ahead: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """1 where a guess still agrees and is right, -1 where it is wrong, 0 where it is out."""
-    gap = ahead - depth
-    return SIGN[np.where(gap > 0, 2, gap == 0).astype("i1")]
-
-
-def bits_of(book: Book, t: Tokens, own: np.ndarray) -> Bits:
-    symbol, ahead, seen, repeat = word_predictions(book, t, own)
-    starts, nodes, bits, odds, _ = book.paths[0]
-    size = starts[symbol + 1] - starts[symbol]
-    spelling = np.zeros(len(symbol), "i8")
-    b_starts, b_nodes, b_bits, b_odds, _ = book.paths[1]
-    b_size = (b_starts[1:] - b_starts[:-1])[t.letters]
-    edges = np.cumsum(t.lengths)
-    b_sum = np.concatenate([[0], np.cumsum(b_size)])
-    spelling[t.rare] = b_sum[edges] - b_sum[edges - t.lengths]
-    begin = np.cumsum(size + spelling) - size - spelling
-    total = int((size + spelling).sum())
-    text, bit, gate = np.repeat(t.owner, size + spelling), np.empty(total, "i1"), np.empty(total, "i2")
-    x, refined_at = np.empty((INPUTS, total), "f4"), np.empty(total, "i4")
-
-    # words
-    word = np.repeat(np.arange(len(symbol), dtype="i4"), size)
-    depth = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype("i4")
-    at = starts[symbol][word] + depth
-    out = begin[word] + depth
-    b, node, mine = bits[at], nodes[at], own[t.owner]
-    sign = (2 * b - 1).astype("f4")
-    less = mine[word]
-    state = book.marked[(markers_of(book, t) * book.nodes)[word] + node] if len(book.marked) else np.zeros(len(at), "u1")
-    state = state + 256 * np.where(less, 1 + b.astype("i2"), 0)
-    follower, again = _side(ahead[word], depth), _side(repeat[word], depth)
-    kind = np.where(follower != 0, RUN_CLASS[seen][word], 0)
-    x[0, out] = odds[less.astype("i1"), at]
-    x[1, out] = STATE_ODDS[state]
-    x[2, out] = follower * RUN_ODDS[seen][word] * sign
-    x[3, out] = again * OWN_ODDS * sign
-    gate[out] = ((kind * 2 + (again != 0)) * 3 + np.minimum((depth + 1) // 2, 2)) * 2 + (STATE_LEVEL[state] >= 2)
-    bit[out] = b
-    refined_at[out] = _node_context(node, 0)
-
-    # bytes
-    if len(t.letters):
-        letter = np.repeat(np.arange(len(t.letters), dtype="i4"), b_size)
-        depth = np.arange(len(letter)) - np.repeat(b_sum[:-1], b_size)
-        at = b_starts[t.letters][letter] + depth
-        owner = np.repeat(np.arange(len(t.rare)), t.lengths)
-        out = (begin[t.rare] + size[t.rare] - b_sum[edges - t.lengths])[owner][letter] + np.arange(len(letter))
-        b, node = b_bits[at], b_nodes[at]
-        less = mine[t.rare][owner][letter]
-        taken = 256 * np.where(less, 1 + b.astype("i2"), 0)
-        x[0, out] = b_odds[less.astype("i1"), at]
-        levels = []
-        for i, context in enumerate(byte_contexts(t)):
-            state = book.slot_states(2 + i, _masked(context, book.leaf)[letter], node) + taken
-            x[1 + i, out] = STATE_ODDS[state]
-            levels.append(STATE_LEVEL[state])
-        gate[out] = WORD_GATES + levels[1] * 4 + levels[2]
-        bit[out] = b
-        refined_at[out] = _node_context(node, 1)
-    return Bits(text, bit, gate, x, refined_at)
+    if own.any():
+        number = np.cumsum(new) - 1
+        times = np.bincount(number, minlength=1)[number]
+        right = np.bincount(number, weights=symbol[place] == guess[place], minlength=1)[number]
+        take = own[t.owner[place]] & (c[place] < 15) & (o[place] < 15)  # counts that are cut at 15 stay
+        c[place] = np.maximum(c[place] - np.where(take, right, 0), 0)
+        o[place] = np.maximum(o[place] - np.where(take, times - right, 0), 0)
+    return symbol, np.where(c > 0, guess, -1), c * 16 + o, np.where(last >= 0, symbol[np.maximum(last, 0)], -1)
+
+
+def steps_of(t: Tokens) -> np.ndarray:
+    """Each token's step along its text: the first ``STEP_WORDS`` words, then stretches that double."""
+    place = np.arange(len(t.owner)) - np.repeat(np.cumsum(t.sizes) - t.sizes, t.sizes)
+    return np.frexp((place // STEP_WORDS).astype("f8"))[1]
+
+
+def _runs(step: np.ndarray, text: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """``(step, text, bits)`` of consecutive items with the same step and text."""
+    if not len(step):
+        return np.zeros((3, 0), "i8")
+    first = np.nonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (text[1:] != text[:-1])]))[0]
+    out = np.stack([step[first], text[first], np.add.reduceat(bits, first)])
+    return out[:, out[2] > 0]
+
+
+def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of ``n`` bits each: every bit's item, and its number within the item less its number within all."""
+    return np.repeat(np.arange(len(n)), n), n - np.cumsum(n)
+
+
+def bits_of(book: Book, t: Tokens, own: np.ndarray) -> list[Bits]:
+    """The bits that say whether a guessed follower is right, the codes of words where none is, and the bits of spelt words."""
+    symbol, guess, seen, again = word_predictions(book, t, own)
+    step, marker = steps_of(t), markers_of(book, t)
+    order = np.argsort((step * len(own) + t.owner).astype("i4"), kind="stable")
+    symbol, guess, seen, again, step, owner, marker = (x[order] for x in (symbol, guess, seen, again, step, t.owner, marker))
+
+    # the pair's follower, then that of the text itself if it is another
+    first, other = guess >= 0, (again >= 0) & (again != guess)
+    hit = first & (guess == symbol)
+    second = other & ~hit
+    found = hit | second & (again == symbol)
+    n = first.astype("i8") + second
+    item, back = _expanded(n)
+    place = np.arange(len(item)) + back[item]
+    is_first = (place == 0) & first[item]
+    picked = np.where(is_first, guess[item], again[item])
+    bit = (picked == symbol[item]).astype("i1")
+    agree = np.where(is_first, np.where(again[item] < 0, 0, np.where(other[item], 2, 1)), 3 + first[item])
+    gate = np.where(is_first, RUN_CLASS[seen][item] * 3 + agree, 18 + agree - 3)
+    odds = np.stack([
+        book.share[picked], np.ones(len(item), "f4"), np.where(is_first, RUN_ODDS[seen][item], 0).astype("f4"),
+        OWN_ODDS * np.array([0, 1, -1, 1, 1], "f4")[agree],
+    ])
+    out = [Bits(_runs(step, owner, n), bit, gate, odds, gate)]
+
+    starts, nodes, bits, odds = book.paths[0]
+    coded = np.nonzero(~found)[0]
+    what, mine = symbol[coded], own[owner[coded]]
+    n = starts[what + 1] - starts[what]
+    word, back = _expanded(n)
+    run = np.arange(len(word))
+    at = run + (starts[what] + back)[word]
+    depth = (run + back[word]).astype("i2")
+    b, node = bits.take(at), nodes.take(at)
+    state = book.marked.take((marker[coded] * book.nodes)[word] + node) if len(book.marked) else np.zeros(len(at), "u1")
+    if mine.all():
+        state, x0 = state + np.int16(256) * (b + np.int16(1)), odds[1].take(at)
+    else:
+        state = state + np.where(mine, 256, 0).astype("i2").take(word) * (b + np.int16(1))
+        x0 = odds.ravel().take(at + np.where(mine, odds.shape[1], 0)[word])
+    state = state.astype("i8")
+    gate = (np.int16(FLAG_GATES) + np.minimum(depth >> np.int16(1), np.int16(3)) * np.int16(4) + STATE_LEVEL.take(state)).astype("i8")
+    out.append(Bits(_runs(step[coded], owner[coded], n), b, gate, np.stack([x0, STATE_ODDS.take(state)]), _node_context(node, 0)))
+    out.append(_spelt_bits(book, t, own))
+    return out
+
+
+def _spelt_bits(book: Book, t: Tokens, own: np.ndarray) -> Bits:
+    """The bits of words without a code, whether an escape was guessed or coded."""
+    starts, nodes, bits, odds = book.paths[1]
+    step = steps_of(t)[t.rare]
+    order = np.argsort(step * len(own) + t.owner[t.rare], kind="stable")
+    lengths, text = t.lengths[order], t.owner[t.rare][order]
+    word, back = _expanded(lengths)
+    place = np.arange(len(word)) + ((np.cumsum(t.lengths) - t.lengths)[order] + back)[word]
+    letters = t.letters[place]
+    n = (starts[1:] - starts[:-1])[letters]
+    letter, back = _expanded(n)
+    at = np.arange(len(letter)) + (starts[letters] + back)[letter]
+    b, node = bits.take(at), nodes.take(at)
+    less = own[text][word]
+    taken = np.where(less, 256, 0).astype("i2").take(letter) * (b + np.int16(1))
+    x = [odds.ravel().take(at + np.where(less, odds.shape[1], 0)[letter])]
+    gate = np.full(len(at), FLAG_GATES + WORD_GATES, "i8")
+    for i, context in enumerate(byte_contexts(t)):
+        state = (book.slot_states(2 + i, _masked(context, book.leaf)[place], letter, node) + taken).astype("i8")
+        x.append(STATE_ODDS.take(state))
+        if i:
+            gate += STATE_LEVEL.take(state).astype("i8") << (2 * (2 - i))
+    each = np.add.reduceat(n, np.cumsum(lengths) - lengths) if len(n) else np.zeros(0, "i8")
+    return Bits(_runs(step[order], text, each), b, gate, np.stack(x), _node_context(node, 1))
 
 
 def _node_context(node: np.ndarray, kind: int) -> np.ndarray:
-    return ((node.astype("u4") * np.uint32(2) + np.uint32(kind)) * np.uint32(0x9E3779B1) >> np.uint32(22)).astype("i4")
+    return ((node.view("u4") * np.uint32(2) + np.uint32(kind)) * np.uint32(0x9E3779B1) >> np.uint32(22)).astype("i8")
 
 
 # ---------------------------------------------------------------- mixing
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
 def mix(weights: np.ndarray, at: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """The mixed log odds; ``weights`` has a row for each input."""
-    total = weights[0][at] * odds[0]
+    total = weights[0].take(at) * odds[0]
     for t in range(1, len(odds)):
-        total += weights[t][at] * odds[t]
+        total += weights[t].take(at) * odds[t]
     return total
 
 
 def refined(mixed: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The probability of a one: the mean of the mixed one and that of the refinement, between its two nearest points."""
-    x = (np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))
-    low = np.minimum(x.astype("i4"), POINTS - 2)
-    part = x - low
+    x = (np.clip(mixed, -REACH, REACH - 1e-3) + np.float32(REACH)) * np.float32((POINTS - 1) / (2 * REACH))
+    low = x.astype("i4")
     flat, at = table.ravel(), node * POINTS + low
-    near = flat[at]
-    near += (flat[at + 1] - near) * part
-    return (near + squash(mixed)) / 2
+    near = flat.take(at)
+    near += (flat.take(at + 1) - near) * (x - low.astype("f4"))
+    return (near + squash(mixed)) * np.float32(0.5)
 
 
 def refinement(counts: np.ndarray) -> np.ndarray:
@@ -497,38 +531,36 @@ def refinement(counts: np.ndarray) -> np.ndarray:
     return ((counts[..., 1] + START * own) / (counts.sum(axis=-1) + START)).astype("f4")
 
 
-def along_texts(weights: np.ndarray, text: np.ndarray, gate: np.ndarray, odds: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """The mixed log odds of bits in the order of their texts, where each text's weights learn along it from those given.
+def along_texts(weights: np.ndarray, b: Bits, texts: int) -> np.ndarray:
+    """The mixed log odds of bits, where each text adds to the weights what its earlier steps have taught.
 
-    A text's weights move after its first ``OWN_BITS`` bits, and after stretches that double from there; the same
-    steps of all texts are taken together.
+    A text has one correction for each input, which starts at nothing; the same steps of all texts are taken together.
     """
-    out, sizes = np.empty(len(bit), "f4"), np.bincount(text)
-    rank = np.empty(len(sizes), "i8")
-    rank[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))  # texts that still go on come first
-    begin = np.cumsum(sizes) - sizes
-    longest = int(sizes.max(initial=0))
-    own = np.tile(weights.T.astype("f4"), (1, len(sizes)))
-    low, width = 0, OWN_BITS
-    while low < longest:
-        live = np.nonzero(sizes > low)[0]
-        count = np.minimum(sizes[live] - low, width)
-        now = np.arange(int(count.sum())) + np.repeat(begin[live] + low - (np.cumsum(count) - count), count)
-        at = rank[text[now]] * GATES + gate[now]
-        x = odds[:, now]
-        out[now] = mixed = mix(own, at, x)
-        if low + width < longest:
-            miss, top = bit[now] - squash(mixed), int(at.max()) + 1
-            n = np.bincount(at, minlength=top)
-            for t in range(INPUTS):
-                own[t, :top] += OWN_RATE * np.bincount(at, weights=miss * x[t], minlength=top) / (np.bincount(at, weights=x[t] ** 2, minlength=top) + n + OWN_HOLD)
-        low, width = low + width, width * 2 if low else width
-    return out
+    mixed = mix(weights, b.gate, b.odds)
+    step, text, n = b.runs
+    if not len(step):
+        return mixed
+    own = np.zeros((len(b.odds), texts), "f4")
+    edges = np.concatenate([[0], np.cumsum(n)])
+    firsts = np.concatenate([np.nonzero(np.concatenate([[True], step[1:] != step[:-1]]))[0], [len(step)]])
+    for i, (lo, hi) in enumerate(zip(firsts[:-1], firsts[1:], strict=True)):
+        s, who, size = slice(edges[lo], edges[hi]), text[lo:hi], n[lo:hi]
+        x, now = b.odds[:, s], mixed[s]
+        if i:
+            for k in range(len(x)):
+                now += np.repeat(own[k, who], size) * x[k]
+        if hi < len(step):
+            miss, begin = b.bit[s] - squash(now), edges[lo:hi] - edges[lo]
+            for k in range(len(x)):
+                own[k, who] += OWN_RATE * np.add.reduceat(miss * x[k], begin) / (np.add.reduceat(x[k] * x[k], begin) + OWN_HOLD)
+    return mixed
 
 
 def start_weights() -> np.ndarray:
-    weights = np.full((GATES, INPUTS), 0.3)
-    weights[:WORD_GATES] = 0.3, 0.7, 1.5, 1.0
+    """``INPUTS x GATES``."""
+    weights = np.full((INPUTS, GATES), 0.3)
+    weights[:, :FLAG_GATES] = np.array([[0.1], [0.0], [1.0], [1.0]])
+    weights[:2, FLAG_GATES : FLAG_GATES + WORD_GATES] = np.array([[0.3], [0.7]])
     return weights
 
 
@@ -590,11 +622,11 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
-def fill_tables(training: DataFrame, folder: str, words: int) -> None:
+def fill_tables(training: DataFrame, folder: str, words: int, slots: int = SLOTS) -> None:
     """Write the tables of all training texts: counts of (context, symbol) summed by ranges of contexts."""
     part_bits = min(16, max(4, (words // WORDS_A_PART).bit_length()))
     bucket_bits = min(30, max(part_bits + 1, (words // 4).bit_length()))
-    kinds = {0: (("states", "u1"),), 1: (("ends", "u4"), ("check", "u2"), ("symbol", "u4"), ("seen", "u1"))} | {t: (("slots", "u2"),) for t in range(2, TABLES)}
+    kinds = {0: (("states", "u1"),), 1: (("ends", "u4"), ("entries", "u8"))} | {t: (("slots", "u2"),) for t in range(2, TABLES)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(folder, filled=False)
@@ -641,7 +673,7 @@ def fill_tables(training: DataFrame, folder: str, words: int) -> None:
                 made = _run_part(context, symbol, counts, part_bits, bucket_bits)
                 size = len(made[1])
             else:
-                size = 4 * len(keys) + 16
+                size = slots * len(keys) + 16
                 made = (_slot_part(book, context, symbol, counts, size),)
             for (name, d), x in zip(kinds[t], made, strict=True):
                 with open(f"{folder}/{t}.{name}.{part}.part", "wb") as f:
@@ -686,7 +718,8 @@ def _run_part(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, part_
     others = np.add.reduceat(counts, first) - most
     bucket = (context[first] >> u(64 - bucket_bits)).astype("i8") & ((1 << (bucket_bits - part_bits)) - 1)
     ends = np.cumsum(np.bincount(bucket, minlength=1 << (bucket_bits - part_bits)))
-    return ends, context[first] >> u(48 - bucket_bits) & u(0xFFFF), symbol[top], np.minimum(most, 15) * 16 + np.minimum(others, 15)
+    entries = (context[first] >> u(48 - bucket_bits) & u(0xFFFF)) << u(48) | symbol[top].astype("u8") << u(8) | (np.minimum(most, 15) * 16 + np.minimum(others, 15)).astype("u8")
+    return ends, entries
 
 
 def _slot_part(book: Book, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -704,7 +737,7 @@ def _slot_part(book: Book, context: np.ndarray, symbol: np.ndarray, counts: np.n
     h = h[first]
     slot = (h >> u(40)).astype("i8") * size >> 24
     out, turn = np.zeros(size, "u2"), np.argsort(total, kind="stable")  # the last one written stays
-    out[slot[turn]] = ((h & u(255)).astype("u2") << 8 | states(total - ones, ones).astype("u2"))[turn]
+    out[slot[turn]] = ((h >> u(32)).astype("u1").astype("u2") << 8 | states(total - ones, ones).astype("u2"))[turn]
     return out
 
 
@@ -715,26 +748,28 @@ def lessons(training: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, weights, used = _book(folder), np.ascontiguousarray(start_weights().T.astype("f4")), np.zeros(GATES)
-        cells = np.zeros((2, REFINED * POINTS))
+        book, weights, used = _book(folder), start_weights().astype("f4"), np.zeros(GATES)
+        cells, squares, turn = np.zeros(2 * REFINED * POINTS, "i8"), np.ones((INPUTS, GATES)), 0
         for _, texts in _slices(batches):
-            b = bits_of(book, tokens_of(book, texts), np.ones(len(texts), bool))
-            for lo in range(0, len(b.bit), 8192):
-                s = slice(lo, lo + 8192)
-                x, g, bit = b.odds[:, s], b.gate[s], b.bit[s]
-                mixed = mix(weights, g, x)
-                point = np.rint((np.clip(mixed, -REACH, REACH) + REACH) * ((POINTS - 1) / (2 * REACH))).astype("i4")
-                cell = b.node[s] * POINTS + point
-                cells[0] += np.bincount(cell, minlength=REFINED * POINTS)
-                cells[1] += np.bincount(cell, weights=bit, minlength=REFINED * POINTS)
-                miss, n = bit - squash(mixed), np.bincount(g, minlength=GATES)
-                for t in range(INPUTS):
-                    slope = np.bincount(g, weights=miss * x[t], minlength=GATES)
-                    weights[t] += RATE * slope / (np.bincount(g, weights=x[t] ** 2, minlength=GATES) + n + 10.0)
-                used += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * INPUTS, dtype="i4")), pa.array((weights.T * used[:, None]).astype("f8").ravel()), pa.array(np.repeat(used, INPUTS))], names=["i", "w", "n"])
-        some = np.nonzero(cells[0])[0]
-        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype("i4")), pa.array(cells[1, some]), pa.array(cells[0, some])], names=["i", "w", "n"])
+            for b in bits_of(book, tokens_of(book, texts), np.ones(len(texts), bool)):
+                points = np.empty(len(b.bit), "i8")
+                for lo in range(0, len(b.bit), GROUP):
+                    s = slice(lo, lo + GROUP)
+                    x, g = b.odds[:, s], b.gate[s]
+                    mixed = mix(weights, g, x)
+                    points[s] = (np.clip(mixed, -REACH, REACH) + np.float32(REACH)) * np.float32((POINTS - 1) / (2 * REACH)) + np.float32(0.5)
+                    miss, n = b.bit[s] - squash(mixed), np.bincount(g, minlength=GATES)
+                    for t in range(len(x)):
+                        if turn % 8 == 0:  # what scales the steps is measured on every eighth group, the steps are taken on all
+                            squares[t] = (squares[t] + np.bincount(g, weights=x[t] * x[t], minlength=GATES) / np.maximum(n, 1)) / 2
+                        weights[t] += RATE * np.bincount(g, weights=miss * x[t], minlength=GATES) / (n * (1 + squares[t]) + 10.0)
+                    used += n
+                    turn += 1
+                cells += np.bincount((b.node * POINTS + points) * 2 + b.bit, minlength=len(cells))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES * INPUTS, dtype="i4")), pa.array((weights * used).astype("f8").ravel()), pa.array(np.tile(used, INPUTS))], names=["i", "w", "n"])
+        pairs = cells.reshape(-1, 2)
+        some = np.nonzero(pairs.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype("i4")), pa.array(pairs[some, 1].astype("f8")), pa.array(pairs[some].sum(axis=1).astype("f8"))], names=["i", "w", "n"])
 
     return training.select("text").mapInArrow(run, "i int, w double, n double")
 
@@ -749,22 +784,12 @@ def teach(training: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
         elif r.n:
             out[r.i] = r.w / r.n
     # sums of tasks in another order give the same weights
-    return np.round(out, 5).reshape(GATES, INPUTS), refinement(cells.reshape(REFINED, POINTS, 2))
+    return np.round(out, 5).reshape(INPUTS, GATES).astype("f4"), refinement(cells.reshape(REFINED, POINTS, 2))
 
 
-def costs(book: Book, t: Tokens, own: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The cost of each text in nats."""
-    b = bits_of(book, t, own)
-    p = refined(along_texts(weights, b.text, b.gate, b.odds, b.bit), b.node, table)
-    return np.bincount(b.text, weights=-np.log(np.where(b.bit == 1, p, 1 - p)), minlength=len(own))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row."""
-    spark = docs.sparkSession
-    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
-    training = own.where(~F.col("held_out"))
+def learn(training: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, str, np.ndarray, np.ndarray, int, int]:
+    """Of the texts: the table of words' hashes and counts, the folder of the code and the tables, weights, refinement, words, distinct ones."""
+    spark = training.sparkSession
     folder = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
     count_words(training).write.parquet(folder)
     read = spark.read.parquet(folder)
@@ -775,13 +800,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     end = int(END.astype("i8"))
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == end, F.col("c"))).alias("ends")).first()
     n, v, ends = whole.n or 0, whole.v if whole.n else 0, whole.ends or 0
-    top = counts.where(F.col("h") != end).orderBy(F.col("c").desc(), "h").limit(max(VOCABULARY, int(WORDS_A_ROOT * n**0.5))).toArrow()
+    top = counts.where(F.col("h") != end).orderBy(F.col("c").desc(), "h").limit(max(VOCABULARY, int(WORDS_A_POWER * n**GROWTH))).toArrow()
     hashes, frequent = top.column("h").to_numpy().astype("i8").view("u8"), top.column("c").to_numpy().astype("i8")
     book_folder = f"{checkpoint_dir(spark).removeprefix('file:')}/mixing-{uuid.uuid4().hex}"
     os.makedirs(book_folder)
     make_code(book_folder, hashes, frequent, ends, max(1, n - ends - int(frequent.sum())), letters)
-    fill_tables(training, book_folder, n)
-    weights, table = teach(training, book_folder)
+    fill_tables(training, book_folder, n, slots)
+    return counts, book_folder, *teach(training, book_folder), n, v
+
+
+def costs(book: Book, t: Tokens, own: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The cost of each text in nats."""
+    total = np.zeros(len(own))
+    for b in bits_of(book, t, own):
+        p = refined(along_texts(weights, b, len(own)), b.node, table)
+        cost = np.log(np.abs(1 - b.bit - p))
+        if len(cost):
+            total -= np.bincount(b.runs[1], weights=np.add.reduceat(cost, np.cumsum(b.runs[2]) - b.runs[2], dtype="f8"), minlength=len(own))
+    return total
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row."""
+    spark = docs.sparkSession
+    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
+    counts, book_folder, weights, table, n, v = learn(own.where(~F.col("held_out")))
     least = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
