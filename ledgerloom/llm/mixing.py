@@ -10,7 +10,7 @@ For each bit hashed-context predictors give log odds from counts of the training
 * words: the code node alone; the node after the last *marker* (one of the ``MARKERS`` most frequent words); the most
   frequent follower of the two words before, as long as its code agrees; and the word that followed these two words
   when the same text had them last, so that a text teaches about itself;
-* bytes of spelt words: the node alone, and after two, three and five bytes.
+* bytes of spelt words: the node alone, and after three and six bytes.
 
 A gate, chosen by what is coded and by how sure the predictors are, has weights that mix the log odds to one
 probability. The weights are learned online over all bits of all training texts, group of bits by group, by gradient
@@ -62,13 +62,14 @@ VOCABULARY = 1 << 17
 WORDS_A_POWER, GROWTH = 400, 0.4
 MARKERS = 63
 #: Bytes before a byte that its hashed contexts see, and the tables: markers, pairs of words, those contexts.
-SPANS = (2, 3, 5)
+SPANS = (3, 6)
 TABLES = 2 + len(SPANS)
 INPUTS = 4
-#: Texts handled at once, by characters; a task's pending keys; keys of a block; slots for each key; training words of a part.
+#: Texts handled at once, by characters; a task's pending keys; keys of a block; steps of paths; slots for each key; training words of a part.
 SLICE_CHARS = 1 << 18
 PENDING = 1 << 22
 BLOCK = 1 << 14
+CHUNK = 1 << 22
 SLOTS = 16
 WORDS_A_PART = 1 << 20
 #: Gates: (follower's class, what the text itself says) of guesses and two of second guesses; (depth, marker's confidence) of words; (two
@@ -140,39 +141,49 @@ OWN_ODDS = np.float32(1.5)
 
 
 # ---------------------------------------------------------------- the code
-def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol its path from the root: starts, nodes and bits."""
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol its path from the root: starts, and steps of twice a node and the bit taken there."""
     n = len(weights)
     heap = [(int(w), i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    parent, side, node = np.zeros(2 * n, "i8"), np.zeros(2 * n, "i1"), n
+    step, node = np.zeros(2 * n, "i4"), n  # of each node the way to it from its parent
     while len(heap) > 1:
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y], side[y] = node, node, 1
+        step[x], step[y] = (node - n) * 2, (node - n) * 2 + 1
         heapq.heappush(heap, (a + b, node))
         node += 1
-    root = node - 1
-    steps, at = [], np.arange(n)  # all symbols climb together
-    while (live := np.nonzero(at != root)[0]).size:
-        steps.append((live, (parent[at[live]] - n).astype("i4"), side[at[live]]))
-        at[live] = parent[at[live]]
+    del heap
+    root, at, live = node - 1, np.arange(n, dtype="i4"), np.arange(n, dtype="i4")
     size = np.zeros(n, "i8")
-    for live, _, _ in steps:
+    while (live := live[at[live] != root]).size:  # all symbols climb together, first to count and then to write
         size[live] += 1
+        at[live] = (step[at[live]] >> 1) + n
     starts = np.concatenate([[0], np.cumsum(size)])
-    nodes, bits = np.zeros(starts[-1], "i4"), np.zeros(starts[-1], "i1")
-    for level, (live, up, bit) in enumerate(steps):
-        nodes[starts[live] + size[live] - 1 - level] = up
-        bits[starts[live] + size[live] - 1 - level] = bit
-    return starts, nodes, bits
-
-
-def node_counts(path: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The zeros and ones at each node when symbols occur ``counts`` times."""
-    starts, nodes, bits = path
-    each, n = np.repeat(counts, np.diff(starts)).astype("f8"), max(1, len(starts) - 2)
-    ones = np.bincount(nodes, weights=each * bits, minlength=n)
-    return np.bincount(nodes, weights=each, minlength=n) - ones, ones
+    path, place = np.zeros(starts[-1], "i4"), starts[1:] - 1
+    at, live = np.arange(n, dtype="i4"), np.arange(n, dtype="i4")
+    while (live := live[at[live] != root]).size:
+        way = step[at[live]]
+        path[place[live]] = way
+        place[live] -= 1
+        at[live] = (way >> 1) + n
+    return starts, path
+
+
+def way_counts(path: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """``nodes x 2`` zeros and ones when symbols occur ``counts`` times."""
+    starts, ways = path
+    n = max(1, len(starts) - 2)
+    some = np.nonzero(counts)[0]
+    out, at = np.zeros(2 * n), 0
+    size = np.diff(starts)[some]
+    edges = np.searchsorted(np.cumsum(size), np.arange(CHUNK, int(size.sum()) + CHUNK, CHUNK)) + 1
+    for end in edges:  # paths of many symbols at once, but not of all
+        who = some[at:end]
+        k = size[at:end]
+        places = np.arange(int(k.sum())) + np.repeat(starts[who] - (np.cumsum(k) - k), k)
+        out += np.bincount(ways[places], weights=np.repeat(counts[who], k).astype("f8"), minlength=2 * n)
+        at = end
+    return out.reshape(n, 2)
 
 
 def make_code(folder: str, hashes: np.ndarray, counts: np.ndarray, ends: int, others: int, letters: np.ndarray) -> None:
@@ -182,10 +193,12 @@ def make_code(folder: str, hashes: np.ndarray, counts: np.ndarray, ends: int, ot
     bits = max(1, int(np.ceil(np.log2(max(2, len(hashes))))) + 1)
     parts = {"hashes": hashes[order], "ids": order.astype("i4"), "counts": counts, "starts": np.searchsorted(hashes[order] >> u(64 - bits), np.arange((1 << bits) + 1, dtype="u8")).astype("i4")}
     for name, weights in (("word", np.maximum(counts, 1)), ("byte", letters + 1)):
-        path = starts, nodes, bit = huffman(weights)
-        zeros, ones = node_counts(path, weights)
-        at = lambda less: np.log((np.maximum(ones[nodes] - less * bit, 0) + 0.2) / (np.maximum(zeros[nodes] - less * (1 - bit), 0) + 0.2)).astype("f4")  # noqa: B023, E731
-        parts |= {f"{name}_starts": starts, f"{name}_nodes": nodes, f"{name}_bits": bit, f"{name}_odds": np.stack([at(0), at(1)])}
+        starts, ways = huffman(weights)
+        seen = way_counts((starts, ways), weights)
+        odds = lambda zeros, ones: np.log((np.maximum(ones, 0) + 0.2) / (np.maximum(zeros, 0) + 0.2))
+        plain = np.repeat(odds(seen[:, 0], seen[:, 1]), 2)
+        without = np.stack([odds(seen[:, 0] - 1, seen[:, 1]), odds(seen[:, 0], seen[:, 1] - 1)], axis=1).ravel()
+        parts |= {f"{name}_starts": starts, f"{name}_ways": ways, f"{name}_odds": np.concatenate([plain, without]).astype("f4")}
     for name, x in parts.items():
         np.save(f"{folder}/{name}.npy", x)
 
@@ -210,7 +223,7 @@ class Book:
     def __init__(self, folder: str):
         read = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
         self.hashes, self.ids, self.counts, self.starts = (np.asarray(read(x)) for x in ("hashes", "ids", "counts", "starts"))
-        self.paths = [tuple(np.asarray(read(f"{kind}_{x}")) for x in ("starts", "nodes", "bits", "odds")) for kind in ("word", "byte")]
+        self.paths = [tuple(np.asarray(read(f"{kind}_{x}")) for x in ("starts", "ways", "odds")) for kind in ("word", "byte")]
         self.end, self.escape = len(self.counts) - 2, len(self.counts) - 1
         p = self.counts / max(1, int(self.counts.sum()))
         self.share = np.log(np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12)).astype("f4")  # log odds of each symbol
@@ -450,21 +463,21 @@ def bits_of(book: Book, t: Tokens, own: np.ndarray) -> list[Bits]:
     ])
     out = [Bits(_runs(step, owner, n), bit, gate, odds, gate)]
 
-    starts, nodes, bits, odds = book.paths[0]
+    starts, ways, odds = book.paths[0]
     coded = np.nonzero(~found)[0]
     what, mine = symbol[coded], own[owner[coded]]
     n = starts[what + 1] - starts[what]
     word, back = _expanded(n)
     run = np.arange(len(word))
-    at = run + (starts[what] + back)[word]
+    way = ways.take(run + (starts[what] + back)[word])
     depth = (run + back[word]).astype("i2")
-    b, node = bits.take(at), nodes.take(at)
-    state = book.marked.take((marker[coded] * book.nodes)[word] + node) if len(book.marked) else np.zeros(len(at), "u1")
+    b, node = (way & np.int32(1)).astype("i1"), way >> np.int32(1)
+    state = book.marked.take((marker[coded] * book.nodes)[word] + node) if len(book.marked) else np.zeros(len(way), "u1")
     if mine.all():
-        state, x0 = state + np.int16(256) * (b + np.int16(1)), odds[1].take(at)
+        state, x0 = state + np.int16(256) * (b + np.int16(1)), odds[len(odds) // 2 :].take(way)
     else:
         state = state + np.where(mine, 256, 0).astype("i2").take(word) * (b + np.int16(1))
-        x0 = odds.ravel().take(at + np.where(mine, odds.shape[1], 0)[word])
+        x0 = odds.take(way + np.where(mine, len(odds) // 2, 0).astype("i4").take(word))
     state = state.astype("i8")
     gate = (np.int16(FLAG_GATES) + np.minimum(depth >> np.int16(1), np.int16(3)) * np.int16(4) + STATE_LEVEL.take(state)).astype("i8")
     out.append(Bits(_runs(step[coded], owner[coded], n), b, gate, np.stack([x0, STATE_ODDS.take(state)]), _node_context(node, 0)))
@@ -474,7 +487,7 @@ def bits_of(book: Book, t: Tokens, own: np.ndarray) -> list[Bits]:
 
 def _spelt_bits(book: Book, t: Tokens, own: np.ndarray) -> Bits:
     """The bits of words without a code, whether an escape was guessed or coded."""
-    starts, nodes, bits, odds = book.paths[1]
+    starts, ways, odds = book.paths[1]
     step = steps_of(t)[t.rare]
     order = np.argsort(step * len(own) + t.owner[t.rare], kind="stable")
     lengths, text = t.lengths[order], t.owner[t.rare][order]
@@ -483,17 +496,16 @@ def _spelt_bits(book: Book, t: Tokens, own: np.ndarray) -> Bits:
     letters = t.letters[place]
     n = (starts[1:] - starts[:-1])[letters]
     letter, back = _expanded(n)
-    at = np.arange(len(letter)) + (starts[letters] + back)[letter]
-    b, node = bits.take(at), nodes.take(at)
+    way = ways.take(np.arange(len(letter)) + (starts[letters] + back)[letter])
+    b, node = (way & np.int32(1)).astype("i1"), way >> np.int32(1)
     less = own[text][word]
     taken = np.where(less, 256, 0).astype("i2").take(letter) * (b + np.int16(1))
-    x = [odds.ravel().take(at + np.where(less, odds.shape[1], 0)[letter])]
-    gate = np.full(len(at), FLAG_GATES + WORD_GATES, "i8")
+    x = [odds.take(way + np.where(less, len(odds) // 2, 0).astype("i4").take(letter))]
+    gate = np.full(len(way), FLAG_GATES + WORD_GATES, "i8")
     for i, context in enumerate(byte_contexts(t)):
         state = (book.slot_states(2 + i, _masked(context, book.leaf)[place], letter, node) + taken).astype("i8")
         x.append(STATE_ODDS.take(state))
-        if i:
-            gate += STATE_LEVEL.take(state).astype("i8") << (2 * (2 - i))
+        gate += STATE_LEVEL.take(state).astype("i8") << (2 * (len(SPANS) - 1 - i))
     each = np.add.reduceat(n, np.cumsum(lengths) - lengths) if len(n) else np.zeros(0, "i8")
     return Bits(_runs(step[order], text, each), b, gate, np.stack(x), _node_context(node, 1))
 
@@ -668,7 +680,7 @@ def fill_tables(training: DataFrame, folder: str, words: int, slots: int = SLOTS
             if t == 0:
                 whole = np.zeros(len(book.counts), "i8")
                 whole[symbol] = counts
-                made, size = (states(*(x.astype("i8") for x in node_counts(book.paths[0][:3], whole))),), book.nodes
+                made, size = (states(*way_counts(book.paths[0][:2], whole).T.astype("i8")),), book.nodes
             elif t == 1:
                 made = _run_part(context, symbol, counts, part_bits, bucket_bits)
                 size = len(made[1])
@@ -690,7 +702,7 @@ def fill_tables(training: DataFrame, folder: str, words: int, slots: int = SLOTS
             yield out()
 
     blocks = training.select("text").mapInArrow(run, "t int, part int, keys binary, counts binary")
-    written = {(r.t, r.part): r.size for r in blocks.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(add, "t int, part int, size long").collect()}
+    written = {(r.t, r.part): r.size for r in blocks.repartition(max(int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << part_bits), "t", "part").sortWithinPartitions("t", "part").mapInArrow(add, "t int, part int, size long").collect()}
     nodes = _book(folder, filled=False).nodes
     layout = {"part_bits": part_bits, "bucket_bits": bucket_bits}
     for t in range(TABLES):
@@ -724,11 +736,11 @@ def _run_part(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, part_
 
 def _slot_part(book: Book, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Slots of check and state for the nodes of each context's symbols; where two meet, the one seen more stays."""
-    starts, nodes, bits = book.paths[1][:3]
+    starts, ways = book.paths[1][:2]
     n = starts[symbol + 1] - starts[symbol]
     who = np.repeat(np.arange(len(symbol)), n)
-    at = np.arange(len(who)) + np.repeat(starts[symbol] - (np.cumsum(n) - n), n)
-    h, code = _slot_hash(context[who], nodes[at]), bits[at]
+    way = ways[np.arange(len(who)) + np.repeat(starts[symbol] - (np.cumsum(n) - n), n)]
+    h, code = _slot_hash(context[who], way >> 1), way & 1
     order = np.argsort(h)
     h, code, c = h[order], code[order], counts[who][order]
     first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]

@@ -62,7 +62,7 @@ def plain_score(docs, held, book, weights, table):
         for w in words:
             s = int(book.symbols(mixing.words_in([w])[3])[0])
             vocabulary[w] = s
-    code = lambda kind, s: [(int(book.paths[kind][1][i]), int(book.paths[kind][2][i])) for i in range(book.paths[kind][0][s], book.paths[kind][0][s + 1])]
+    code = lambda kind, s: [divmod(int(book.paths[kind][1][i]), 2) for i in range(book.paths[kind][0][s], book.paths[kind][0][s + 1])]
     symbol = lambda w: book.escape if vocabulary[w] < 0 else vocabulary[w]
 
     def tokens(words):
@@ -131,7 +131,7 @@ def plain_score(docs, held, book, weights, table):
                     less = None if h else bit
                     count = [int(sum(letters[y] for y in range(256) if (node, z) in code(1, y))) - (less == z) for z in (0, 1)]
                     xs = [plain_state(spelt[k, raw[max(0, i - k) : i], node, 0], spelt[k, raw[max(0, i - k) : i], node, 1], less) for k in mixing.SPANS]
-                    gate = mixing.FLAG_GATES + mixing.WORD_GATES + sum(x[1] << (2 * (len(xs) - 1 - j)) for j, x in enumerate(xs) if j)
+                    gate = mixing.FLAG_GATES + mixing.WORD_GATES + sum(x[1] << (2 * (len(xs) - 1 - j)) for j, x in enumerate(xs))
                     streams[2].append((step, gate, [math.log((count[1] + 0.2) / (count[0] + 0.2)), *(x[0] for x in xs)], bit, (node, 1)))
         cost = 0.0
         for stream in streams:
@@ -214,9 +214,10 @@ def test_states_keep_two_counts():
 
 
 def test_code_is_complete():
-    starts, nodes, bits = mixing.huffman(np.array([5, 1, 1, 9, 3]))
+    starts, ways = mixing.huffman(np.array([5, 1, 1, 9, 3]))
     assert sum(2.0 ** -(b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)) == 1.0
-    assert len({tuple(bits[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)}) == 5
+    assert len({tuple(ways[a:b] & 1) for a, b in zip(starts[:-1], starts[1:], strict=True)}) == 5
+    assert (mixing.way_counts((starts, ways), np.array([5, 1, 1, 9, 3])).sum(axis=1).max(), len({w >> 1 for w in ways})) == (19, 4)
 
 
 def test_e8_decoding_is_nearest():
