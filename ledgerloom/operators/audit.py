@@ -1,4 +1,7 @@
-"""The audit log's hash chain."""
+"""The audit log's hash chain.
+
+An event's hash covers its own fields and the hash that it stores of the event before it in its tenant's chain.
+"""
 
 from __future__ import annotations
 
@@ -9,38 +12,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The hashed fields and their order.
+HEAD = ("id", "tenant_id", "actor_id", "actor_type", "event_type", "entity_type", "entity_id")
+TAIL = ("ip_address", "request_id", "occurred_at")
+
+
+def head() -> Column:
+    """What comes before the two states in the hashed text, as bytes; the states end in a zero byte each."""
+    line = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))
+    state = lambda c: F.concat(F.coalesce(F.col(c), F.lit("")), F.lit("\x00"))
+    return F.concat(*[line(c) for c in HEAD], state("before_state"), state("after_state"), *[line(c) for c in TAIL])
+
 
-def body() -> Column:
-    """What an event's hash covers besides the hash before it."""
-    return F.concat_ws("|", "tenant_id", F.col("id").cast("string"), "action", F.col("actor").cast("string"))
+def event_hash(previous: Column) -> Column:
+    """The hash of an event that stores ``previous``."""
+    return F.sha2(F.concat(head(), F.lit("hash_chain_prev="), previous, F.lit("\n")), 256)
 
 
 def verify(log: DataFrame) -> DataFrame:
-    """``tenant_id, first_broken``: the first event whose stored hash is not its predecessor's.
+    """``tenant_id, events, first_broken``: the first event whose stored ``prev_hash`` is not its predecessor's hash.
 
-    Each hash covers what is stored, so the predecessor alone decides and no fold is needed.
+    Each hash covers what is stored, so the predecessor alone decides: only hashes and ids are sorted by tenant. Null if no link is broken. A change
+    of the last event alone shows in no link; ``tail_broken`` tells it where the log has its own ``hash``.
     """
-    want = F.coalesce(F.lag(F.sha2(body(), 256)).over(Window.partitionBy("tenant_id").orderBy("id")), F.lit(""))
-    return log.withColumn("want", want).groupBy("tenant_id").agg(F.min(F.when(F.col("prev_hash") != F.col("want"), F.col("id"))).alias("first_broken"))
+    hashed = log.select("tenant_id", "id", "prev_hash", event_hash(F.col("prev_hash")).alias("own"), *(["hash"] if "hash" in log.columns else []))
+    order = Window.partitionBy("tenant_id").orderBy("id")
+    linked = hashed.withColumn("want", F.coalesce(F.lag("own").over(order), F.lit("")))
+    out = [F.count("*").alias("events"), F.min(F.when(~F.col("prev_hash").eqNullSafe(F.col("want")), F.col("id"))).alias("first_broken")]
+    if "hash" in log.columns:
+        out.append(F.max_by(~F.col("hash").eqNullSafe(F.col("own")), "id").alias("tail_broken"))
+    return linked.groupBy("tenant_id").agg(*out)
 
 
 def build(log: DataFrame) -> DataFrame:
-    """``tenant_id, id, prev_hash, hash``: each hash covers the one before, so a tenant's events are folded in order.
+    """``log`` with ``prev_hash`` and ``hash``: each hash covers the one before, so a tenant's events are folded in order.
 
-    Rows stream through a task sorted by tenant and id; it keeps one hash, however long the chain is.
+    The hashed text is made in the JVM; rows stream through a task sorted by tenant and id, which keeps one hash however long the chain is.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tenant, last = None, ""
         for frame in frames:
             before, own = [], []
-            for t, text in zip(frame["tenant_id"], frame["body"], strict=True):
+            for t, text in zip(frame["tenant_id"], frame["__text"], strict=True):
                 last = last if t == tenant else ""
                 tenant = t
                 before.append(last)
-                last = hashlib.sha256(f"{last}\x00{text}".encode()).hexdigest()
+                last = hashlib.sha256(f"{text}hash_chain_prev={last}\n".encode()).hexdigest()
                 own.append(last)
-            yield pd.DataFrame({"tenant_id": frame["tenant_id"], "id": frame["id"], "prev_hash": before, "hash": own})
+            yield frame.drop(columns="__text").assign(prev_hash=before, hash=own)
 
-    rows = log.select("tenant_id", "id", body().alias("body")).repartition("tenant_id").sortWithinPartitions("tenant_id", "id")
-    return rows.mapInPandas(fold, "tenant_id string, id long, prev_hash string, hash string")
+    rows = log.withColumn("__text", head()).repartition("tenant_id").sortWithinPartitions("tenant_id", "id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
+    return rows.mapInPandas(fold, f"{schema}, prev_hash string, hash string")

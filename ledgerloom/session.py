@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only where none is set (tests), use a local one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; only a local session without one (tests) gets a folder of its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove an intermediate folder from its store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(frame: DataFrame, folder: str) -> DataFrame:
+    """``frame`` cut to a checkpoint, after which the folder it was read from goes."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    out = frame.checkpoint()
+    delete_folder(frame.sparkSession, folder)
+    return out

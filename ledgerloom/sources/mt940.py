@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the statement line's layout.
-LINE_61 = r"^([0-9]{6})([0-9]{4})?(RD|RC|D|C)([0-9]+,[0-9]*)([A-Z]{4})?([^/\n]*?)(?:/{2}(.*))?$"
+#: The parts of a statement line in the order of the field's public layout; each is one group.
+ENTRY = {
+    "value_date": r"([0-9]{6})",
+    "entry_date": r"([0-9]{4})?",
+    "mark": r"(R?[CD])",
+    "funds_code": r"([A-Z])?",
+    "amount": r"([0-9]+,[0-9]*)",
+    "kind": r"([A-Z][A-Z0-9]{3})?",
+    "customer_ref": r"((?:(?!//)[^\n])*)",
+    "bank_ref": r"(?://([^\n]*))?",
+}
+ENTRY_PATTERN = "^" + "".join(ENTRY.values())
+#: The same of a balance: mark, date, currency, amount.
+BALANCE = {"mark": r"([CD])", "date": r"([0-9]{6})", "currency": r"([A-Z]{3})", "amount": r"([0-9]+,[0-9]*)"}
+BALANCE_PATTERN = "^" + "".join(BALANCE.values()) + r"\s*$"
 
 
 def structured(note: Column) -> Column:
@@ -14,21 +27,76 @@ def structured(note: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(note, r"\?[0-9]{2}"), lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
+#: Ways to read a note; an unknown one reads it as it is.
+DIALECTS = {"generic": lambda note: note, "structured": structured}
+
+
+def register_dialect(name: str, read) -> None:
+    DIALECTS[name] = read
+
+
+def amount(text: Column) -> Column:
+    """An amount with a decimal comma, which may be the last character."""
+    return F.replace(F.regexp_replace(text, ",$", ""), F.lit(","), F.lit(".")).try_cast("decimal(20,4)")
+
+
+def _group(parts: dict[str, str], pattern: str, value: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(value, pattern, list(parts).index(name) + 1), F.lit(""))
+
+
+def fields(message: Column) -> Column:
+    """The tagged fields of a message as (tag, value); lines without a tag continue the one before, ``-`` and blank lines go."""
+    body = F.regexp_replace(F.regexp_replace(message, "\r", ""), "(?m)^(?:-|\\s*)$\n?", "")
+    tagged = F.filter(F.split(F.concat(F.lit("\n"), body), r"\n(?=:[0-9]{2}[A-Z]?:)"), lambda x: F.trim(x) != "")
+    return F.transform(tagged, lambda x: F.struct(F.regexp_extract(x, r"^\s*:([0-9]{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace(F.regexp_replace(x, r"^\s*:[0-9]{2}[A-Z]?:", ""), "\n+$", "").alias("value")))
+
+
+def _first(*tags: str) -> Column:
+    return F.element_at(F.filter("f", lambda x: x.tag.isin(*tags)), 1).getField("value")
+
+
+def _read(statements: DataFrame) -> DataFrame:
+    held = statements.select("statement_id", F.explode(F.array(F.struct(fields(F.col("message")).alias("f")))).alias("g")).select("statement_id", F.col("g.f").alias("f"))
+    return held.where(F.size("f") > 0)
+
+
+def balances(statements: DataFrame) -> DataFrame:
+    """``statement_id, reference, account, number`` and the mark, date, currency and amount of the opening and closing balance.
+
+    A balance that does not fit its layout has null parts; the closing currency falls back to the opening one.
+    """
+    named = _read(statements).select("statement_id", _first("20").alias("reference"), _first("25").alias("account"), _first("28C", "28").alias("number"), _first("60F", "60M").alias("opening"), _first("62F", "62M").alias("closing"))
+    out = ["statement_id", "reference", "account", "number"]
+    for side in ("opening", "closing"):
+        part = lambda name, side=side: _group(BALANCE, BALANCE_PATTERN, F.col(side), name)
+        out += [part("mark").alias(f"{side}_mark"), part("date").alias(f"{side}_date"), part("currency").alias(f"{side}_currency"), amount(part("amount")).alias(f"{side}_amount")]
+    return named.select(*out)
+
+
 def parse(statements: DataFrame, dialect: str = "generic") -> DataFrame:
     """A row for each ``:61:`` line of (statement_id, message), with its ``:86:`` note and the header's fields.
 
-    Lines without a tag continue the one before; ``-`` and blank lines are dropped; a ``:61:`` line that does
-    not fit the layout has null fields, for the quarantine.
+    A note without a line before it has a row of its own with an empty line. A line that does not fit the layout has null
+    fields, for the quarantine; what continues a line is its ``details``. The currency is that of the opening balance.
     """
-    body = F.regexp_replace(F.regexp_replace("message", "\r", ""), "(?m)^(?:-|\\s*)$\n?", "")
-    tagged = F.filter(F.split(F.concat(F.lit("\n"), body), r"\n(?=:[0-9]{2}[A-Z]?:)"), lambda x: F.trim(x) != "")
-    fields = F.transform(tagged, lambda x: F.struct(F.regexp_extract(x, r"^\s*:([0-9]{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace(F.regexp_replace(x, r"^\s*:[0-9]{2}[A-Z]?:", ""), "\n+$", "").alias("value")))
-    first = lambda *tags: F.element_at(F.filter("f", lambda x: x.tag.isin(*tags)), 1).getField("value")
-    head = statements.select("statement_id", fields.alias("f")).where(F.size("f") > 0)
-    named = head.select("statement_id", "f", first("20").alias("reference"), first("25").alias("account"), first("28C", "28").alias("number"), F.substring(first("60F", "60M"), 8, 3).alias("currency"))
-    rows = named.select("*", F.posexplode("f").alias("at", "x")).where(F.col("x.tag") == "61")
+    currency = F.nullif(F.regexp_extract(_first("60F", "60M"), "^[CD][0-9]{6}([A-Z]{3})", 1), F.lit(""))
+    named = _read(statements).select("statement_id", "f", _first("20").alias("reference"), _first("25").alias("account"), _first("28C", "28").alias("number"), currency.alias("currency"))
+    before = F.try_element_at("f", F.col("at")).getField("tag")
+    rows = named.select("*", F.posexplode("f").alias("at", "x"))
+    orphan = (F.col("x.tag") == "86") & (F.when(F.col("at") > 0, before).otherwise("") != "61")
+    rows = rows.where((F.col("x.tag") == "61") | orphan)
     follow = F.try_element_at("f", F.col("at") + 2)
-    note = F.when(follow.getField("tag") == "86", follow.getField("value")).otherwise("")
-    g = lambda i: F.nullif(F.regexp_extract("x.value", LINE_61, i), F.lit(""))
-    amount = F.replace(F.regexp_replace(g(4), ",$", ""), F.lit(","), F.lit(".")).try_cast("decimal(20,4)")
-    return rows.select("statement_id", "reference", "account", "number", "currency", F.col("at").alias("line"), g(1).alias("value_date"), g(3).alias("mark"), amount.alias("amount"), g(6).alias("customer_ref"), g(7).alias("bank_ref"), (structured(note) if dialect == "structured" else note).alias("note"))
+    note = F.when(orphan, F.col("x.value")).when(follow.getField("tag") == "86", follow.getField("value")).otherwise("")
+    line = F.when(F.col("x.tag") == "61", F.col("x.value"))
+    part = lambda name: _group(ENTRY, ENTRY_PATTERN, line, name)
+    details = F.when(F.contains(line, F.lit("\n")), F.regexp_replace(line, "^[^\n]*\n", ""))
+    read = DIALECTS.get(dialect, DIALECTS["generic"])
+    return rows.select(
+        "statement_id", "reference", "account", "number", "currency", F.col("at").alias("line"), part("value_date").alias("value_date"), part("entry_date").alias("entry_date"), part("mark").alias("mark"),
+        amount(part("amount")).alias("amount"), part("kind").alias("kind"), part("customer_ref").alias("customer_ref"), part("bank_ref").alias("bank_ref"), details.alias("details"), read(note).alias("note"),
+    )
+
+
+def payloads(entries: DataFrame) -> DataFrame:
+    """The entries as JSON records for a mapping, with their statement's currency."""
+    return entries.withColumn("payload", F.to_json(F.struct(*[F.col(c) for c in ("value_date", "mark", "currency", "customer_ref", "bank_ref", "note")], F.col("amount").cast("string").alias("amount"))))

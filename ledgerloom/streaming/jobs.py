@@ -3,74 +3,198 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date as Date
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.session import table
-from ledgerloom.sources.files import shared
+from ledgerloom.functions.similarity import PLAIN
+from ledgerloom.plans.rules import Key, Rule, ordered
+from ledgerloom.session import delete_folder, kept, shared
 
+# Fixed value: days that a record stays in the pool.
 POOL_DAYS = 7
-#: Parts of a tenant's pool, by amount.
-POOL_PARTS = 16
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    read = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
-    return read.withColumn("ts", F.col("ts").cast("timestamp"))
+def stream_of(rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` as a file stream, and the folder to remove when it is done."""
+    spark, folder = rows.sparkSession, shared(rows.sparkSession, "rows")
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder), folder
 
 
-def _finish(frame: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what there is and read what it wrote."""
+def finish(frame: DataFrame, source: str) -> DataFrame:
+    """Run a stream over what there is, and give what it wrote; its folders go."""
     spark, folder = frame.sparkSession, shared(frame.sparkSession, "stream")
-    if mode == "append":
-        writer = frame.writeStream.outputMode("append").format("parquet").option("path", folder)
-    else:  # the last state of an aggregate
-        writer = frame.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(folder))
-    writer.option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(frame.schema).parquet(folder)
+    writer = frame.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = kept(spark.read.schema(frame.schema).parquet(f"{folder}/out"), folder)
+    delete_folder(spark, source)
+    return out
 
 
-def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir, "events").withColumn("delivery_key", F.concat_ws(":", "user_id", "event_type"))
-    return _finish(events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["delivery_key"]).select("event_id", "delivery_key"), "append")
+def dedup(deliveries: DataFrame, minutes: int = 10) -> DataFrame:
+    """Streamed deliveries (delivery_key, at, ...) without those whose key came before within the time."""
+    stream, folder = stream_of(deliveries)
+    return finish(stream.withWatermark("at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["delivery_key"]), folder)
 
 
-def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir, "events").withWatermark("ts", "1 day")
-    return _finish(events.groupBy("event_type", F.window("ts", "1 day").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("total")), "complete").select("event_type", F.to_date("day.start").alias("day"), "n", "total")
+def incremental(rows: DataFrame, keys: list, measures: dict[str, str], files_a_batch: int = 1) -> DataFrame:
+    """Sums of partial aggregates of a stream: each batch adds its own partial rows to a table, and reading adds these up.
 
+    ``keys`` are Columns, ``measures`` has SQL aggregates that may be summed (counts and sums) by name. The stream holds no state.
+    """
+    spark = rows.sparkSession
+    folder, table = shared(spark, "rows"), shared(spark, "partial")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*keys).agg(*[F.expr(sql).alias(n) for n, sql in measures.items()]).write.mode("overwrite").parquet(f"{table}/out/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{table}/state").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(f"{table}/out")
+    names = [c for c in read.columns if c not in measures and c != "batch"]
+    out = kept(read.groupBy(*names).agg(*[F.sum(n).alias(n) for n in measures]), table)
+    delete_folder(spark, folder)
+    return out
+
+
+# ---------------------------------------------------------------- matching on a stream
+def plain_bucket(amount: Decimal, key: Key) -> int:
+    """The number of an amount's band, as the batch has it."""
+    if key.steps is not None:
+        return key.steps * ((amount > 0) - (amount < 0))
+    return int((amount / (2 * key.amount if key.amount else 1)).quantize(Decimal(1), ROUND_HALF_UP))
 
-def pool_match(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """Each record meets its tenant's pool of the last days; equal amount, currency and near date match at once.
 
-    The pool is the state of a (tenant, currency, part of the amounts) group, so a large tenant has many.
+def plain_rank(key: Key, a, b) -> int | None:
+    """The rank of a candidate by one key, or None if the two do not meet by it."""
+    if key.kind == "exact":
+        return 0 if a == b else None
+    if a is None or b is None:
+        return 0 if a is b else None
+    gap = (b - a).days if key.kind == "date_window" else plain_bucket(b, key) - plain_bucket(a, key)
+    return max(0, gap) if abs(gap) <= (2 * key.days if key.kind == "date_window" else 2) else None
+
+
+def plain_match(incoming: dict, pool: list[dict], rules: list[Rule]) -> tuple[int, float, str, str] | None:
+    """The place in the pool, score, status and rule of a record's match: the first rule by which some candidate reaches the suggestion.
+
+    Ties go to the smaller ranks and then to the earlier place.
+    """
+    for rule in rules:
+        best = None
+        for at, other in enumerate(pool):
+            ranks = [plain_rank(k, incoming.get(k.field), other.get(k.field)) for k in rule.keys]
+            if None in ranks or other["id"] == incoming["id"]:
+                continue
+            scores = [PLAIN[s.method](incoming.get(s.field), other.get(s.field)) for s in rule.scores]
+            total = round(sum((0.0 if x < s.least else x) * s.weight for x, s in zip(scores, rule.scores, strict=True)), 9)
+            if total >= rule.suggest and (best is None or (-total, ranks, at) < best):
+                best = (-total, ranks, at)
+        if best:
+            return best[2], -best[0], "AUTO" if -best[0] >= rule.auto else "SUGGESTED", rule.name
+    return None
+
+
+FIELDS = ("id", "reference", "counterparty_ref", "currency", "side", "account_id")
+
+
+def _cell_width(rules: list[Rule]) -> Decimal | None:
+    """Amounts that may meet by some rule lie in the same cell of this width or in neighbours; None if a rule has no band of fixed width."""
+    widths = [max((6 * k.amount for k in r.keys if k.kind == "numeric" and k.field == "base_amount" and k.amount), default=None) for r in rules]
+    return None if not widths or None in widths else max(widths)
+
+
+class Pool(StatefulProcessor):
+    """The pool of one group of records: records by cell of the amount, in the order of their coming."""
+
+    def __init__(self, rules: list[Rule], keys: tuple[str, ...], readd: bool, as_of: int | None):
+        self.rules, self.keys, self.readd, self.as_of = rules, keys, readd, as_of
+        self.width = _cell_width(rules)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        record = "array<struct<seq:long,day:int,amount:string," + ",".join(f"{f}:string" for f in FIELDS) + ">>"
+        self.cells = handle.getMapState("cells", "cell long", f"records {record}")
+        self.last = handle.getValueState("last", "seq long, day int")
+
+    def _cell(self, amount: Decimal) -> int:
+        return 0 if self.width is None else int(amount // self.width) if amount >= 0 else -int(-amount // self.width) - 1
+
+    def _load(self, cell: int) -> list[dict]:
+        if cell not in self.held:
+            rows = self.cells.getValue((cell,))[0] if self.cells.containsKey((cell,)) else []
+            self.held[cell] = [{"seq": r[0], "value_date": Date.fromordinal(r[1]), "base_amount": Decimal(r[2]), **dict(zip(FIELDS, r[3:], strict=True))} for r in (tuple(x) if not isinstance(x, dict) else tuple(x.values()) for x in rows)]
+        return self.held[cell]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.held: dict[int, list[dict]] = {}
+        seq, newest = self.last.get() if self.last.exists() else (0, 0)
+        incoming = sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: (r["arrival"], r["id"]))
+        out = []
+        for r in incoming:
+            record = {f: r.get(f) for f in FIELDS} | dict(zip(self.keys, key, strict=True)) | {"value_date": r["value_date"], "base_amount": Decimal(r["amount"])}
+            own = self._cell(record["base_amount"])
+            near = [own] if self.width is None else [own - 1, own, own + 1]
+            pool = sorted(((x["seq"], c, i) for c in near for i, x in enumerate(self._load(c))))
+            found = plain_match(record, [dict(zip(self.keys, key, strict=True)) | self.held[c][i] for _, c, i in pool], self.rules)
+            matched = found is not None and found[2] == "AUTO"
+            if matched:
+                at, score, _, rule = found
+                _, c, i = pool[at]
+                other = self.held[c].pop(i)
+                out.append((r["id"], other["id"], score, rule, "AUTO_MATCHED_STREAMING"))
+            newest = max(newest, record["value_date"].toordinal())
+            limit = (self.as_of or newest) - POOL_DAYS
+            if self.readd or not matched:
+                seq += 1
+                self._load(own).append({"seq": seq, **{f: record.get(f) for f in FIELDS}, "value_date": record["value_date"], "base_amount": record["base_amount"]})
+            for c in near:
+                self.held[c] = [x for x in self.held[c] if x["value_date"].toordinal() >= limit]
+        for cell, records in self.held.items():
+            if records:
+                self.cells.updateValue((cell,), ([(x["seq"], x["value_date"].toordinal(), str(x["base_amount"]), *(x[f] for f in FIELDS)) for x in records],))
+            elif self.cells.containsKey((cell,)):
+                self.cells.removeKey((cell,))
+        self.last.update((seq, newest))
+        yield pd.DataFrame(out, columns=["id", "other_id", "score", "rule", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def group_keys(rules: list[Rule]) -> tuple[str, ...]:
+    """The exact keys that all rules share: records that differ in one can never meet."""
+    shared_keys = set.intersection(*[{k.field for k in r.keys if k.kind == "exact"} for r in rules]) if rules else set()
+    return ("tenant_id", *sorted(k for k in shared_keys if k != "tenant_id" and not k.startswith("extra.")))
+
+
+def pool_match(records: DataFrame, rules: list[Rule], readd: bool = True, as_of: Date | None = None) -> DataFrame:
+    """``id, other_id, score, rule, status``: a stream's provisional matches of each record with its tenant's pool of the last days.
+
+    Records (id, tenant_id, value_date, base_amount, arrival, and texts that rules name) are matched in the order of their arrival by the rules that may
+    run on a stream. A match by AUTO is written and takes its partner out of the pool; the record itself joins the pool even then, unless
+    ``readd`` is false; a suggestion only keeps later rules from the record. Records whose date is more than ``POOL_DAYS`` before
+    ``as_of`` (by default the newest date that their group has seen) leave when their neighbourhood is next written.
+
+    A group has the tenant and the exact keys that all rules share. Its records are in order, so one task has a group; its state is
+    a map by cells of the amount of which a record reads three.
     """
-    folder = shared(spark, "records")
-    records.write.parquet(folder)
-    stream = spark.readStream.schema(records.schema).parquet(folder)
-
-    def match(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pool: dict[str, list[tuple[int, str]]] = {}
-        for day, who, amount in state.get[0] if state.exists else []:
-            pool.setdefault(amount, []).append((day, who))
-        newest, out = 0, []
-        for day, who, amount in sorted((r.value_date.toordinal(), r.id, r.amount) for f in frames for r in f.itertuples()):
-            newest = max(newest, day)
-            near = [p for p in pool.get(amount, []) if p[0] >= day - POOL_DAYS]
-            other = next((p for p in near if p[1][0] != who[0] and abs(p[0] - day) <= 2), None)
-            if other:
-                near.remove(other)
-                out.append((key[0], who, other[1], "AUTO_MATCHED_STREAMING"))
-            else:
-                near.append((day, who))
-            pool[amount] = near
-        state.update(([(d, w, a) for a, ps in pool.items() for d, w in ps if d >= newest - POOL_DAYS],))
-        yield pd.DataFrame(out, columns=["tenant_id", "id", "other_id", "status"])
-
-    part = F.pmod(F.xxhash64("base_amount"), F.lit(POOL_PARTS)).alias("part")
-    grouped = stream.select("tenant_id", "currency", part, F.col("base_amount").cast("string").alias("amount"), "id", "value_date").groupBy("tenant_id", "currency", "part")
-    found = grouped.applyInPandasWithState(match, "tenant_id string, id string, other_id string, status string", "pool array<struct<day:long,id:string,amount:string>>", "append", GroupStateTimeout.NoTimeout)
-    return _finish(found, "append")
+    spark = records.sparkSession
+    usable = ordered([r for r in rules if r.streaming])
+    empty = spark.createDataFrame([], "id string, other_id string, score double, rule string, status string")
+    if not usable:
+        return empty
+    keys = group_keys(usable)
+    text = lambda f: F.col(f).cast("string").alias(f) if f in records.columns else F.lit(None).cast("string").alias(f)
+    own = records.select(*[F.col(k).cast("string").alias(f"key_{k}") for k in keys], *[text(f) for f in FIELDS], F.col("value_date").cast("date").alias("value_date"), F.col("base_amount").cast("string").alias("amount"), F.col("arrival").cast("long").alias("arrival"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    stream, folder = stream_of(own)
+    processor = Pool(usable, keys, readd, as_of.toordinal() if as_of else None)
+    found = stream.groupBy(*[f"key_{k}" for k in keys]).transformWithStateInPandas(processor, "id string, other_id string, score double, rule string, status string", "append", "none")
+    return finish(found, folder)
