@@ -143,9 +143,9 @@ def assign(edges: DataFrame, rounds: int = ROUNDS, component_edges: int = COMPON
     """
     ensure_checkpoint_dir(edges.sparkSession)
     columns = [c for c in edges.columns if c != "field_scores"]
-    left, taken, turn = edges.select(*columns).checkpoint(), [], 0
+    left, taken, since = edges.select(*columns).checkpoint(), [], 0
     while not left.isEmpty():
-        if turn and turn % rounds == 0:
+        if since >= rounds:
             # nodes of both sides in one numbering
             node = left.select("*", (F.col("src_ord") * 2).alias("x"), (F.col("tgt_ord") * 2 + 1).alias("y"))
             found = components(node, "x", "y")
@@ -154,13 +154,13 @@ def assign(edges: DataFrame, rounds: int = ROUNDS, component_edges: int = COMPON
             schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
             taken.append(parted.join(small, "component", "left_semi").select(*columns, "component").groupBy("component").applyInPandas(_settle, schema).checkpoint())
             left = parted.join(small, "component", "left_anti").select(*columns).checkpoint()
-            turn += 1
+            since = 0
             continue
         first = left.groupBy("tgt_ord").agg(F.min("src_ord").alias("src_ord"))
         got = best_candidate(left).join(first, ["src_ord", "tgt_ord"]).select(*columns).checkpoint()
         left = left.join(got.select("src_ord"), "src_ord", "left_anti").join(got.select("tgt_ord"), "tgt_ord", "left_anti").select(*columns).checkpoint()
         taken.append(got)
-        turn += 1
+        since += 1
     out = taken[0] if taken else left
     for more in taken[1:]:
         out = out.unionByName(more)

@@ -52,7 +52,7 @@ def fields(message: Column) -> Column:
 
 
 def _first(*tags: str) -> Column:
-    return F.element_at(F.filter("f", lambda x: x.tag.isin(*tags)), 1).getField("value")
+    return F.try_element_at(F.filter("f", lambda x: x.tag.isin(*tags)), F.lit(1)).getField("value")
 
 
 def _read(statements: DataFrame) -> DataFrame:
