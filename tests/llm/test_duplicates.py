@@ -99,3 +99,36 @@ def test_pages_frame(spark):
     got = pages.extract(frame).collect()
     assert sorted(r.n_chars for r in got) == [0, len(pages.main_text(PAGE)), len(pages.main_text(PAGE))]
     assert pages.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="content no-sidebar"', 'div class="post has-sidebar"', 'div class="story ad-free"', 'div class="entry comment-open"', 'div class="post share-enabled"', 'div class="article related-posts-off"', 'article class="post no-sidebar"', 'div class="content"',
+     'div class="article commentary"', 'div class="banner"', 'section id="popular"', 'main class="menu"'],
+)
+def test_articles_keep_their_text_whatever_their_layout_is_called(wrapper):
+    text = "A long enough paragraph, with some commas, that any reader would take for the article."
+    page = f"<body><nav><p>menu, menu, menu, menu, menu, menu, menu</p></nav><{wrapper}><p>{text}</p><p>{text}</p></{wrapper.split()[0]}></body>"
+    assert pages.main_text(page) == f"{text}\n\n{text}"
+
+
+def test_what_surrounds_an_article_goes():
+    text = "A long enough paragraph, with some commas, that any reader would take for the article."
+    other = "Other words, many of them, with commas, and even more, so that they score well, very well, indeed."
+    for around in ('div class="comments"', 'div class="entry comment"', 'div class="sidebar"', 'div class="sidebar-left"', 'article class="related"', 'div class="ad-slot"', 'div id="cookie-notice"', 'div class="newsletter open"', 'div hidden', 'aside', 'form class="content"'):
+        page = f"<body><div class=post><p>{text}</p><p>{text}</p></div><{around}><p>{other}</p></{around.split()[0]}></body>"
+        assert pages.main_text(page) == f"{text}\n\n{text}", around
+    assert pages.main_text(f"<div class=comments><p>{other}</p></div>") == ""
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    paragraph = "<p>Words, of a paragraph, long enough to count.</p>"
+    began = time.time()
+    assert pages.main_text(("<div>" + paragraph) * 50_000).count("Words") >= 1
+    assert time.time() - began < 4
+    for page in ("<div>" * 50_000 + paragraph, "<b>" * 50_000 + paragraph * 100, "<div>" * 20_000 + "</p></b>" * 20_000 + paragraph, "<li>" * 50_000, "<header>" * 20_000):
+        began = time.time()
+        pages.main_text(page)
+        assert time.time() - began < 2, page[:20]
