@@ -47,24 +47,28 @@ def fingerprint(paths: set[str] | frozenset[str]) -> int:
 
 
 def json_fingerprint(payload: Column) -> Column:
-    """The fingerprint of each JSON record, in the JVM: key paths to three levels below the top, sorted and hashed.
+    """The fingerprint of each JSON record, in the JVM: its distinct key paths to two levels below the top, sorted and hashed.
 
-    Objects and arrays of objects are followed; a payload that is no JSON object has a null fingerprint.
+    Objects are followed, and in arrays every element's keys count (``[]``), not only the first one's. A payload
+    that is no JSON object has a null fingerprint.
     """
-    top = F.json_object_keys(payload)
+    at = lambda value, key: F.call_function("get_json_object", value, F.concat(F.lit("$['"), key, F.lit("']")))
 
-    def below(key: Column) -> Column:
-        value = F.call_function("get_json_object", payload, F.concat(F.lit("$['"), key, F.lit("']")))
+    def below(value: Column, key: Column, deeper) -> Column:
         inner = F.json_object_keys(value)
-        element = F.json_object_keys(F.get_json_object(value, "$[0]"))
+        size = F.json_array_length(value)
+        element = lambda i: F.call_function("get_json_object", value, F.concat(F.lit("$["), i, F.lit("]")))
+        keys_of_elements = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.json_object_keys(element(i)), F.array().cast("array<string>")))))
         return (
-            F.when(inner.isNotNull(), F.transform(inner, lambda k: F.concat(key, F.lit("."), k)))
-            .when(element.isNotNull(), F.transform(element, lambda k: F.concat(key, F.lit("[]."), k)))
-            .when(F.json_array_length(value).isNotNull(), F.array(F.concat(key, F.lit("[]"))))
+            F.when(inner.isNotNull() & (F.size(inner) > 0), deeper(value, key, inner) if deeper else F.transform(inner, lambda k: F.concat(key, F.lit("."), k)))
+            .when((size > 0) & (F.size(keys_of_elements) > 0), F.transform(keys_of_elements, lambda k: F.concat(key, F.lit("[]."), k)))
+            .when(size.isNotNull(), F.array(F.concat(key, F.lit("[]"))))
             .otherwise(F.array(key))
         )
 
-    return F.crc32(F.array_join(F.array_sort(F.flatten(F.transform(top, below))), "\n").cast("binary"))
+    second = lambda value, key, inner: F.flatten(F.transform(inner, lambda k: below(at(value, k), F.concat(key, F.lit("."), k), None)))
+    paths = F.flatten(F.transform(F.json_object_keys(payload), lambda key: below(at(payload, key), key, second)))
+    return F.crc32(F.array_join(F.array_sort(F.array_distinct(paths)), "\n").cast("binary"))
 
 
 @dataclass(frozen=True)
@@ -102,21 +106,48 @@ MAPPINGS = (
     Mapping("instruction_input", frozenset({"id", "instruction", "input", "output"}), _fields(("user", f"concat_ws('\\n', {_at('instruction')}, nullif({_at('input')}, ''))"), ("assistant", _at("output")))),
 )
 
-#: Layouts of typed tables: paths to the columns (conv_id, turn, role, text).
-TABLES = {
-    fingerprint({"conv_id", "turn", "role", "text"}): ("conv_id", "turn", "role", "text"),
-    fingerprint({"conversation", "position", "speaker", "utterance"}): ("conversation", "position", "speaker", "utterance"),
-}
-
-
-def turns_from_table(rows: DataFrame) -> DataFrame:
-    """Canonical turns of a table with a row for each turn; its mapping is found by the fingerprint of its known paths."""
-    present = paths_of(rows.schema)
-    for columns in TABLES.values():
-        if fingerprint(present & set(columns)) in TABLES and set(columns) <= present:
-            conv, turn, role, text = columns
-            return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError(f"no mapping for the paths {sorted(present)}")
+@dataclass(frozen=True)
+class TableMapping:
+    """The layout of a table with a row for each turn: SQL for its four columns, by the paths that make it."""
+
+    name: str
+    paths: frozenset[str]
+    conv_id: str
+    turn: str
+    role: str
+    text: str
+
+    @property
+    def fingerprint(self) -> int:
+        return fingerprint(self.paths)
+
+
+TABLES = (
+    TableMapping("turns", frozenset({"conv_id", "turn", "role", "text"}), "conv_id", "turn", "role", "text"),
+    TableMapping("utterances", frozenset({"conversation", "position", "speaker", "utterance"}), "conversation", "position", "speaker", "utterance"),
+    TableMapping("nested_turns", frozenset({"conv_id", "turn", "message.role", "message.content"}), "conv_id", "turn", "message.role", "message.content"),
+)
+
+
+def table_mapping(paths: set[str], mappings: tuple[TableMapping, ...] = TABLES) -> TableMapping:
+    """The mapping that the fingerprint of a schema's paths selects.
+
+    Paths that no mapping knows are further columns and are left out of the fingerprint. If what remains is of more than one layout,
+    those layouts' own paths are hashed one by one; the first one whose fingerprint is in the table is taken.
+    """
+    by_print = {m.fingerprint: m for m in mappings}
+    vocabulary = frozenset().union(*(m.paths for m in mappings))
+    known = frozenset(paths & vocabulary)
+    for part in (known, *(known & m.paths for m in mappings)):
+        if fingerprint(part) in by_print:
+            return by_print[fingerprint(part)]
+    raise ValueError(f"no mapping for the paths {sorted(paths)} (fingerprint {fingerprint(known)})")
+
+
+def turns_from_table(rows: DataFrame, mappings: tuple[TableMapping, ...] = TABLES) -> DataFrame:
+    """Canonical turns of a table with a row for each turn; the fingerprint of its schema selects the mapping."""
+    m = table_mapping(paths_of(rows.schema), mappings)
+    return rows.select(F.expr(m.conv_id).cast("long").alias("conv_id"), F.expr(m.turn).cast("long").alias("turn"), F.expr(m.role).cast("string").alias("role"), F.expr(m.text).cast("string").alias("text"))
 
 
 def turns_from_records(records: DataFrame, payload: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:

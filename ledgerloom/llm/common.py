@@ -35,6 +35,17 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has (Spark takes upper and lower case as the same), made of those given."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary package keeps one of its files."""
     import public_tokenizers

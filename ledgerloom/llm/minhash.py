@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint_dir, cut
+from ledgerloom.llm.common import checkpoint_dir, cut, delete_folder
 from ledgerloom.llm.graph import components
 
 _rng = np.random.default_rng(20240607)
@@ -309,9 +309,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     if more.limit(1).count():
         found = components(links.unionAll(more))
 
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, folder)
     named = classes.select("one", "two", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left").select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = features.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 3, side: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that with the smallest id; its columns are those of ``docs``.
+
+    Of rows that share an id one stays (the first by its columns' values). Rows with a null id are in no group; of those with
+    the same words in the same order one stays, and those without words all stay, as do other rows without words.
+    """
+    found = near_duplicates(docs, percent, width, rows, side, id_col, text_col)
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = cut(ids.where("NOT kept OR n > 1"))  # most documents are neither, so only few ids are joined
+    plain = docs.join(odd.select(F.col("id").alias(id_col)), id_col, "left_anti").where(F.col(id_col).isNotNull()).select(*docs.columns)
+    first = lambda group: group.agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    again = first(docs.join(odd.where("kept").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns).groupBy(id_col))
+    nameless = docs.where(F.col(id_col).isNull())
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
+    return plain.unionByName(again).unionByName(first(nameless.where(words != "").groupBy(F.sha2(words, 256)))).unionByName(nameless.where(words == ""))

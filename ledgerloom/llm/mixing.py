@@ -799,8 +799,8 @@ def teach(training: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     return np.round(out, 5).reshape(INPUTS, GATES).astype("f4"), refinement(cells.reshape(REFINED, POINTS, 2))
 
 
-def learn(training: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, str, np.ndarray, np.ndarray, int, int]:
-    """Of the texts: the table of words' hashes and counts, the folder of the code and the tables, weights, refinement, words, distinct ones."""
+def learn(training: DataFrame, slots: int = SLOTS) -> tuple[str, str, np.ndarray, np.ndarray, int, int]:
+    """Of the texts: the folder of words' hashes and counts, the folder of the code and the tables, weights, refinement, words, distinct ones."""
     spark = training.sparkSession
     folder = f"{checkpoint_dir(spark)}/words-{uuid.uuid4().hex}"
     count_words(training).write.parquet(folder)
@@ -818,7 +818,7 @@ def learn(training: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, str, np.n
     os.makedirs(book_folder)
     make_code(book_folder, hashes, frequent, ends, max(1, n - ends - int(frequent.sum())), letters)
     fill_tables(training, book_folder, n, slots)
-    return counts, book_folder, *teach(training, book_folder), n, v
+    return folder, book_folder, *teach(training, book_folder), n, v
 
 
 def costs(book: Book, t: Tokens, own: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -837,7 +837,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
-    counts, book_folder, weights, table, n, v = learn(own.where(~F.col("held_out")))
+    words_folder, book_folder, weights, table, n, v = learn(own.where(~F.col("held_out")))
     least = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -862,8 +862,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     scored = cut(own.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, size long, rare array<long>"))
     delete_folder(spark, book_folder)
     rows = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
+    counts = spark.read.parquet(words_folder).where("letter < 0").select("h", "c")
     known = rows.join(counts, "h").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
-    out = scored.drop("rare").join(known, "row", "left")
+    out = scored.drop("rare").join(cut(known), "row", "left")
+    delete_folder(spark, words_folder)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("size")).alias("bits_per_byte"),

@@ -30,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import fresh
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
 # The base kinds' patterns.
@@ -52,6 +54,8 @@ EMPTY = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Buckets of shapes and of words before a candidate.
 SHAPES = WORDS_BEFORE = 64
 ROUNDS = 50
+#: What covers base spans while candidates are looked for; Unicode has no such character.
+COVER = "\ufdd0"
 #: Characters before a candidate that labelers see, and matches whose offsets are summed together.
 BEFORE = 32
 CHUNK = 64
@@ -140,8 +144,58 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
+def _cuts(spans: Column) -> Column:
+    """Of sorted spans the parts of the text to keep and what is written behind each, as (at, to, mark), and the end of all as a last part.
+
+    A span that starts before the end of an earlier one has no mark of its own. The furthest end is carried along within chunks of
+    ``CHUNK`` spans, after the ends of whole chunks, as an accumulator that holds an array is copied at each step.
+    """
+    kind = "array<struct<at:int,to:int,mark:string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        item = F.array(F.struct(acc.at.alias("at"), s.start.alias("to"), F.concat(F.lit("["), F.upper(s.kind), F.lit("]")).alias("mark")))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, item)).otherwise(acc.out).alias("out"))
+
+    def of_chunks(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s.end)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(ends, none, lambda acc, e: F.struct(F.greatest(acc.at, e).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        begin = lambda at: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, begin(at), step, lambda acc: acc.out)))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), lambda c: F.slice(spans, c * CHUNK + 1, F.lit(CHUNK)))
+    return _bound(chunks, of_chunks)
+
+
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """``text`` with its sorted spans replaced by ``mark`` of a part (of ``_cuts``) and the end of what is replaced.
+
+    Finding a place in a text takes a walk from its start, so texts of many spans are cut from an array of their characters.
+    """
+
+    def written(parts: Column) -> Column:
+        end = F.array_max(F.transform(spans, lambda s: s.end))
+        ends = F.concat(F.slice(F.transform(parts, lambda p: p["at"]), F.lit(2), F.size(parts)), F.array(end))
+
+        def joined(piece) -> Column:
+            return F.array_join(F.zip_with(parts, ends, lambda p, e: F.concat(piece(p), mark(p, e))), "")
+
+        few = F.concat(joined(lambda p: F.substring(text, p["at"] + 1, p.to - p["at"])), F.substring(text, end + 1, F.char_length(text)))
+
+        def of_many(letters: Column) -> Column:
+            tail = F.array_join(F.slice(letters, end + 1, F.greatest(F.size(letters) - end, F.lit(0))), "")
+            return F.concat(joined(lambda p: F.array_join(F.slice(letters, p["at"] + 1, p.to - p["at"]), "")), tail)
+
+        return F.when(F.size(parts) <= CHUNK, few).otherwise(_bound(F.split(text, ""), of_many))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(_cuts(spans), written))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Candidate words outside the base spans as (start, end, word, before)."""
+    """Candidate words outside the base spans as (start, end, word, before).
+
+    They are looked for in the text with its base spans covered by a noncharacter, so a word that has one meets a base span.
+    """
     kind = "array<struct<start:int,end:int,word:string,before:string>>"
 
     def trimmed(x: Column) -> Column:
@@ -150,9 +204,12 @@ def candidates(text: Column, base: Column) -> Column:
         start = x.at + F.char_length(x.m) - F.char_length(tail)
         return F.struct(start.alias("start"), (start + F.char_length(word)).alias("end"), word.alias("word"), x.before.alias("before"))
 
-    free = lambda c: (c.word != "") & ~F.exists(base, lambda b: (b.start < c.end) & (c.start < b.end))
-    found = lambda pattern: F.filter(F.transform(_placed(text, pattern), trimmed), free)
-    return F.when(F.regexp_like(text, F.lit(HAS_NAMED)), found(WORD_OR_NAMED)).when(F.regexp_like(text, F.lit(WORD)), found(WORD)).otherwise(F.array().cast(kind))
+    def of(covered: Column) -> Column:
+        free = lambda c: (c.word != "") & ~F.contains(c.word, F.lit(COVER))
+        found = lambda pattern: F.filter(F.transform(_placed(covered, pattern), trimmed), free)
+        return F.when(F.regexp_like(covered, F.lit(HAS_NAMED)), found(WORD_OR_NAMED)).when(F.regexp_like(covered, F.lit(WORD)), found(WORD)).otherwise(F.array().cast(kind))
+
+    return _bound(_replaced(text, base, lambda p, e: F.repeat(F.lit(COVER), e - p.to)), of)
 
 
 def _on(sql: str, item: str) -> str:
@@ -234,22 +291,25 @@ def learn(counts: list[tuple[int, int, int, int]]) -> Model:
     return Model(prior, trust, bias, vote_odds, *[[max(-2.0, min(2.0, x / 2)) for x in odds] for odds in rest])
 
 
-def _read(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__base", base_spans(F.col("__text")))
+def _text(docs: DataFrame, text_col: str) -> Column:
+    return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """The model of all candidates of all documents."""
-    own = _read(docs.select(F.col(text_col).alias("text")), "text").select(F.explode(candidates(F.col("__text"), F.col("__base"))).alias("c"))
+    read = docs.select(_text(docs, text_col).alias("t")).withColumn("base", base_spans(F.col("t")))
+    own = read.select(F.explode(candidates(F.col("t"), F.col("base"))).alias("c"))
     counts = own.groupBy(F.expr(votes_sql("c")).alias("v"), F.expr(shape_sql("c")).alias("s"), F.expr(before_sql("c")).alias("b")).agg(F.count("*").alias("n"))
     return learn([tuple(int(x) for x in r) for r in counts.collect()])
 
 
-def with_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``, arrays of (start, rank, end, kind)."""
-    read = _read(docs, text_col).withColumn("__candidates", candidates(F.col("__text"), F.col("__base")))
-    added = F.expr(f"transform(filter(__candidates, c -> {model.odds_sql('c')} > 0), c -> struct(c.start AS start, {len(KINDS)} AS rank, c.end AS end, '{ADDED}' AS kind))")
-    return read.withColumn("__spans", F.array_sort(F.concat("__base", added))).drop("__candidates")
+def with_spans(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with two columns of the given names, the base spans and all spans: arrays of (start, rank, end, kind)."""
+    base, spans = names
+    own, words = fresh(docs, "pii_text", "pii_words")
+    read = docs.withColumn(own, _text(docs, text_col)).withColumn(base, base_spans(F.col(own))).withColumn(words, candidates(F.col(own), F.col(base)))
+    added = F.expr(f"transform(filter(`{words}`, c -> {model.odds_sql('c')} > 0), c -> struct(c.start AS start, {len(KINDS)} AS rank, c.end AS end, '{ADDED}' AS kind))")
+    return read.withColumn(spans, F.array_sort(F.concat(base, added))).drop(own, words)
 
 
 def _written(spans: Column) -> Column:
@@ -259,23 +319,22 @@ def _written(spans: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row."""
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    found = with_spans(own, train(own), "text")
-    of_kind = lambda kind: F.filter("__base", lambda s: s.kind == kind)
+    names = tuple(fresh(own, "base", "spans"))
+    base, spans = names
+    found = with_spans(own, train(own), "text", names)
+    of_kind = lambda kind: F.filter(base, lambda s: s.kind == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(F.col(id_col), *counts, F.sha2(_written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _written(F.col("__spans")).alias("spans"))
+    return found.select(F.col(id_col), *counts, F.sha2(_written(F.col(base)).cast("binary"), 256).alias("base_sha256"), _written(F.col(spans)).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; null texts stay null."""
-    found = with_spans(docs, train(docs, text_col), text_col)
-    text = F.col("__text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with each of its sorted spans replaced by its kind in brackets."""
+    return _replaced(text, spans, lambda p, _: p.mark)
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))
-        piece = F.when(s.start >= acc.at, F.concat(F.substring(text, acc.at + 1, s.start - acc.at), mark)).otherwise("")
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.out, piece).alias("out"))
 
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.char_length(text))))
-    clean = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(done)
-    return found.withColumn(text_col, clean).drop("__text", "__base", "__spans")
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with each span of the text replaced by its kind in brackets; null texts stay null."""
+    names = tuple(fresh(docs, "pii_base", "pii_spans"))
+    found = with_spans(docs, train(docs, text_col), text_col, names)
+    clean = F.when(F.size(names[1]) == 0, F.col(text_col)).otherwise(redacted(_text(found, text_col), F.col(names[1])))
+    return found.withColumn(text_col, clean).drop(*names)

@@ -9,8 +9,8 @@ and repeated words, word length). The model is fitted on the driver to at most `
 by a hash of their ids, so that it doesn't grow with the input; this is the only bounded sample. All documents are scored,
 each over its whole text, with a broadcast of fixed size (``BUCKETS`` weights).
 
-Defined results: null and empty texts have shape features only; documents with several ratings count once
-for each in the sample; null ratings and ratings without a document are ignored; with fewer than two different grades in the sample
+Defined results: null and empty texts have shape features only; documents with several different ratings count once
+for each in the sample, rows that repeat an id count as the one whose features come first; null ratings and ratings without a document are ignored; with fewer than two different grades in the sample
 each document gets the single grade (the top one without ratings) and is kept; rows that repeat are scored each; an empty
 table gives an empty result.
 """
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import fresh
 from ledgerloom.llm.minhash import hashed_words
 
 #: Rated documents that the fit takes at most.
@@ -152,13 +153,16 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, top: int, id_col:
                 part = frame.iloc[at : at + 256]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "grade": part["grade"].to_numpy(), "f": [x.astype("i4").tobytes() for x in features(part["text"].tolist())]})
 
-    got = own.join(F.broadcast(chosen), "id").mapInPandas(run, "id long, grade int, f binary").toPandas()
-    got = got.assign(f=got["f"].map(bytes)).sort_values(["id", "grade", "f"]).head(2 * sample)  # rows that repeat an id
+    kind = ratings.schema[id_col].dataType.simpleString()
+    rows = own.join(F.broadcast(chosen), "id").mapInPandas(run, f"id {kind}, grade int, f binary")
+    # rows that repeat an id give one row a rating, so what is collected is bounded by the sample
+    got = rows.groupBy("id", "grade").agg(F.min("f").alias("f")).toPandas()
+    got = got.assign(f=got["f"].map(bytes)).sort_values(["id", "grade", "f"])
     return fit([np.frombuffer(x, "i4").astype("i8") for x in got["f"]], got["grade"].to_numpy(dtype="i8"), top)
 
 
-def scored(docs: DataFrame, model: Model, at_least: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__quality``: the struct (expected_grade, tail_probability)."""
+def scored(docs: DataFrame, model: Model, at_least: int, text_col: str = "text", name: str = "quality") -> DataFrame:
+    """``docs`` with a column ``name``: the struct (expected_grade, tail_probability)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype("f4"), model.thresholds))
 
     @F.pandas_udf("expected_grade double, tail_probability double")
@@ -171,7 +175,7 @@ def scored(docs: DataFrame, model: Model, at_least: int, text_col: str = "text")
         p = own.grades(np.array(total, dtype="f8"))
         return pd.DataFrame({"expected_grade": p @ np.arange(p.shape[1]), "tail_probability": p[:, at_least:].sum(axis=1)})
 
-    return docs.withColumn("__quality", score(F.col(text_col).cast("string")))
+    return docs.withColumn(name, score(F.col(text_col).cast("string")))
 
 
 def label_grade() -> Column:
@@ -182,11 +186,12 @@ def label_grade() -> Column:
 def select_documents(docs: DataFrame, labels: DataFrame, at_least: int = 2, level: float = 0.5) -> DataFrame:
     """The documents whose probability of the grade ``at_least`` reaches ``level``, with their own columns."""
     model = train(docs, labels, label_grade(), top=2)
-    return scored(docs, model, at_least).where(F.col("__quality.tail_probability") >= level).drop("__quality")
+    (name,) = fresh(docs, "quality")
+    return scored(docs, model, at_least, name=name).where(F.col(f"{name}.tail_probability") >= level).drop(name)
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, at_least: int = 2, level: float = 0.5) -> DataFrame:
     """``doc_id, expected_grade, tail_probability, kept`` for each row."""
     model = train(docs, labels, label_grade(), top=2)
     out = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, at_least)
-    return out.select("doc_id", "__quality.expected_grade", "__quality.tail_probability", (F.col("__quality.tail_probability") >= level).alias("kept"))
+    return out.select("doc_id", "quality.expected_grade", "quality.tail_probability", (F.col("quality.tail_probability") >= level).alias("kept"))

@@ -77,6 +77,61 @@ def test_secrets_and_names_without_digits_are_found(spark):
     assert got[98] == ""
 
 
+def test_names_of_columns_do_not_clash(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.cd", "keep", "k", "q", "s", "w")], "doc_id long, text string, __base string, __text string, quality string, pii_spans string, PII_BASE string")
+    got = pii.redact(frame)
+    assert got.columns == frame.columns and tuple(got.first()) == (1, "mail [EMAIL]", "keep", "k", "q", "s", "w")
+    kept = quality.select_documents(frame, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert kept.columns == frame.columns and tuple(kept.first()) == tuple(frame.first())
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    import time
+
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 5, 64, 65, 200, 700):
+        text = "".join(rng.choice("abcé🎉 ") for _ in range(4 * n + 30))
+        spans = sorted((a, rng.randrange(4), min(len(text), a + rng.randrange(1, 9)), rng.choice(["email", "ip"])) for a in (rng.randrange(len(text)) for _ in range(n)))
+        rows.append((text, spans))
+    frame = spark.createDataFrame(rows, "t string, s array<struct<start:int,rank:int,end:int,kind:string>>")
+    for r in frame.select("t", "s", pii.redacted(F.col("t"), F.col("s")).alias("x")).collect():
+        out, at = "", 0
+        for a, _, e, k in r.s:
+            if a >= at:
+                out += r.t[at:a] + f"[{k.upper()}]"
+            at = max(at, e)
+        assert r.x == out + r.t[at:]
+    long = spark.createDataFrame([(1, "a@b.cd " * 100_000)], "doc_id long, text string")
+    began = time.time()
+    assert pii.redact(long).first().text == "[EMAIL] " * 100_000
+    assert time.time() - began < 30
+
+
+def test_quality_equals_plain_loops(spark):
+    """Each probability from single features, and rows that repeat a rated id."""
+    import numpy as np
+
+    docs = table(spark, SMALL, "documents")
+    again = docs.unionAll(docs.where("doc_id % 3 = 0")).unionAll(docs.withColumn("text", F.lit("other text")))
+    labels = table(spark, SMALL, "labels")
+    model = quality.train(again, labels, quality.label_grade(), top=2)
+    texts = ["", "Some words, some WORDS 12 times.", "### $$$ 123"] + [r.text for r in docs.limit(20).collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.scored(frame, model, 2).collect():
+        words = quality.hashed_words([r.text.encode()])[0][0]
+        heads = [h for first in quality.PREFIXES for h in quality.hashed_words([r.text.encode()], (first,))[0][0].tolist()]
+        found = {int(h) >> 46 for h in [*words.tolist(), *heads]}
+        kinds = [int(quality.KIND[b]) for b in r.text.encode()]
+        solid, n = max(1, len(kinds) - kinds.count(1)), max(1, len(words))
+        shares = [kinds.count(2) / solid, kinds.count(4) / solid, kinds.count(5) / solid, kinds.count(6) / solid, 1 - len(set(words.tolist())) / n, kinds.count(0) / solid]
+        steps = [int(min(11, max(0, np.ceil(np.log2(max(x, 1e-4) * 1024))))) for x in shares] + [min(11, int(solid / n)), min(11, n.bit_length())]
+        score = sum(float(np.float32(model.weights[f])) for f in found) + sum(float(np.float32(model.weights[quality.WORDS + i * quality.STEPS + x])) for i, x in enumerate(steps))
+        below = [1 / (1 + np.exp(score - t)) for t in model.thresholds]
+        assert abs(r.quality.tail_probability - (1 - below[1])) < 1e-6
+        assert abs(r.quality.expected_grade - ((below[1] - below[0]) + 2 * (1 - below[1]))) < 1e-6
+
+
 def test_quality_grades(spark):
     rng = random.Random(2)
     good = [f"w{i}" for i in range(50)]
@@ -139,5 +194,26 @@ def test_pipeline_stages(spark):
                 at = max(at, int(b))
             assert r.text == out + r.old[at:]
         assert r.n_chars == len(r.text)
+    odd = spark.createDataFrame([(None, "a b c d e f", "x"), (None, "A b  c d e f", "y"), (5, "q r s t u v", "1"), (5, "q r s t u v", "0"), (6, "q r s t u v", "z"), (None, "", "e"), (None, None, "e"), (7, None, "n"), (8, "", "n"), (None, "", "e")], "doc_id long, text string, component string")
+    one = pipeline.near_duplicate_stage(spark, odd, SMALL)
+    assert one.columns == odd.columns
+    assert sorted(map(tuple, one.collect()), key=str) == sorted([(None, "A b  c d e f", "y"), (5, "q r s t u v", "0"), (None, "", "e"), (None, "", "e"), (None, None, "e"), (7, None, "n"), (8, "", "n")], key=str)
+    for stage in (pipeline.quality_stage, pipeline.near_duplicate_stage, pipeline.pii_stage):
+        got = stage(spark, odd, SMALL)
+        assert got.columns == odd.columns and got.count() >= 1 and stage(spark, odd.limit(0), SMALL).count() == 0
+    packed = pipeline.packing_stage(spark, docs, SMALL)
+    import zlib
+
+    import numpy as np
+    from test_tokens import packed as encoder
+
+    encode = encoder(None)
+    want = {r.doc_id: encode(r.text) for r in docs.collect()}
+    pieces = {}
+    for r in packed.collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert {d: [i for _, ids in sorted(p) for i in ids] for d, p in pieces.items()} == want
+    assert pipeline.packing_stage(spark, docs.limit(0), SMALL).count() == 0
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "pii", "packing"]
     assert pipeline.run(spark, SMALL).select("doc_id").distinct().count() <= len(kept)

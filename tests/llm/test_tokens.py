@@ -107,3 +107,20 @@ def test_fingerprints_select_mappings(spark):
         got.setdefault(r.conv_id, {})[r.turn] = (r.role, r.text)
     assert got == {i: {0: ("user", "q"), 1: ("assistant", "a")} for i in range(1, 6)}
     assert sum(r.records for r in chat.unmapped_records(records).collect()) == 3
+
+
+def test_fingerprints_follow_paths(spark):
+    value = lambda x: spark.range(1).select(chat.json_fingerprint(F.lit(x))).first()[0]
+    assert value('{"b": {"c": {"d": 1}, "e": []}, "a": [{"x": 1}, {"y": 2}]}') == chat.fingerprint({"b.c.d", "b.e[]", "a[].x", "a[].y"})
+    assert value('{"a": [1, 2], "b": {}}') == chat.fingerprint({"a[]", "b"})
+    assert value('{"a": [1, {"x": 2}]}') == chat.fingerprint({"a[].x"}) and value("[1]") is None and value(None) is None
+
+
+def test_schema_fingerprints_select_mappings(spark):
+    assert chat.table_mapping({"conv_id", "turn", "role", "text", "extra"}).name == "turns"
+    assert chat.table_mapping({"conversation", "position", "speaker", "utterance"}).name == "utterances"
+    assert chat.table_mapping({"conv_id", "turn", "role", "text", "message.role", "speaker"}).name == "turns"
+    with pytest.raises(ValueError):
+        chat.table_mapping({"conv_id", "turn", "text"})
+    nested = spark.createDataFrame([(1, 0, ("user", "hi"), 3)], "conv_id long, turn long, message struct<role:string,content:string>, more int")
+    assert tuple(chat.turns_from_table(nested).first()) == (1, 0, "user", "hi")
