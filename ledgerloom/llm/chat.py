@@ -12,7 +12,7 @@ where the template put them and the escape can be undone exactly. In roles, back
 written as ``\\\\`` and ``\\n``.
 
 Defined results: null texts and roles count as empty; rows are ordered by turn, then role, then text, and
-rows that repeat stay; a null turn comes first; rows with a null conv_id form one conversation; a record
+rows that repeat stay; a null turn comes first; a row with a null conv_id is a conversation of its own, as an unbounded number of them may not meet in one; a record
 whose fingerprint no mapping has gives no turns, and its fingerprint shows in ``unmapped_records``; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -192,18 +192,19 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     length, and whether the loss covers it. A conversation is one output row, so its turns meet in one task;
     offsets come from a running sum over rows, not from work that grows with the square of the turns.
     """
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+    clean = turns.select("conv_id", lone, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     written = clean.select(
-        "conv_id", "turn", "role", "text",
+        "conv_id", "lone", "turn", "role", "text",
         F.concat(F.lit(TURN_OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "text")
     size = F.char_length("head") + F.char_length("body") + F.lit(len(TURN_CLOSE))
     placed = written.select(
-        "conv_id", (F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("at"),
+        "conv_id", "lone", (F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("at"),
         "head", "body", (F.col("role") == loss_role).alias("loss"),
     )
-    gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "head", "body", "loss"))).alias("t"))
+    gathered = placed.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(F.struct("at", "head", "body", "loss"))).alias("t"))
     return gathered.select(
         "conv_id",
         F.array_join(F.transform("t", lambda x: F.concat(x.head, x.body, F.lit(TURN_CLOSE))), "").alias("formatted"),

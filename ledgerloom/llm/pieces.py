@@ -32,6 +32,38 @@ PROBE = " a  b\n\tc 　ﬁ́ Ⅷ "
 _state: dict[str, Chunks] = {}
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a protocol buffer message: number, and a whole number or bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def only_marks(model: bytes) -> bool:
+    """Whether a model's normaliser does no more than mark white space: it has no table of characters, puts a mark in front, removes
+    no spaces and escapes them. These are the parts 2 to 5 of the model's part 3; the last three are true unless they are said to be false."""
+    spec = dict(_fields(next((value for key, value in _fields(model) if key == 3), b"")))
+    return not spec.get(2) and spec.get(3, 1) == 1 and spec.get(4, 1) == 0 and spec.get(5, 1) == 1
+
+
 class Chunks:
     """A segmenter with its table of distinct chunks."""
 
@@ -40,7 +72,7 @@ class Chunks:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.separable = not any(MARK in x.lstrip(MARK) for x in names) and self.model.normalize(PROBE) == MARK + PROBE.replace(" ", MARK) and MARK in names
+        self.separable = not any(MARK in x.lstrip(MARK) for x in names) and only_marks(self.model.serialized_model_proto()) and MARK in names
         self.lone = self.model.piece_to_id(MARK)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*")
         self.table: dict[str, tuple[list[int], str]] = {}

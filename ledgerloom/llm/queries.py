@@ -126,9 +126,9 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op9_chat": """
             WITH t AS (
-                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-                UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+                SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+                UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
             ), w AS (
                 SELECT *, 3 + len(role) + 1 + len(text) + 4 + len(regexp_extract_all(text, '[<\\[]\\\\*/?(?:s>|INST\\])')) AS n FROM t
             )
@@ -137,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
                 CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                 CAST(sum(n) AS BIGINT) AS formatted_chars
-            FROM w GROUP BY conv_id
+            FROM w GROUP BY conv_id, lone
         """,
         "op10_topk": """
             WITH v AS (

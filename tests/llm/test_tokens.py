@@ -37,6 +37,16 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.encode(docs.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_normalisers_are_read_from_the_model():
+    import pathlib
+
+    model = pathlib.Path(tokenizer_path("piece_bpe_32k.model")).read_bytes()
+    assert pieces.only_marks(model) and pieces.Chunks(tokenizer_path("piece_bpe_32k.model")).separable
+    part = lambda spec: b"\x1a" + bytes([len(spec)]) + spec
+    assert pieces.only_marks(part(b"\x20\x00")) and not pieces.only_marks(part(b"")) and not pieces.only_marks(b"")
+    assert not pieces.only_marks(part(b"\x12\x01x\x20\x00")) and not pieces.only_marks(part(b"\x18\x00\x20\x00")) and not pieces.only_marks(part(b"\x20\x00\x28\x00"))
+
+
 def packed(frame):
     from tokenizers import Tokenizer
 
@@ -82,14 +92,18 @@ def test_packing_of_documents(spark):
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\/s> <s><\\\\s>", "", None, "\\n a\\", "[INST][\\INST]</s", "< /s>\n\n"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "a\nb\\n", None, "assistant", "<s>", "tool"], nasty, strict=True))]
-    rows += [(None, 0, "user", "x"), (2, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, None, "system", "s")]
+    rows += [(None, 0, "user", "x"), (None, 0, "assistant", "x"), (2, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, None, "system", "s")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("at", F.lit(1)).withColumn("head", F.lit("x"))
     formatted = chat.format_turns(chat.turns_from_table(table))
-    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    read = chat.read_back(formatted).collect()
+    got = {r.conv_id: r for r in read}
+    assert sorted(r.turns[0].role for r in read if r.conv_id is None) == ["assistant", "user"]
     assert [(t.role, t.text) for t in got[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:7]]
     assert [(t.role, t.text) for t in got[2].turns] == [("system", "s"), ("user", "a"), ("user", "a"), ("assistant", "b")]
     assert "".join(got[1].loss_texts) == nasty[1] + nasty[4]
     for r in formatted.collect():
+        if r.conv_id is None:
+            continue
         for s, t in zip(r.spans, got[r.conv_id].turns, strict=True):
             assert s.loss == (t.role == "assistant")
             assert r.formatted[s.start - 1] == "\n" and r.formatted[s.start + s.length :].startswith("</s>")
