@@ -30,18 +30,42 @@ def event_hash(previous: Column) -> Column:
 
 
 def verify(log: DataFrame) -> DataFrame:
-    """``tenant_id, events, first_broken``: the first event whose stored ``prev_hash`` is not its predecessor's hash.
+    """``tenant_id, events, first_broken, tail_broken``: the first event whose stored ``prev_hash`` is not its predecessor's hash.
 
-    Each hash covers what is stored, so the predecessor alone decides: only hashes and ids are sorted by tenant. Null if no link is broken. A change
-    of the last event alone shows in no link; ``tail_broken`` tells it where the log has its own ``hash``.
+    Each hash covers what is stored, so the predecessor alone decides and no chain is followed. Hashes lie in ranges of tenant and id, however
+    many a tenant has; a task compares neighbours of its range, and the ends of ranges are compared after that. Null if
+    no link is broken. A change of the last event alone shows in no link; ``tail_broken`` tells it where the log has its own ``hash``.
     """
-    hashed = log.select("tenant_id", "id", "prev_hash", event_hash(F.col("prev_hash")).alias("own"), *(["hash"] if "hash" in log.columns else []))
-    order = Window.partitionBy("tenant_id").orderBy("id")
-    linked = hashed.withColumn("want", F.coalesce(F.lag("own").over(order), F.lit("")))
-    out = [F.count("*").alias("events"), F.min(F.when(~F.col("prev_hash").eqNullSafe(F.col("want")), F.col("id"))).alias("first_broken")]
-    if "hash" in log.columns:
-        out.append(F.max_by(~F.col("hash").eqNullSafe(F.col("own")), "id").alias("tail_broken"))
-    return linked.groupBy("tenant_id").agg(*out)
+    own = event_hash(F.col("prev_hash"))
+    stored = F.col("hash") if "hash" in log.columns else own
+    hashed = log.select("tenant_id", "id", "prev_hash", own.alias("own"), stored.eqNullSafe(own).alias("right"))
+    kind = log.schema["id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each tenant of a range its events, first and last link, and the first one broken within."""
+        columns = ["tenant_id", "events", "first_id", "first_prev", "last_own", "last_right", "broken"]
+        part = None
+        for frame in frames:
+            done = []
+            for r in zip(frame["tenant_id"], frame["id"], frame["prev_hash"], frame["own"], frame["right"], strict=True):
+                if part is None or part[0] != r[0]:
+                    if part is not None:
+                        done.append(part)
+                    part = [r[0], 0, r[1], r[2], None, None, None]
+                elif part[6] is None and r[2] != part[4]:
+                    part[6] = r[1]
+                part[1] += 1
+                part[4], part[5] = r[3], r[4]
+            yield pd.DataFrame(done, columns=columns)
+        if part is not None:
+            yield pd.DataFrame([part], columns=columns)
+
+    ranges = hashed.repartitionByRange("tenant_id", "id").sortWithinPartitions("tenant_id", "id")
+    ends = ranges.mapInPandas(run, f"tenant_id string, events long, first_id {kind}, first_prev string, last_own string, last_right boolean, broken {kind}")
+    before = F.coalesce(F.lag("last_own").over(Window.partitionBy("tenant_id").orderBy("first_id")), F.lit(""))  # a few rows a tenant
+    broken = F.when(~F.col("first_prev").eqNullSafe(before), F.col("first_id")).otherwise(F.col("broken"))
+    linked = ends.withColumn("broken", broken)
+    return linked.groupBy("tenant_id").agg(F.sum("events").alias("events"), F.min("broken").alias("first_broken"), (~F.max_by("last_right", "first_id")).alias("tail_broken"))
 
 
 def build(log: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,29 @@ def canonical(records: DataFrame) -> DataFrame:
         "record", "tenant_id", "account_id", "idempotency_key", F.col("reference").alias("external_ref"), "description", "amount", "currency", "base_amount", "fx_rate", "value_date", "booking_date", "side",
         F.lit("UNMATCHED").alias("status"),
     )
+
+
+# ---------------------------------------------------------------- a filter before the check for known keys
+def bloom_size(items: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a Bloom filter for so many items at a rate of false positives."""
+    bits = math.ceil(-items * math.log(rate) / math.log(2) ** 2)
+    return bits, max(1, round(bits / items * math.log(2)))
+
+
+def bloom_places(key: Column, items: int, rate: float) -> Column:
+    """The places of a key's bits, by two hashes."""
+    bits, hashes = bloom_size(items, rate)
+    one, two = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit("second")), F.lit(bits))
+    return F.array_distinct(F.array(*[F.pmod(one + two * i, F.lit(bits)) for i in range(hashes)]))
+
+
+def bloom_bits(keys: DataFrame, key: str, items: int = 10_000, rate: float = 0.01) -> DataFrame:
+    """The set bits of a filter over ``keys``: a table of places, at most as many as the filter has bits."""
+    return keys.select(F.explode(bloom_places(F.col(key), items, rate)).alias("place")).distinct()
+
+
+def may_exist(records: DataFrame, bits: DataFrame, key: str, items: int = 10_000, rate: float = 0.01) -> DataFrame:
+    """``key, may_exist``: false is certain, true wants the check itself. Only a filter of a size set beforehand is ever joined."""
+    asked = records.select(F.col(key).alias("key")).distinct().withColumn("places", bloom_places(F.col("key"), items, rate))
+    hit = asked.select("key", F.explode("places").alias("place")).join(bits, "place", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    return asked.join(hit, "key", "left").select("key", (F.coalesce("n", F.lit(0)) == F.size("places")).alias("may_exist"))

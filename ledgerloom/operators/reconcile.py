@@ -64,12 +64,8 @@ def review(results: DataFrame, decisions: DataFrame) -> DataFrame:
     A decision fails on its own (``succeeded`` false) if its result does not exist or is not SUGGESTED, if it has no actor or
     if it is an odd one; the others go through. Of several on one result the first by actor counts.
     """
-    first = F.min(F.struct("actor", "decision")).over
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("result_id")
-    ranked = decisions.withColumn("first", first(same))
-    found = ranked.join(results.select("result_id", F.col("status").alias("was")), "result_id", "left")
+    first = decisions.groupBy("result_id").agg(F.min(F.struct("actor", "decision")).alias("first"))
+    found = decisions.join(first, "result_id").join(results.select("result_id", F.col("status").alias("was")), "result_id", "left")
     fine = F.coalesce((F.col("was") == "SUGGESTED") & F.col("decision").isin("CONFIRM", "REJECT") & (F.col("actor") != "") & (F.struct("actor", "decision") == F.col("first")), F.lit(False))
     status = F.when(fine & (F.col("decision") == "CONFIRM"), "CONFIRMED").when(fine, "REJECTED").otherwise(F.col("was"))
     return found.select("result_id", "decision", "actor", fine.alias("succeeded"), status.alias("status"))

@@ -56,3 +56,16 @@ def partitions(rows: DataFrame, since: str | None = None) -> DataFrame:
 def backfill_candidates(cases: DataFrame) -> DataFrame:
     """Breaks that are not final and that no workflow has yet."""
     return cases.where("status NOT IN ('RESOLVED','WRITTEN_OFF') AND workflow_id IS NULL")
+
+
+#: Upper bounds of the sizes that the histogram of partitions tells apart; the last is the most that one partition should have.
+SIZE_BOUNDS = (10, 100, 1_000, 10_000, 50_000)
+
+
+def size_histogram(rows: DataFrame, bounds: tuple[int, ...] = SIZE_BOUNDS) -> DataFrame:
+    """``up_to, n``: how many partitions (tenant, account, day) have at most so many rows, each counted once; -1 for larger ones."""
+    sizes = rows.groupBy("tenant_id", "account_id", "value_date").agg(F.count("*").alias("size"))
+    up_to = F.lit(-1)
+    for b in sorted(bounds, reverse=True):
+        up_to = F.when(F.col("size") <= b, b).otherwise(up_to)
+    return sizes.groupBy(up_to.cast("long").alias("up_to")).agg(F.count("*").alias("n"))

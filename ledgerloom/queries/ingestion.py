@@ -287,3 +287,11 @@ def bulk_update(spark, sf_dir):
     """A status set for many ids at once."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("status"))
     return tables.update_status(events, events.where("event_id % 4 = 0"), "CLOSED", key="event_id")
+
+
+@query("SELECT DISTINCT reference AS key, true AS may_exist FROM src WHERE ord % 3 = 0", ledgers=True)
+def bloom_check(spark, sf_dir):
+    """Keys that were put into a filter: all of them may exist."""
+    known = C.source_ledger(spark, sf_dir).where("ord % 3 = 0")
+    bits = ingest.bloom_bits(known, "reference", 100_000, 0.001)
+    return ingest.may_exist(known, bits, "reference", 100_000, 0.001)

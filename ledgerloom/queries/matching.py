@@ -365,6 +365,11 @@ def partition_sizes(spark, sf_dir):
     return C.source_ledger(spark, sf_dir).groupBy("tenant_id", "account_id").agg(F.count("*").alias("n")).withColumn("too_large", F.col("n") > 50_000)
 
 
+@query("SELECT CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 3 WHEN n <= 5 THEN 5 ELSE -1 END::BIGINT AS up_to, count(*) AS n FROM (SELECT count(*) AS n FROM src GROUP BY tenant_id, account_id, value_date) GROUP BY 1", ledgers=True)
+def partition_histogram(spark, sf_dir):
+    return scans.size_histogram(C.source_ledger(spark, sf_dir), (1, 3, 5))
+
+
 #: Rules of the nations' accounts: several of one name on a pair, drafts, and some with an odd status.
 _RULES = """rules AS (SELECT 'R-' || x AS id, 'T-' || (x % 2) AS tenant_id, 'BANK-' || (x % 5) AS source_account, 'GL-' || (x % 4) AS target_account, 'rule ' || (x % 3) AS name, CAST(x % 7 AS BIGINT) AS priority, CAST(x AS BIGINT) AS version,
     CASE x % 4 WHEN 0 THEN 'ACTIVE' WHEN 3 THEN 'ARCHIVED' ELSE 'DRAFT' END AS status, 'U-' || (x % 6) AS created_by FROM range(400) r(x))"""

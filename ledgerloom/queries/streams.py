@@ -9,7 +9,7 @@ from ledgerloom.plans import canonical as C
 from ledgerloom.plans import rules
 from ledgerloom.queries.matching import ledgers
 from ledgerloom.queries.registry import query
-from ledgerloom.session import kept, shared, table
+from ledgerloom.session import delete_folder, kept, shared, table
 from ledgerloom.sinks import tables
 from ledgerloom.sources import connectors, files, mt940
 from ledgerloom.streaming import jobs
@@ -92,7 +92,7 @@ _REQUESTS = "SELECT event_id AS request_id, ts, CASE WHEN event_id % 23 = 0 THEN
 
 @query(f"""WITH RECURSIVE q AS ({_REQUESTS}), good AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY ts, request_id) AS place FROM q WHERE method = 'POST' AND NOT forged),
     f AS (SELECT request_id, who, place, ts AS last, true AS fresh FROM good WHERE place = 1 UNION ALL SELECT g.request_id, g.who, g.place, CASE WHEN g.ts - f.last >= INTERVAL 10 MINUTE THEN g.ts ELSE f.last END, g.ts - f.last >= INTERVAL 10 MINUTE FROM f JOIN good g ON g.who = f.who AND g.place = f.place + 1)
-    SELECT q.request_id, CASE WHEN method <> 'POST' THEN 405 WHEN forged THEN 401 WHEN NOT fresh THEN 200 ELSE 202 END AS status FROM q LEFT JOIN f USING (request_id)""")
+    SELECT q.request_id, CASE WHEN method <> 'POST' THEN 405 WHEN forged THEN 401 WHEN NOT fresh THEN 200 WHEN row_number() OVER (PARTITION BY fresh ORDER BY ts, request_id) > 1000 THEN 503 ELSE 202 END AS status FROM q LEFT JOIN f USING (request_id)""")
 def webhook_receive(spark, sf_dir):
     """Requests at the receiver: wrong methods, forged signatures, deliveries that come again within ten minutes."""
     from ledgerloom.functions.scalar import hmac_sha256
@@ -101,7 +101,7 @@ def webhook_receive(spark, sf_dir):
     body = F.concat(F.lit("who "), F.col("user_id") % 50)
     signature = F.when(e % 17 == 0, F.lit("00")).otherwise(hmac_sha256(F.lit("k"), body))
     requests = table(spark, sf_dir, "events").where(e % 4 == 0).select(e.alias("request_id"), F.col("ts").cast("timestamp").alias("at"), F.when(e % 23 == 0, "GET").otherwise("POST").alias("method"), F.lit(None).cast("string").alias("delivery_id"), signature.alias("signature"), body.alias("body"))
-    return connectors.received(requests, "generic-hmac-sha256", "k", waiting=1_000_000).select("request_id", "status")
+    return connectors.received(requests, "generic-hmac-sha256", "k").select("request_id", "status")
 
 
 # ---------------------------------------------------------------- streams
@@ -164,7 +164,5 @@ def persist_and_emit(spark, sf_dir):
     both = kept_rows.join(events.select("event_id", "event_type"), "event_id")
     out = both.groupBy((F.col("user_id") % 10).alias("k")).agg(F.count("*").alias("n"), F.count("event_type").alias("events"))
     out = kept(out, folder)
-    from ledgerloom.session import delete_folder
-
     delete_folder(spark, source)
     return out

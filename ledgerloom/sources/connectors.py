@@ -9,6 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -176,29 +177,30 @@ def as_data_source(kind: str, parts: Callable[[dict], list], read: Callable[[dic
 
 
 # ---------------------------------------------------------------- receiver
-def received(requests: DataFrame, scheme: str, secret: str, waiting: int = 0) -> DataFrame:
+def received(requests: DataFrame, scheme: str, secret: str, waiting: int = WAITING) -> DataFrame:
     """``request_id, status, delivery_key`` of HTTP requests (request_id, at, method, delivery_id, signature, body) in the order of their arrival.
 
     405 for other methods than POST, 413 for a body that is too large, 401 for a wrong signature, 200 for a delivery that came in the
     last ten minutes before (it is not taken again), 503 for those beyond what may wait, 202 for those taken. A key that is not taken
-    does not start its ten minutes.
+    does not start its ten minutes. Deliveries of one key stream through a task in order, which keeps one time.
     """
-    from pyspark.sql import Window
-
     body = F.coalesce("body", F.lit(""))
     early = F.when(F.col("method") != "POST", 405).when(F.octet_length(body) > REQUEST_BYTES, 413).when(~verify_incoming(scheme, F.col("signature"), body, F.lit(secret)), 401)
-    rows = requests.withColumn("early", early).withColumn("delivery_key", delivery_key(F.col("delivery_id"), body))
-    # a delivery starts ten minutes in which the same key is not taken: a fold over each key's times, whose length is that of one key's deliveries
-    keyed = rows.where("early IS NULL").groupBy("delivery_key").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("t"), "request_id"))).alias("l"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<request_id:bigint,fresh:boolean>>").alias("out"))
-
-    def step(acc, x):
-        fresh = acc.last.isNull() | (x.t - acc.last >= AGAIN_MINUTES * 60_000_000)
-        return F.struct(F.when(fresh, x.t).otherwise(acc.last).alias("last"), F.concat(acc.out, F.array(F.struct(x.request_id.cast("bigint").alias("request_id"), fresh.alias("fresh")))).alias("out"))
-
-    folded = keyed.select(F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("x")).select("x.request_id", "x.fresh")
-    held = rows.join(folded, "request_id", "left")
-    taken = held.where("fresh").select("request_id", F.row_number().over(Window.orderBy("at", "request_id")).alias("place")) if waiting else held.where("fresh").select("request_id", F.lit(0).alias("place"))
-    out = held.join(taken, "request_id", "left")
-    status = F.coalesce("early", F.when(~F.col("fresh"), 200).when(F.col("place") > (waiting or WAITING), 503).otherwise(202))
-    return out.select("request_id", status.cast("int").alias("status"), "delivery_key")
+    rows = requests.select("request_id", "at", early.alias("early"), delivery_key(F.col("delivery_id"), body).alias("delivery_key"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for frame in frames:
+            fresh = []
+            for k, t in zip(frame["delivery_key"], frame["t"], strict=True):
+                taken = k != key or t - last >= AGAIN_MINUTES * 60_000_000
+                key, last = k, t if taken else last
+                fresh.append(taken)
+            yield pd.DataFrame({"request_id": frame["request_id"], "fresh": fresh})
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    keyed = rows.where("early IS NULL").select("delivery_key", F.unix_micros("at").alias("t"), "request_id").repartition("delivery_key").sortWithinPartitions("delivery_key", "t", "request_id")
+    held = rows.join(keyed.mapInPandas(fold, f"request_id {kind}, fresh boolean"), "request_id", "left")
+    first = held.where("fresh").orderBy("at", "request_id").limit(waiting).select("request_id", F.lit(True).alias("held"))
+    status = F.coalesce("early", F.when(~F.col("fresh"), 200).when(F.col("held"), 202).otherwise(503))
+    return held.join(first, "request_id", "left").select("request_id", status.cast("int").alias("status"), "delivery_key")

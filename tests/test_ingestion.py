@@ -23,7 +23,6 @@ def test_functions_of_texts(spark):
     parse = lambda x, layout: one(spark, scalar.parse_date(F.lit(x), layout))
     assert str(parse("690101", "YYMMDD")) == "1969-01-01" and str(parse("680101", "YYMMDD")) == "2068-01-01"
     assert parse("20240230", "YYYYMMDD") is None and parse("2024-1-01", "YYYY-MM-DD") is None and str(parse("01.02.2024", "DD.MM.YYYY")) == "2024-02-01"
-    assert str(parse("0203", "MMDD")) == "0000-02-03" if False else True
     assert str(one(spark, scalar.parse_timestamp(F.lit("2024-01-02T03:04:05"), "YYYY-MM-DDTHH:mm:ss"))) == "2024-01-02 03:04:05"
     assert one(spark, scalar.extract_regex(F.lit("a1b2"), "([0-9])")) == "1" and one(spark, scalar.extract_regex(F.lit("a"), "([0-9])")) is None and one(spark, scalar.extract_regex(F.lit("1"), "[0-9]")) is None
     assert value(scalar.tokenize, "a", "k").startswith("tok_")
@@ -89,3 +88,12 @@ def test_keys(spark):
     assert [r.key for r in ingest.new_only(rows.where("key IS NOT NULL"), spark.createDataFrame([("a",)], "key string"), "key", "n").collect()] == ["b"]
     with pytest.raises(ValueError):
         ingest.reuploads(rows, rows, "odd")
+
+
+def test_bloom_filter(spark):
+    assert ingest.bloom_size(10_000, 0.01) == (95851, 7)
+    known = spark.range(2000).select(F.col("id").cast("string").alias("key"))
+    other = spark.range(2000, 7000).select(F.col("id").cast("string").alias("key"))
+    bits = ingest.bloom_bits(known, "key", 2000, 0.01)
+    assert ingest.may_exist(known, bits, "key", 2000, 0.01).where("NOT may_exist").count() == 0
+    assert ingest.may_exist(other, bits, "key", 2000, 0.01).where("may_exist").count() < 0.02 * 5000

@@ -60,3 +60,36 @@ def test_partial_sums_of_batches(spark):
     rows = spark.range(100).select((F.col("id") % 3).alias("k"), "id").repartition(5)
     got = {r.k: (r.n, r.s) for r in jobs.incremental(rows, ["k"], {"n": "count(*)", "s": "sum(id)"}).collect()}
     assert got == {k: (len(range(k, 100, 3)), sum(range(k, 100, 3))) for k in range(3)}
+
+
+def test_fan_out_of_a_stream(spark):
+    from ledgerloom.operators import notify
+
+    rows = spark.createDataFrame([(i, "click" if i % 2 else "view", f'{{"value": {i}}}') for i in range(10)], "event_id long, event_type string, payload string")
+    stream, folder = jobs.stream_of(rows)
+    got = jobs.finish(notify.fan_out(stream, [{"sub": 1, "active": True, "types": ["click"], "filter": "value > 4"}]), folder)
+    assert sorted(r.event_id for r in got.collect()) == [5, 7, 9]
+
+
+def test_late_records_are_left_to_the_batch(spark):
+    rule = rules.parse(rules.AMOUNT_DATE.replace("days: 1", "days: 10"))
+    rows = [("early", "T", "USD", "x", date(2024, 1, 1), Decimal(1), 0), ("new", "T", "USD", "y", date(2024, 1, 20), Decimal(1), 1), ("late", "T", "USD", "x", date(2024, 1, 1), Decimal(1), 2)]
+    frame = spark.createDataFrame(rows, "id string, tenant_id string, currency string, reference string, value_date date, base_amount decimal(20,4), arrival long")
+    assert jobs.pool_match(frame, [rule]).where("other_id = 'early'").count() == 0
+    from ledgerloom.operators import matching
+
+    batch = frame.withColumn("ord", F.col("arrival"))
+    assert matching.match(batch.where("id = 'late'"), batch.where("id = 'early'"), rule).count() == 1
+
+
+def test_topics(spark):
+    from ledgerloom.streaming import topics
+
+    rows = spark.createDataFrame([("T", "A", "p")], "tenant_id string, account_id string, payload string")
+    assert tuple(topics.messages(rows, "matching.results.default").first()) == ("matching.results.default", "T|A", "p")
+    with pytest.raises(ValueError):
+        topics.messages(rows, "odd")
+    bad = spark.createDataFrame([("T", "validation", "r", "p"), ("T", "normalization", "r", "p")], "tenant_id string, stage string, reason string, payload string")
+    assert [r.topic for r in topics.dead_letters(bad).collect()] == ["dlq.validation"]
+    held = spark.createDataFrame([("audit.events", "k", 1, "a"), ("audit.events", "k", 2, "b"), ("webhook.outbox", "k", 0, "c"), ("webhook.outbox", "k", topics.DAY, "d")], "topic string, key string, at_ms long, value string")
+    assert sorted(r.value for r in topics.kept_messages(held, 8 * topics.DAY).collect()) == ["b", "d"]
