@@ -2,8 +2,8 @@
 
 Two collections of ``side`` half keys are made, each half key from ``rows`` minhashes. A table key
 combines one half key of either collection, so ``2 * side * rows`` minhashes serve ``side * side`` tables
-of ``2 * rows`` rows. With the defaults a pair of similarity 0.85 shares a table with probability 0.999
-from 48 minhashes; separate tables would take 384.
+of ``2 * rows`` rows. With the defaults a pair of similarity 0.85 shares a table with probability 0.9998
+from 60 minhashes; separate tables would take 600.
 
 1. One pass over the texts gives each document's number of shingles, a fingerprint of its whole set, and its
    half keys. Documents with equal sets form a class; only its smallest id goes on, so copies cost nothing.
@@ -261,7 +261,7 @@ def _across_components(torn: DataFrame, percent: int) -> DataFrame:
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 3, side: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 3, side: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
