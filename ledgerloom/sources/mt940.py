@@ -80,12 +80,13 @@ def parse(statements: DataFrame, dialect: str = "generic") -> DataFrame:
     fields, for the quarantine; what continues a line is its ``details``. The currency is that of the opening balance.
     """
     currency = F.nullif(F.regexp_extract(_first("60F", "60M"), "^[CD][0-9]{6}([A-Z]{3})", 1), F.lit(""))
-    named = _read(statements).select("statement_id", "f", _first("20").alias("reference"), _first("25").alias("account"), _first("28C", "28").alias("number"), currency.alias("currency"))
-    before = F.try_element_at("f", F.col("at")).getField("tag")
-    rows = named.select("*", F.posexplode("f").alias("at", "x"))
-    orphan = (F.col("x.tag") == "86") & (F.when(F.col("at") > 0, before).otherwise("") != "61")
-    rows = rows.where((F.col("x.tag") == "61") | orphan)
-    follow = F.try_element_at("f", F.col("at") + 2)
+    # each field takes its neighbours along within the array, so that no row carries its whole statement
+    beside = F.transform("f", lambda x, i: F.struct(i.alias("at"), x.tag.alias("tag"), x.value.alias("value"), F.when(i > 0, F.get("f", i - 1).tag).otherwise("").alias("before"), F.get("f", i + 1).alias("follow")))
+    wanted = F.filter(beside, lambda x: (x.tag == "61") | ((x.tag == "86") & (x.before != "61")))
+    named = _read(statements).select("statement_id", _first("20").alias("reference"), _first("25").alias("account"), _first("28C", "28").alias("number"), currency.alias("currency"), wanted.alias("fs"))
+    rows = named.select("statement_id", "reference", "account", "number", "currency", F.explode("fs").alias("x")).withColumn("at", F.col("x.at"))
+    orphan = F.col("x.tag") == "86"
+    follow = F.col("x.follow")
     note = F.when(orphan, F.col("x.value")).when(follow.getField("tag") == "86", follow.getField("value")).otherwise("")
     line = F.when(F.col("x.tag") == "61", F.col("x.value"))
     part = lambda name: _group(ENTRY, ENTRY_PATTERN, line, name)

@@ -25,6 +25,20 @@ def test_statement_lines(spark):
     assert (b.opening_mark, b.closing_date, str(b.closing_amount), b.number) == ("C", "240131", "1.0000", "1")
 
 
+def test_rows_of_a_long_statement_do_not_carry_it(spark):
+    message = ":60F:C240101EUR1,\n:86:of the head\n" + "\n".join(f":61:240115C{i},5NTRFR{i}" + f"\n:86:?20n?21{i}" * (i % 2) for i in range(3000))
+    entries = mt940.parse(spark.createDataFrame([(1, message)], "statement_id long, message string"), "structured")
+    got = {r.line: r for r in entries.collect()}
+    rows = [got[k] for k in sorted(got)]
+    assert [r.note for r in rows] == ["of the head", *(f"n {i}" if i % 2 else "" for i in range(3000))]
+    assert [int(r.amount) for r in rows[1:]] == list(range(3000)) and rows[0].amount is None
+    node = entries._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().apply(0)
+    kinds = [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())]
+    assert kinds and not [k for k in kinds if k.startswith("array")]
+
+
 def workbook(rows):
     cell = lambda r, c, v: f'<c r="{"ABCD"[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{"ABCD"[c]}{r}"><v>{v}</v></c>'
     sheet = "".join(f"<row>{''.join(cell(i, j, v) for j, v in enumerate(row) if v is not None)}</row>" for i, row in enumerate(rows, 1))
