@@ -165,20 +165,23 @@ def backoff_minutes(attempt: Column, jitter: Column | None = None) -> Column:
 
 
 # ---------------------------------------------------------------- signatures
-def _xored(key_hex: Column, byte: str) -> Column:
-    """A key of 64 bytes with each byte xored, as hex."""
-    # a hex digit pair at a time would be a loop; bitwise on two-digit groups through a fixed table is one translate each
-    value = int(byte, 16)
-    high = "".join(f"{d ^ (value >> 4):x}" for d in range(16))
-    low = "".join(f"{d ^ (value & 15):x}" for d in range(16))
-    pairs = F.sequence(F.lit(0), F.lit(63))
-    return F.array_join(F.transform(pairs, lambda i: F.concat(F.translate(F.substr(key_hex, i * 2 + 1, F.lit(1)), "0123456789abcdef", high), F.translate(F.substr(key_hex, i * 2 + 2, F.lit(1)), "0123456789abcdef", low))), "")
+_BYTES = "".join(map(chr, range(256)))
+
+
+def _xored(key: Column, byte: int) -> Column:
+    """A binary key with each byte xored.
+
+    Bytes become characters of one table, the results those of a second one 256 further on, as translate drops what becomes a zero
+    character; of their two bytes the lower one counts. There is no loop and no lambda, so that a literal key is xored once, at planning.
+    """
+    text = F.translate(F.decode(key, "ISO-8859-1"), _BYTES, "".join(chr(256 + (b ^ byte)) for b in range(256)))
+    return F.unhex(F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "..(..)", "$1"))
 
 
 def hmac_sha256(key: Column, body: Column) -> Column:
     """The lower-case hex HMAC-SHA256 of a text or binary body under a text key, within the JVM."""
     raw = F.encode(key, "utf-8")
     short = F.when(F.octet_length(raw) > 64, F.sha2(raw, 256)).otherwise(F.lower(F.hex(raw)))
-    padded = F.rpad(short, 128, "0")
-    inner = F.sha2(F.concat(F.unhex(_xored(padded, "36")), body.cast("binary")), 256)
-    return F.sha2(F.concat(F.unhex(_xored(padded, "5c")), F.unhex(inner)), 256)
+    padded = F.unhex(F.rpad(short, 128, "0"))
+    inner = F.sha2(F.concat(_xored(padded, 0x36), body.cast("binary")), 256)
+    return F.sha2(F.concat(_xored(padded, 0x5C), F.unhex(inner)), 256)

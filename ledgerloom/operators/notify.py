@@ -99,9 +99,8 @@ def verify_incoming(scheme: str, signature: Column, body: Column, secret: Column
         return F.coalesce(F.lower(F.trim(signature)) == hmac_sha256(secret, body), F.lit(False))
     parts = F.split(signature, ",")
     value = lambda p: F.substr(p, F.instr(p, "=") + 1, F.char_length(p))
-    times = F.filter(parts, lambda p: p.startswith("t="))
     given = F.transform(F.filter(parts, lambda p: p.startswith("v1=")), lambda p: F.lower(F.trim(value(p))))
-    t = F.when(F.size(times) > 0, value(F.element_at(times, -1)))
+    t = F.regexp_extract(signature, "(?s)^(?:.*,)?t=([^,]*)", 1)  # the last one; lambdas would be evaluated again wherever the time is used
     return F.coalesce(F.array_contains(given, hmac_sha256(secret, F.concat(t, F.lit("."), body))) & (t != ""), F.lit(False))
 
 

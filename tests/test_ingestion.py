@@ -39,6 +39,26 @@ def test_money_and_signatures(spark):
         assert one(spark, scalar.hmac_sha256(F.lit(key), F.lit(body))) == hmac.new(key.encode(), body.encode(), hashlib.sha256).hexdigest()
 
 
+def test_a_signature_is_cheap_to_verify(spark):
+    import hashlib
+    import hmac
+
+    from ledgerloom.operators import notify
+
+    # every byte of a key: both ends of each nibble, those that become zero, and a hashed key
+    for key in ("6\\\x00\x7f", "".join(map(chr, range(0x20, 0x60))), "é\u0436" * 16, "\U0001f600" * 40):
+        rows = spark.createDataFrame([(key, "b")], "k string, b string")
+        want = hmac.new(key.encode(), b"b", hashlib.sha256).hexdigest()
+        assert {rows.select(scalar.hmac_sha256(k, F.col("b"))).first()[0] for k in (F.col("k"), F.lit(key))} == {want}
+    sign = lambda t: hmac.new(b"k", f"{t}.b".encode(), hashlib.sha256).hexdigest()
+    given = [(f"t=1,v1=00,v1= {sign(1).upper()} ", True), (f"t=1,t=2,v1={sign(2)},v0=1", True), (f"t=1,t=2,v1={sign(1)}", False), (f"v1={sign('')}", False), (f"t=,v1={sign('')}", False), (f"V1={sign(1)},t=1", False), (f"v1={sign(1)},t=1", True), (f"at=1,v1={sign(1)}", False), (f"\n,t=1,v1={sign(1)}", True), ("", False), (None, False)]
+    rows = spark.createDataFrame([(i, s, "b") for i, (s, _) in enumerate(given)], "i int, s string, b string")
+    checked = rows.select("i", notify.verify_incoming("stripe", F.col("s"), F.col("b"), F.lit("k")).alias("ok"))
+    assert [r.ok for r in checked.orderBy("i").collect()] == [ok for _, ok in given]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "sequence(" not in plan and plan.count("lambdafunction(") == 2
+
+
 def test_transform_calls():
     assert mapping.parse_call(" trim ") == mapping.Call("trim") == mapping.parse_call("trim()")
     assert mapping.parse_call('parse_date("YY(MM)")') == mapping.Call("parse_date", "YY(MM)")
