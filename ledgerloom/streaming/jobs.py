@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import date as Date
 from decimal import ROUND_HALF_UP, Decimal
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,9 @@ from ledgerloom.session import delete_folder, kept, shared
 
 # Fixed value: days that a record stays in the pool.
 POOL_DAYS = 7
+# Buckets to which groups are dealt, records in a part of a bucket's state.
+BUCKETS = 1024
+PART_RECORDS = 512
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -112,56 +117,99 @@ def _cell_width(rules: list[Rule]) -> Decimal | None:
 
 
 class Pool(StatefulProcessor):
-    """The pool of one group of records: records by cell of the amount, in the order of their coming."""
+    """The pools of a bucket of groups: records by group and cell of the amount, in the order of their coming.
+
+    A call to the state store costs far more than a record, so what the store holds is parts of about ``PART_RECORDS`` records each,
+    to which groups and cells are dealt by hash. A record reads the parts of its cells, a batch each part once; as a bucket grows,
+    its parts are split in two, one at a time.
+    """
 
     def __init__(self, rules: list[Rule], keys: tuple[str, ...], readd: bool, as_of: int | None):
         self.rules, self.keys, self.readd, self.as_of = rules, keys, readd, as_of
         self.width = _cell_width(rules)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        record = "array<struct<seq:long,day:int,amount:string," + ",".join(f"{f}:string" for f in FIELDS) + ">>"
-        self.cells = handle.getMapState("cells", "cell long", f"records {record}")
-        self.last = handle.getValueState("last", "seq long, day int")
+        self.parts = handle.getMapState("parts", "part long", "entries string")
+        self.size = handle.getValueState("size", "parts long, records long")
 
     def _cell(self, amount: Decimal) -> int:
         return 0 if self.width is None else int(amount // self.width) if amount >= 0 else -int(-amount // self.width) - 1
 
-    def _load(self, cell: int) -> list[dict]:
-        if cell not in self.held:
-            rows = self.cells.getValue((cell,))[0] if self.cells.containsKey((cell,)) else []
-            self.held[cell] = [{"seq": r[0], "value_date": Date.fromordinal(r[1]), "base_amount": Decimal(r[2]), **dict(zip(FIELDS, r[3:], strict=True))} for r in (tuple(x) if not isinstance(x, dict) else tuple(x.values()) for x in rows)]
-        return self.held[cell]
+    @staticmethod
+    def _place(group: str, cell: int | None, n: int) -> int:
+        """The part, of ``n``, of a cell; what was last seen of a group (no cell) lies with its cell 0."""
+        return crc32(f"{cell or 0} {group}".encode()) % n
+
+    def _read(self, part: int) -> dict[tuple[str, int | None], list]:
+        """A part as it is stored: records by group and cell, and the last number and newest day by group."""
+        text = self.parts.getValue((part,)) if self.before and part < self.before else None
+        return {(group, cell): entries for group, cell, entries in json.loads(text[0])} if text else {}
+
+    def _write(self, part: int, entries: dict[tuple[str, int | None], list]) -> None:
+        held = [(*at, x) for at, x in entries.items() if x]
+        if held:
+            self.parts.updateValue((part,), (json.dumps(held, ensure_ascii=False, separators=(",", ":")),))
+        elif part < self.before:
+            self.parts.removeKey((part,))
+
+    def _split(self, n: int) -> None:
+        """Deal what is stored anew to ``n`` parts, a multiple of those before."""
+        for part in range(self.before):
+            dealt: dict[int, dict] = {part: {}}
+            for at, x in self._read(part).items():
+                dealt.setdefault(self._place(*at, n), {})[at] = x
+            for to, entries in dealt.items():
+                self._write(to, entries)
+        self.before = n
+
+    def _part(self, group: str, cell: int | None) -> dict[tuple[str, int | None], list]:
+        part = self._place(group, cell, self.n)
+        if part not in self.held:
+            self.held[part] = {at: x if at[1] is None else [{"seq": r[0], "day": r[1], "value_date": Date.fromordinal(r[1]), "base_amount": Decimal(r[2]), **dict(zip(FIELDS, r[3:], strict=True))} for r in x] for at, x in self._read(part).items()}
+        return self.held[part]
+
+    def _load(self, group: str, cell: int) -> list[dict]:
+        return self._part(group, cell).setdefault((group, cell), [])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.held: dict[int, list[dict]] = {}
-        seq, newest = self.last.get() if self.last.exists() else (0, 0)
-        incoming = sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: (r["arrival"], r["id"]))
+        self.held: dict[int, dict] = {}
+        incoming = sorted((r for frame in rows for r in zip(*(frame[c] for c in ("arrival", "id", "key", "day", "amount", *FIELDS)), strict=True)), key=lambda r: r[:2])
+        self.before, records = self.size.get() if self.size.exists() else (0, 0)
+        self.n = self.before or 1
+        while self.n * PART_RECORDS < records + len(incoming):
+            self.n *= 2
+        if self.before and self.n > self.before:
+            self._split(self.n)
         out = []
-        for r in incoming:
-            record = {f: r.get(f) for f in FIELDS} | dict(zip(self.keys, key, strict=True)) | {"value_date": r["value_date"], "base_amount": Decimal(r["amount"])}
+        for _, own_id, group, day, amount, *texts in incoming:
+            day, exact = int(day), dict(zip(self.keys, json.loads(group), strict=True))
+            record = dict(zip(FIELDS, texts, strict=True)) | exact | {"day": day, "value_date": Date.fromordinal(day), "base_amount": Decimal(amount)}
             own = self._cell(record["base_amount"])
             near = [own] if self.width is None else [own - 1, own, own + 1]
-            pool = sorted(((x["seq"], c, i) for c in near for i, x in enumerate(self._load(c))))
-            found = plain_match(record, [dict(zip(self.keys, key, strict=True)) | self.held[c][i] for _, c, i in pool], self.rules)
+            held = {c: self._load(group, c) for c in near}
+            pool = sorted((x["seq"], c, i) for c in near for i, x in enumerate(held[c]))
+            found = plain_match(record, [exact | held[c][i] for _, c, i in pool], self.rules) if pool else None
             matched = found is not None and found[2] == "AUTO"
             if matched:
                 at, score, _, rule = found
                 _, c, i = pool[at]
-                other = self.held[c].pop(i)
-                out.append((r["id"], other["id"], score, rule, "AUTO_MATCHED_STREAMING"))
-            newest = max(newest, record["value_date"].toordinal())
-            limit = (self.as_of or newest) - POOL_DAYS
+                out.append((own_id, held[c].pop(i)["id"], score, rule, "AUTO_MATCHED_STREAMING"))
+                records -= 1
+            last = self._part(group, None).setdefault((group, None), [0, 0])
+            last[1] = max(last[1], day)
+            limit = (self.as_of or last[1]) - POOL_DAYS
             if self.readd or not matched:
-                seq += 1
-                self._load(own).append({"seq": seq, **{f: record.get(f) for f in FIELDS}, "value_date": record["value_date"], "base_amount": record["base_amount"]})
+                last[0] += 1
+                held[own].append(record | {"seq": last[0]})
+                records += 1
             for c in near:
-                self.held[c] = [x for x in self.held[c] if x["value_date"].toordinal() >= limit]
-        for cell, records in self.held.items():
-            if records:
-                self.cells.updateValue((cell,), ([(x["seq"], x["value_date"].toordinal(), str(x["base_amount"]), *(x[f] for f in FIELDS)) for x in records],))
-            elif self.cells.containsKey((cell,)):
-                self.cells.removeKey((cell,))
-        self.last.update((seq, newest))
+                if any(x["day"] < limit for x in held[c]):
+                    stay = [x for x in held[c] if x["day"] >= limit]
+                    records -= len(held[c]) - len(stay)
+                    held[c][:] = stay
+        for part, entries in self.held.items():
+            self._write(part, {at: x if at[1] is None else [(r["seq"], r["day"], str(r["base_amount"]), *(r[f] for f in FIELDS)) for r in x] for at, x in entries.items()})
+        self.size.update((self.n, records))
         yield pd.DataFrame(out, columns=["id", "other_id", "score", "rule", "status"])
 
     def close(self) -> None:
@@ -182,19 +230,31 @@ def pool_match(records: DataFrame, rules: list[Rule], readd: bool = True, as_of:
     ``readd`` is false; a suggestion only keeps later rules from the record. Records whose date is more than ``POOL_DAYS`` before
     ``as_of`` (by default the newest date that their group has seen) leave when their neighbourhood is next written.
 
-    A group has the tenant and the exact keys that all rules share. Its records are in order, so one task has a group; its state is
-    a map by cells of the amount of which a record reads three.
+    A group has the tenant and the exact keys that all rules share. Its records are in order, so one task has a group; groups are dealt
+    to ``BUCKETS`` buckets, whose state is in parts of which a record reads those of three cells of the amount.
     """
     spark = records.sparkSession
     usable = ordered([r for r in rules if r.streaming])
-    empty = spark.createDataFrame([], "id string, other_id string, score double, rule string, status string")
+    empty = spark.createDataFrame([], MATCHES)
     if not usable:
         return empty
-    keys = group_keys(usable)
+    stream, folder = stream_of(pool_input(records, usable))
+    return finish(pool_stream(stream, usable, readd, as_of), folder)
+
+
+MATCHES = "id string, other_id string, score double, rule string, status string"
+
+
+def pool_input(records: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The columns of ``records`` that ``pool_stream`` reads, with their group and its bucket."""
     text = lambda f: F.col(f).cast("string").alias(f) if f in records.columns else F.lit(None).cast("string").alias(f)
-    own = records.select(*[F.col(k).cast("string").alias(f"key_{k}") for k in keys], *[text(f) for f in FIELDS], F.col("value_date").cast("date").alias("value_date"), F.col("base_amount").cast("string").alias("amount"), F.col("arrival").cast("long").alias("arrival"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stream, folder = stream_of(own)
-    processor = Pool(usable, keys, readd, as_of.toordinal() if as_of else None)
-    found = stream.groupBy(*[f"key_{k}" for k in keys]).transformWithStateInPandas(processor, "id string, other_id string, score double, rule string, status string", "append", "none")
-    return finish(found, folder)
+    key = F.to_json(F.array(*[F.col(k).cast("string") for k in group_keys(rules)]))
+    day = F.unix_date(F.col("value_date").cast("date")).cast("long") + Date(1970, 1, 1).toordinal()
+    return records.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), key.alias("key"), *[text(f) for f in FIELDS], day.alias("day"), F.col("base_amount").cast("string").alias("amount"), F.col("arrival").cast("long").alias("arrival"))
+
+
+def pool_stream(stream: DataFrame, rules: list[Rule], readd: bool = True, as_of: Date | None = None) -> DataFrame:
+    """The matches of a stream of ``pool_input`` by rules that may run on one."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    processor = Pool(rules, group_keys(rules), readd, as_of.toordinal() if as_of else None)
+    return stream.groupBy("bucket").transformWithStateInPandas(processor, MATCHES, "append", "none")

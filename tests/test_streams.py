@@ -46,6 +46,90 @@ def test_pool_equals_a_plain_loop(spark, readd, as_of):
     assert {(r.id, r.other_id, round(r.score, 6)) for r in got} == want and want
 
 
+REFERENCE = rules.REFERENCE_ONLY.replace("mode: [batch]", "mode: [streaming]").replace("keys:", "keys:\n    - {field: tenant_id}\n    - {field: value_date, tolerance: {type: date_window, days: 1}}")
+
+
+class Store:
+    """The state of one bucket, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.map, self.value = 0, {}, None
+
+    def getMapState(self, *_):
+        return self.Map(self)
+
+    def getValueState(self, *_):
+        return self.Value(self)
+
+    class Map:
+        def __init__(self, store):
+            self.store = store
+
+        def getValue(self, key):
+            self.store.calls += 1
+            return self.store.map.get(key)
+
+        def updateValue(self, key, value):
+            self.store.calls += 1
+            self.store.map[key] = value
+
+        def removeKey(self, key):
+            self.store.calls += 1
+            del self.store.map[key]
+
+    class Value(Map):
+        def exists(self):
+            return self.store.value is not None
+
+        def get(self):
+            return self.store.value
+
+        def update(self, value):
+            self.store.value = value
+
+
+@pytest.mark.parametrize("document", [NEAR, REFERENCE])
+def test_a_bucket_of_many_groups_makes_few_calls_and_grows(monkeypatch, document):
+    import json
+
+    import pandas as pd
+
+    rng, usable, store = random.Random(7), [rules.parse(document)], Store()
+    keys = jobs.group_keys(usable)
+    records = [dict(zip(FIELDS, (f"r{i:05d}", f"T{rng.randrange(3)}", rng.choice(["USD", "EUR"]), f"é{rng.randrange(900)}" if document == REFERENCE else rng.choice("ab"), date(2024, 1, 10) + timedelta(days=i // 100), Decimal(rng.randrange(-900, 900)) / 100, i), strict=True)) for i in range(3000)]
+    monkeypatch.setattr(jobs, "PART_RECORDS", 64)
+    got, counts = set(), []
+    for began, ended in ((0, 40), (40, 1500), (1500, 2990), (2990, 3000)):
+        batch = [{f: None for f in jobs.FIELDS} | {f: r[f] for f in ("id", "reference", "currency", "arrival")} | {"key": json.dumps([r[k] for k in keys]), "day": r["value_date"].toordinal(), "amount": str(r["base_amount"])} for r in records[began:ended]]
+        rng.shuffle(batch)
+        pool = jobs.Pool(usable, keys, True, None)
+        pool.init(store)
+        calls = store.calls
+        for frame in pool.handleInputRows((1,), iter([pd.DataFrame(batch[:20]), pd.DataFrame(batch[20:])] if batch[20:] else [pd.DataFrame(batch)]), None):
+            got |= {(r.id, r.other_id, round(r.score, 6)) for r in frame.itertuples()}
+        counts.append(store.calls - calls)
+    want = plain(records, usable, True)
+    assert got == want and len(want) > 50
+    assert max(counts) < 500 and counts[-1] <= 2 * 4 * 10
+    assert store.value[0] in (16, 32, 64) and store.value[1] == sum(len(x) for text, in store.map.values() for _, cell, x in json.loads(text) if cell is not None)
+
+
+def test_the_pool_lasts_from_batch_to_batch(spark):
+    from ledgerloom.session import shared
+
+    rng = random.Random(8)
+    records = [dict(zip(FIELDS, (f"r{i:03d}", "T", "USD", f"R{rng.randrange(40)}", date(2024, 1, 10) + timedelta(days=i // 60), Decimal(1), i), strict=True)) for i in range(120)]
+    usable, folder = [rules.parse(REFERENCE)], shared(spark, "rows")
+    for part in range(3):
+        rows = spark.createDataFrame([tuple(r.values()) for r in records[part * 40 : part * 40 + 40]], "id string, tenant_id string, currency string, reference string, value_date date, base_amount decimal(20,4), arrival long")
+        given = jobs.pool_input(rows, usable)
+        given.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = jobs.finish(jobs.pool_stream(stream, usable), folder).collect()
+    want = plain(records, usable, True)
+    assert {(r.id, r.other_id, round(r.score, 6)) for r in got} == want and [w for w in want if int(w[0][1:]) // 40 > int(w[1][1:]) // 40]
+
+
 def test_without_a_streaming_rule_nothing_matches(spark):
     rows = spark.createDataFrame([("a", "T", date(2024, 1, 1), Decimal(1), 0)], "id string, tenant_id string, value_date date, base_amount decimal(20,4), arrival long")
     assert jobs.pool_match(rows, [rules.parse(rules.REFERENCE_ONLY)]).count() == 0
