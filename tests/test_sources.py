@@ -39,6 +39,18 @@ def test_rows_of_a_long_statement_do_not_carry_it(spark):
     assert kinds and not [k for k in kinds if k.startswith("array")]
 
 
+def test_structured_statements_of_a_table_do_not_carry_their_fields(spark):
+    from ledgerloom.queries.registry import QUERIES
+
+    out = QUERIES["mt940_structured"](spark, "/root/testdata/sf0.001")
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().apply(0)
+    kinds = [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())]
+    assert kinds and not [k for k in kinds if k.startswith("array")]
+    assert out.where("note = 'of the head'").count() == out.select("statement").distinct().count()
+
+
 def workbook(rows):
     cell = lambda r, c, v: f'<c r="{"ABCD"[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{"ABCD"[c]}{r}"><v>{v}</v></c>'
     sheet = "".join(f"<row>{''.join(cell(i, j, v) for j, v in enumerate(row) if v is not None)}</row>" for i, row in enumerate(rows, 1))
