@@ -41,11 +41,15 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.replace(F.col("c_acctbal").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
     note = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("\n:86:?20note ?21"), k, F.when(k % 5 == 0, "\nmore").otherwise("")))
     line = F.concat(F.lit(":61:2401150116"), F.when(k % 4 == 0, "RC").when(k % 2 == 0, "C").otherwise("D"), number, F.lit("NTRFREF"), k, F.when(k % 7 == 0, "//BANK").otherwise(""), note)
-    lines = table(spark, sf_dir, "customer").where("c_acctbal >= 0").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("ls"))
+    lines = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_nationkey", "c_custkey", line.alias("line"))
+    # runs of keys are joined first, so that a statement is put together from few long texts
+    joined = lambda key, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, text))), lambda x: x[text]), "\n")
+    runs = lines.groupBy("c_nationkey", F.floor(k / 1000).alias("run")).agg(joined("c_custkey", "line").alias("lines"))
+    whole = runs.groupBy("c_nationkey").agg(joined("run", "lines").alias("lines"))
     text = F.concat(
-        F.lit(":20:ST"), "c_nationkey", F.lit("\r\n:25:ACC"), "c_nationkey", F.lit("\n:28C:1/1\n:60F:C240101EUR12,5\n:86:of the head\n"), F.array_join("ls.line", "\n"), F.lit("\n:61:odd\n:62M:D240131EUR7,\n-"),
+        F.lit(":20:ST"), "c_nationkey", F.lit("\r\n:25:ACC"), "c_nationkey", F.lit("\n:28C:1/1\n:60F:C240101EUR12,5\n:86:of the head\n"), "lines", F.lit("\n:61:odd\n:62M:D240131EUR7,\n-"),
     )
-    return lines.select(F.col("c_nationkey").cast("long").alias("statement_id"), text.alias("message"))
+    return whole.select(F.col("c_nationkey").cast("long").alias("statement_id"), text.alias("message"))
 
 
 _NOTE = "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '?20note ?21' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN chr(10) || 'more' ELSE '' END END"

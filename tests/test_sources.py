@@ -51,6 +51,36 @@ def test_structured_statements_of_a_table_do_not_carry_their_fields(spark):
     assert out.where("note = 'of the head'").count() == out.select("statement").distinct().count()
 
 
+def test_fields_of_a_long_statement_are_never_held_together(spark):
+    message = ":60F:C240101EUR1,\n" + "\n".join(f":61:240115C{i},5NTRFR{i}\n:86:note {i}" for i in range(9000)) + "\n:20:late\n:62F:C240131EUR1,"
+    statements = spark.createDataFrame([(1, message)], "statement_id long, message string")
+    assert mt940._read(statements).agg(F.max(F.size("f"))).first()[0] < 6000
+    got = mt940.parse(statements).orderBy("line").collect()
+    assert [(r.line, r.customer_ref, r.note) for r in got] == [(2 * i + 1, f"R{i}", f"note {i}") for i in range(9000)]
+    assert {(r.reference, r.account, r.currency) for r in got} == {("late", None, "EUR")}
+    assert mt940.balances(statements).select("reference", "closing_mark").collect() == [("late", "C")]
+
+
+@pytest.mark.parametrize("size", [1, 20])
+def test_pieces_of_any_size_give_the_same_rows(spark, monkeypatch, size):
+    whole = "\r\n-\n:20:R\r\n:86:head\n:61:240115C1,NTRFA\n\r:86:one\n\n \nmore\n:86:lost\n:25:A\n:61:bad\n-\n:61:240116D2,NTRFB\n:60F:C240101EUR1,\n:86:tail\n-"
+    statements = spark.createDataFrame([(1, whole), (2, ""), (3, None), (4, "\n \n"), (5, ":86:only")], "statement_id long, message string")
+    rows = lambda: [mt940.parse(statements, "structured").orderBy("statement_id", "line").collect(), mt940.balances(statements).orderBy("statement_id").collect()]
+    want = rows()
+    assert [(r.statement_id, r.line, r.note) for r in want[0]] == [(1, 1, "head"), (1, 2, "one\nmore"), (1, 4, "lost"), (1, 6, ""), (1, 7, ""), (1, 9, "tail"), (5, 0, "only")]
+    assert [r.statement_id for r in want[1]] == [1, 2, 4, 5]
+    monkeypatch.setattr(mt940, "PIECE", size)
+    assert rows() == want
+
+
+def test_statements_of_a_table_have_their_lines_in_order(spark):
+    from ledgerloom.queries.streams import _statements
+
+    entries = mt940.parse(_statements(spark, "/root/testdata/sf0.1").where("statement_id = 3")).where("amount IS NOT NULL").orderBy("line")
+    keys = [int(r.customer_ref[3:]) for r in entries.collect()]
+    assert keys == sorted(keys) and keys[-1] > 10000
+
+
 def workbook(rows):
     cell = lambda r, c, v: f'<c r="{"ABCD"[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{"ABCD"[c]}{r}"><v>{v}</v></c>'
     sheet = "".join(f"<row>{''.join(cell(i, j, v) for j, v in enumerate(row) if v is not None)}</row>" for i, row in enumerate(rows, 1))
