@@ -143,17 +143,17 @@ rule:
 """
 
 
-def _arriving(spark: SparkSession, sf_dir: str, share: int) -> DataFrame:
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of both ledgers as they arrive: by date, targets after sources."""
     s, t = ledgers(spark, sf_dir)
-    both = s.withColumn("late", F.lit(0)).unionByName(t.withColumn("late", F.lit(1))).where(F.col("ord") % share == 0)
+    both = s.withColumn("late", F.lit(0)).unionByName(t.withColumn("late", F.lit(1)))
     return both.withColumn("arrival", F.unix_date("value_date") * 2 + F.col("late"))
 
 
-@query("SELECT t.id, s.id AS other_id, 1.0::DOUBLE AS score, 'reference and date' AS rule, 'AUTO_MATCHED_STREAMING' AS status FROM src s JOIN tgt t ON s.ord = t.ord WHERE s.ord % 3 = 0 AND s.reference = t.reference AND abs(s.base_amount - t.base_amount) <= 0.01", ledgers=True)
+@query("SELECT t.id, s.id AS other_id, 1.0::DOUBLE AS score, 'reference and date' AS rule, 'AUTO_MATCHED_STREAMING' AS status FROM src s JOIN tgt t ON s.ord = t.ord WHERE s.reference = t.reference AND abs(s.base_amount - t.base_amount) <= 0.01", ledgers=True)
 def stream_match(spark, sf_dir):
     """Arriving records matched with a pool by a rule: here every one has one partner at most, which has come before."""
-    return jobs.pool_match(_arriving(spark, sf_dir, 3), [rules.parse(BY_REFERENCE), rules.parse(rules.REFERENCE_ONLY)])
+    return jobs.pool_match(_arriving(spark, sf_dir), [rules.parse(BY_REFERENCE), rules.parse(rules.REFERENCE_ONLY)])
 
 
 @query("SELECT user_id % 10 AS k, count(*) AS n, count(*) AS events FROM events GROUP BY 1")

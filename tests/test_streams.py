@@ -135,6 +135,21 @@ def test_without_a_streaming_rule_nothing_matches(spark):
     assert jobs.pool_match(rows, [rules.parse(rules.REFERENCE_ONLY)]).count() == 0
 
 
+def test_every_record_of_both_ledgers_is_matched(spark, monkeypatch):
+    from ledgerloom.queries import QUERIES, matching
+
+    small = "/root/testdata/sf0.001"
+    sources, targets = ({(r.reference, r.id) for r in x.collect()} for x in matching.ledgers(spark, small))
+    # references are unique, and a pair's amounts and dates are near enough
+    by_reference = dict(sources)
+    want = {(i, by_reference[reference]) for reference, i in targets if reference in by_reference}
+    got = [(r.id, r.other_id) for r in QUERIES["stream_match"](spark, small).collect()]
+    assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(jobs, "pool_match", lambda records, _: records)
+    arrived = [r.id for r in QUERIES["stream_match"](spark, small).collect()]
+    assert sorted(arrived) == sorted(i for _, i in sources | targets)
+
+
 def test_dedup_in_time(spark):
     rows = spark.createDataFrame([("k", f"2024-01-01 00:{m:02d}:00", m) for m in (0, 3, 9)], "delivery_key string, at string, n int").withColumn("at", F.col("at").cast("timestamp"))
     assert jobs.dedup(rows).count() == 1
